@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from keepsake.functions import periods
+
 PREFIX = "backup_"
 # prefix, date, time and their underscores, then the first half of the id
 NAME_HEAD = 31
@@ -19,7 +21,7 @@ def new_backup_folder(at: dt.datetime) -> str:
 
 
 def folder_name(ts: Column, backup_id: Column) -> Column:
-    return F.concat(F.lit(PREFIX), F.date_format(ts, "yyyy-MM-dd_HH-mm-ss"), F.lit("_"), backup_id)
+    return F.concat(F.lit(PREFIX), periods.layout(ts, periods.FOLDER_LAYOUT), F.lit("_"), backup_id)
 
 
 def folder_timestamp(name: Column, lenient: bool = False) -> Column:

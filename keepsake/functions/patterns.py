@@ -14,7 +14,7 @@ def parse_list(text: str) -> list[str]:
 
 
 def parse_list_column(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda part: part != "")
+    return F.filter(F.transform(F.split(text, ","), lambda part: F.trim(part)), lambda part: part != "")
 
 
 def glob_regex(pattern: str) -> str:

@@ -27,12 +27,33 @@ def age_days(ts: Column, as_of: Column) -> Column:
     return F.floor(F.timestamp_diff("MICROSECOND", ts, as_of) / F.lit(DAY_US)).cast("bigint")
 
 
+def epoch_us(ts: Column) -> Column:
+    """Microseconds since 1970; free of the session's time zone, as are all functions here."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
+def epoch_second(ts: Column) -> Column:
+    return F.floor(epoch_us(ts) / F.lit(1_000_000)).cast("bigint")
+
+
+def layout(ts: Column, form: str) -> Column:
+    """Text in one of the fixed layouts."""
+    text = F.substring(ts.cast("string"), 1, 19)
+    if form == LOG_LAYOUT:
+        return text
+    if form == FOLDER_LAYOUT:
+        return F.translate(text, " :", "_-")
+    if form == REPORT_LAYOUT:
+        return F.translate(text, " -:", "_")
+    raise ValueError(f"unknown layout {form!r}")
+
+
 def day_key(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+    return ts.cast("date").cast("string")
 
 
 def month_key(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+    return F.substring(day_key(ts), 1, 7)
 
 
 def week_key(ts: Column) -> Column:
@@ -50,8 +71,7 @@ def age_bucket(age: Column) -> Column:
 
 def duration_seconds(start: Column, end: Column) -> Column:
     """Seconds between two second-truncated times."""
-    start, end = F.date_trunc("second", start), F.date_trunc("second", end)
-    return F.timestamp_diff("SECOND", start.cast("timestamp_ntz"), end.cast("timestamp_ntz")).cast("double")
+    return (epoch_second(end) - epoch_second(start)).cast("double")
 
 
 def iso_seconds(text: Column) -> Column:

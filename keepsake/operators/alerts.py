@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keepsake.functions import measures
+from keepsake.functions import measures, periods
 
 
 def parse_condition(condition: Column) -> Column:
@@ -58,8 +58,7 @@ def throttle(alerts: DataFrame, rule: str, order: list[str], interval: str = "15
 
 
 def _bin(ts: Column, seconds: int) -> Column:
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.floor(F.timestamp_diff("MICROSECOND", epoch, ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+    return F.floor(periods.epoch_us(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
 def escalate(opened: DataFrame, closed: DataFrame, key: str, delay_seconds: int = 1800) -> DataFrame:

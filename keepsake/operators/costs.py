@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.functions import measures
+from keepsake.functions import measures, periods
 
 # Weights of the governance score.
 GOVERNANCE_WEIGHTS = {
@@ -40,7 +40,7 @@ def cost_efficiency(costs: DataFrame, keys: list[str], protected_bytes: Column,
     """Terabytes protected per unit of cost; null without cost."""
     ratio = F.sum(protected_bytes) / F.lit(1024.0**4) / F.nullif(F.sum(cost), F.lit(0).cast("bigint"))
     return costs.groupBy(*keys).agg(F.round(ratio, 6).alias("tb_per_cost")).withColumn(
-        "on_target", F.col("tb_per_cost") > 10)
+        "on_target", F.coalesce(F.col("tb_per_cost") > 10, F.lit(False)))
 
 
 def optimisation_potential(costs: DataFrame, keys: list[str], savings: Column, current: Column) -> DataFrame:
@@ -64,7 +64,7 @@ def budget_alerts(spend: DataFrame, budgets: DataFrame, keys: list[str], unit: s
 
     ``spend``: keys, ts, cost; ``budgets``: keys, budget. Joined after the aggregation.
     """
-    per_unit = spend.groupBy(*keys, F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("period")).agg(
+    per_unit = spend.groupBy(*keys, F.trunc(F.col("ts").cast("date"), unit).cast("string").alias("period")).agg(
         F.sum("cost").alias("spend"))
     used = F.col("spend") * 100.0 / F.nullif(F.col("budget"), F.lit(0).cast("bigint"))
     return per_unit.join(budgets, keys, "left").select(
@@ -74,7 +74,7 @@ def budget_alerts(spend: DataFrame, budgets: DataFrame, keys: list[str], unit: s
 
 def monthly_trend(costs: DataFrame, types: list[str], since: Column) -> DataFrame:
     """One row per month, one column per cost type. Rows: ts, cost_type, cost."""
-    months = costs.where(F.col("ts") >= since).groupBy(F.date_format("ts", "yyyy-MM").alias("month"))
+    months = costs.where(F.col("ts") >= since).groupBy(periods.month_key(F.col("ts")).alias("month"))
     return months.agg(*[
         F.coalesce(F.sum(F.when(F.col("cost_type") == name, F.col("cost"))), F.lit(0).cast("bigint")).alias(f"{name}_costs")
         for name in types])

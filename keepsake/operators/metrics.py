@@ -101,7 +101,7 @@ def duration_anomalies(runs: DataFrame, keys: list[str], seconds: Column, limit_
     rows = runs.withColumn("seconds", seconds.cast("bigint"))
     exact = F.col("seconds").cast("decimal(20,0)")
     history = prior_sums(
-        rows, keys, ["ts", "execution_id"], [periods.day_key(F.col("ts")), F.date_trunc("second", "ts")],
+        rows, keys, ["ts", "execution_id"], [periods.day_key(F.col("ts")), periods.epoch_second(F.col("ts"))],
         {"runs": F.lit(1).cast("bigint"), "seconds": F.col("seconds"), "squares": (exact * exact).cast("decimal(38,0)")})
     n = F.col("prior_runs").cast("double")
     mean = F.col("prior_seconds") / F.nullif(n, F.lit(0.0))
@@ -115,7 +115,7 @@ def duration_anomalies(runs: DataFrame, keys: list[str], seconds: Column, limit_
 
 def size_growth(catalog: DataFrame, keys: list[str]) -> DataFrame:
     """Size change against the previous backup of the same group."""
-    rows = prior_value(catalog, keys, ["ts", "folder_name"], [periods.day_key(F.col("ts")), F.date_trunc("second", "ts")],
+    rows = prior_value(catalog, keys, ["ts", "folder_name"], [periods.day_key(F.col("ts")), periods.epoch_second(F.col("ts"))],
                        "size_bytes", "previous_bytes")
     return rows.withColumn("growth_bytes", F.col("size_bytes") - F.col("previous_bytes"))
 

@@ -61,7 +61,7 @@ def bucket_members(catalog: DataFrame) -> DataFrame:
 def inventory(plan: DataFrame) -> DataFrame:
     """The report's list of backups; order it with ``newest_first`` for display."""
     return plan.select(
-        "location", "folder_name", F.date_format("ts", periods.LOG_LAYOUT).alias("timestamp"), "age_days",
+        "location", "folder_name", periods.layout(F.col("ts"), periods.LOG_LAYOUT).alias("timestamp"), "age_days",
         "size_gb", "source_lakehouse", "tables_count", measures.preservation_status(F.col("preserved")).alias("status"))
 
 
@@ -73,7 +73,7 @@ def report(plan: DataFrame, as_of: Column, mode: str, policy: str, dry_run: bool
     """One summary row per location, from the plan with its ``reason`` and ``preserved`` columns."""
     chosen = F.col("reason").isNotNull()
     return plan.groupBy(*keys).agg(
-        F.date_format(as_of, periods.LOG_LAYOUT).alias("report_timestamp"),
+        periods.layout(as_of, periods.LOG_LAYOUT).alias("report_timestamp"),
         F.lit(mode).alias("cleanup_mode"), F.lit(dry_run).alias("dry_run"), F.lit(policy).alias("preserve_policy"),
         F.count(F.lit(1)).alias("total_backups_discovered"),
         F.count_if("preserved").alias("total_backups_preserved"),
@@ -81,8 +81,8 @@ def report(plan: DataFrame, as_of: Column, mode: str, policy: str, dry_run: bool
         F.round(measures.size_gb(F.sum("size_bytes")), 6).alias("total_size_discovered_gb"),
         F.round(measures.size_gb(F.coalesce(F.sum(F.when(chosen, F.col("size_bytes"))), F.lit(0))), 6)
         .alias("total_size_freed_gb"),
-        F.coalesce(F.date_format(F.min("ts"), periods.LOG_LAYOUT), F.lit("N/A")).alias("oldest_backup"),
-        F.coalesce(F.date_format(F.max("ts"), periods.LOG_LAYOUT), F.lit("N/A")).alias("newest_backup"),
+        F.coalesce(periods.layout(F.min("ts"), periods.LOG_LAYOUT), F.lit("N/A")).alias("oldest_backup"),
+        F.coalesce(periods.layout(F.max("ts"), periods.LOG_LAYOUT), F.lit("N/A")).alias("newest_backup"),
     )
 
 

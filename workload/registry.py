@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["retention"]
+MODULES = ["expressions", "retention", "analysis", "comparison", "monitoring"]
 
 
 def _collect(attribute: str) -> dict:
