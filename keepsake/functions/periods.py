@@ -32,6 +32,15 @@ def epoch_us(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def event_time(us: Column) -> Column:
+    """Instant for a watermark, which takes no zone-free times."""
+    return F.timestamp_micros(us)
+
+
+def from_epoch_us(us: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def epoch_second(ts: Column) -> Column:
     return F.floor(epoch_us(ts) / F.lit(1_000_000)).cast("bigint")
 

@@ -7,6 +7,7 @@ the whole catalog with flags, so the caller filters, joins or aggregates as need
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keepsake.functions import names, periods
@@ -125,6 +126,18 @@ def simple_retention(catalog: DataFrame, retention_days: int) -> DataFrame:
     return catalog.withColumn("reason", F.when(due, F.lit("age")))
 
 
+def without_needed(plan: DataFrame) -> DataFrame:
+    """Plan in which no backup is deleted that a kept increment builds on.
+
+    Needs ``manifest.chain``, the folders below an increment down to its full backup.
+    """
+    keys = ["location", "folder_name"]
+    kept = plan.where(F.col("reason").isNull() & (F.size("manifest.chain") > 0))
+    needed = kept.select("location", F.explode("manifest.chain").alias("folder_name")).distinct()
+    marked = plan.join(needed.withColumn("_needed", F.lit(True)), keys, "left")
+    return marked.withColumn("reason", F.when(F.col("_needed").isNull(), F.col("reason"))).drop("_needed")
+
+
 def preview(catalog: DataFrame, scenarios: dict[str, RetentionOptions], keys: list[str] | None = None) -> DataFrame:
     """What each scenario would delete, per location, in one result. Nothing is deleted.
 
@@ -145,7 +158,5 @@ def preview(catalog: DataFrame, scenarios: dict[str, RetentionOptions], keys: li
 
 def newest(catalog: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
     """The n newest backups per location. Spark limits each task to n rows a group before it shuffles."""
-    from pyspark.sql import Window as W
-
     group = W.partitionBy(*(keys or ["location"])).orderBy(*[key.sort() for key in NEWEST])
     return catalog.withColumn("position", F.row_number().over(group).cast("bigint")).where(F.col("position") <= n)

@@ -5,7 +5,7 @@ MANIFEST = (
     "source_workspace_id string, backup_type string, tables array<string>, files_count bigint, "
     "backup_size_bytes bigint, include_delta_logs boolean, compressed boolean, start_time string, "
     "end_time string, duration_seconds double, fabric_version string, verification_passed boolean, "
-    "backup_mode string, parent_folder string, high_water_marks map<string,string>, "
+    "backup_mode string, parent_folder string, chain array<string>, high_water_marks map<string,string>, "
     "failed_tables array<string>"
 )
 

@@ -68,9 +68,12 @@ catalog AS (
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pipeline run per event."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return runs_from(table(spark, sf_dir, "events"))
+
+
+def runs_from(events: DataFrame) -> DataFrame:
+    """One pipeline run per event, batch or stream."""
+    return events.select(
         F.col("event_id").alias("execution_id"), "ts", "user_id",
         F.element_at(F.array(F.lit("development"), F.lit("staging"), F.lit("production")),
                      (F.col("user_id") % 3 + 1).cast("int")).alias("environment"),

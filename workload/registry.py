@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["expressions", "retention", "analysis", "comparison", "monitoring"]
+MODULES = ["expressions", "retention", "analysis", "comparison", "monitoring", "jobs", "streams"]
 
 
 def _collect(attribute: str) -> dict:
