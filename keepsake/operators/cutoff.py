@@ -5,7 +5,8 @@ all ask for one row per group: the row at which a running total in some order re
 One location may hold a third of the catalog, so the group is never sorted as a whole. Totals per
 coarse bucket (a day) are aggregated with partial aggregation, which names the one bucket per group
 where the budget is reached; that bucket alone is split further while it is large, and only its
-rows are finally put in order.
+rows are finally put in order. Only where a count has shown that every group fits one task is the
+answer a plain window over the group.
 """
 
 from __future__ import annotations
@@ -42,6 +43,12 @@ class Bucket:
     ascending: bool = True
 
 
+def fits_one_task(rows: DataFrame, keys: list[str], limit: int | None = None) -> bool:
+    """Whether the largest group is small enough to be ordered in one task; one count per group."""
+    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return (largest or 0) <= (limit or ROWS_IN_ONE_TASK)
+
+
 def find_crossing(
     rows: DataFrame,
     keys: list[str],
@@ -50,7 +57,6 @@ def find_crossing(
     weight: Column,
     budget: Callable[[Column], Column],
     total: Column | None = None,
-    rows_in_one_task: int | None = None,
 ) -> DataFrame:
     """Per group, the row whose weight lifts the running total from below the budget to it.
 
@@ -59,7 +65,6 @@ def find_crossing(
     whole weight stays below the budget has ``whole`` true and null cuts; a group with a budget <= 0
     has no row.
     """
-    limit = rows_in_one_task or ROWS_IN_ONE_TASK
     names = [f"_b{i}" for i in range(len(buckets))]
     base = rows.select(
         *keys, *[key.name for key in order],
@@ -91,7 +96,7 @@ def find_crossing(
     whole = scope.where("whole").select(*keys)
     scope = scope.where("NOT whole")
     depth = 1
-    while depth < len(buckets) and (scope.agg(F.max("_n")).first()[0] or 0) > limit:
+    while depth < len(buckets) and (scope.agg(F.max("_n")).first()[0] or 0) > ROWS_IN_ONE_TASK:
         finer = (
             base.where("_w > 0").join(scope.drop("_n", "whole"), keys + names[:depth])
             .groupBy(*keys, *names[: depth + 1])
@@ -117,17 +122,34 @@ def find_crossing(
     return settle(hit.unionByName(whole.withColumn("whole", F.lit(True)), allowMissingColumns=True), "cutoff")
 
 
-def reached(rows: DataFrame, cut: DataFrame, keys: list[str], order: list[Key], flag: str) -> DataFrame:
-    """Add ``flag``: the row lies at or before its group's crossing row.
+def mark_reached(
+    rows: DataFrame,
+    keys: list[str],
+    order: list[Key],
+    buckets: list[Bucket],
+    weight: Column,
+    budget: Callable[[Column], Column],
+    flag: str,
+    total: Column | None = None,
+    small_groups: bool = False,
+) -> DataFrame:
+    """Add ``flag``: the weight of the rows before this one has not yet reached the budget.
 
-    ``cut`` has at most one row per group, and its true size is known because it was written:
-    it is broadcast while small and joined by shuffle, with skewed groups split, beyond that.
+    ``small_groups`` says that ``fits_one_task`` holds. Otherwise the crossing rows are found by
+    bucket totals and joined back: at most one row per group, whose true size is known because
+    it was written, so it is broadcast while small and joined by shuffle, with skewed groups split,
+    beyond that.
     """
+    if small_groups:
+        group = W.partitionBy(*keys)
+        earlier = group.orderBy(*[key.sort() for key in order]).rowsBetween(W.unboundedPreceding, -1)
+        goal = budget(F.sum(weight if total is None else total).over(group))
+        return rows.withColumn(flag, F.coalesce(F.sum(weight).over(earlier), F.lit(0)) < goal)
+    cut = find_crossing(rows, keys, order, buckets, weight, budget, total)
     not_after = F.lit(True)
     for key in reversed(order):
         here, there = F.col(key.name), F.col(f"cut_{key.name}")
         before = here < there if key.ascending else here > there
         not_after = before | ((here == there) & not_after)
-    cut_columns = [f"cut_{key.name}" for key in order]
     inside = F.coalesce(F.col("whole"), F.lit(False)) | F.coalesce(not_after, F.lit(False))
-    return rows.join(cut, keys, "left").withColumn(flag, inside).drop("whole", *cut_columns)
+    return rows.join(cut, keys, "left").withColumn(flag, inside).drop("whole", *[f"cut_{key.name}" for key in order])

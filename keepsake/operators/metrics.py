@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions import measures, periods
-from keepsake.operators.cutoff import Bucket, Key, find_crossing
+from keepsake.operators.cutoff import Bucket, Key, find_crossing, fits_one_task
 from keepsake.operators.running import prior_sums, prior_value
 
 # Metric name -> (window, warning, critical); durations in minutes.
@@ -70,8 +70,11 @@ def exact_percentile(rows: DataFrame, keys: list[str], value: str, share_below:
     """Interpolated percentile per group, exact at any group size.
 
     Equal values are counted before the shuffle, and the two neighbours of the wanted rank are
-    found by bucket totals, so no task holds all values of a group.
+    found by bucket totals, so no task holds all values of a group. Small groups use Spark's own
+    exact percentile.
     """
+    if fits_one_task(rows, keys):
+        return rows.groupBy(*keys).agg(F.percentile(value, share_below).alias(name))
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     buckets = buckets or [Bucket(F.floor(F.col(value)))]
 

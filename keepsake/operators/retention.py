@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keepsake.functions import names, periods
-from keepsake.operators.cutoff import Bucket, Key, find_crossing, reached
+from keepsake.operators.cutoff import Bucket, Key, fits_one_task, mark_reached
 from keepsake.operators.preservation import with_preservation
 from keepsake.options import RetentionOptions
 
@@ -33,27 +33,27 @@ def _buckets(newest_first: bool) -> list[Bucket]:
     ]
 
 
-def _beyond_count(rows: DataFrame, keys: list[str], eligible: Column, max_count: int) -> tuple[DataFrame, Column]:
+def _beyond_count(rows: DataFrame, keys: list[str], eligible: Column, max_count: int, small: bool) -> tuple[DataFrame, Column]:
     """Rows with ``_within``, and the condition for "eligible but not among the newest max_count"."""
-    cut = find_crossing(rows, keys, NEWEST, _buckets(newest_first=True),
+    rows = mark_reached(rows, keys, NEWEST, _buckets(newest_first=True), flag="_within", small_groups=small,
                         weight=F.when(eligible, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")),
                         budget=lambda _: F.lit(max_count).cast("bigint"))
-    return reached(rows, cut, keys, NEWEST, "_within"), eligible & ~F.col("_within")
+    return rows, eligible & ~F.col("_within")
 
 
-def _over_size(rows: DataFrame, keys: list[str], eligible: Column, present: Column,
-               max_size_bytes: int) -> tuple[DataFrame, Column]:
-    """Oldest eligible rows to delete until what is present fits the cap.
+def _over_size(rows: DataFrame, keys: list[str], eligible: Column, present: Column, max_size_bytes: int,
+               small: bool) -> tuple[DataFrame, Column]:
+    """Rows with ``_over``, and the condition for "oldest eligible until what is present fits the cap".
 
     The total includes preserved rows; only eligible rows can be deleted. If deleting all of them
     is not enough, all are deleted.
     """
     nothing = F.lit(0).cast("bigint")
-    cut = find_crossing(rows, keys, OLDEST, _buckets(newest_first=False),
+    rows = mark_reached(rows, keys, OLDEST, _buckets(newest_first=False), flag="_over", small_groups=small,
                         weight=F.when(eligible, F.col("size_bytes")).otherwise(nothing),
                         total=F.when(present, F.col("size_bytes")).otherwise(nothing),
                         budget=lambda total: total - F.lit(max_size_bytes).cast("bigint"))
-    return reached(rows, cut, keys, OLDEST, "_over"), eligible & F.col("_over")
+    return rows, eligible & F.col("_over")
 
 
 def plan_deletions(catalog: DataFrame, options: RetentionOptions, keys: list[str] | None = None) -> DataFrame:
@@ -63,23 +63,24 @@ def plan_deletions(catalog: DataFrame, options: RetentionOptions, keys: list[str
     reason. In advanced mode each stage sees only what the stages before it left.
     """
     keys = keys or ["location"]
-    rows = with_preservation(catalog, options.preserve, keys)
+    small = fits_one_task(catalog, keys)
+    rows = with_preservation(catalog, options.preserve, keys, small)
     free = ~F.col("preserved")
     old = free & (F.col("age_days") > options.retention_days)
     none = F.lit(None).cast("string")
     if options.mode == "age_based":
         return rows.withColumn("reason", F.when(old, F.lit("age")).otherwise(none))
     if options.mode == "count_based":
-        rows, excess = _beyond_count(rows, keys, free, options.max_count)
+        rows, excess = _beyond_count(rows, keys, free, options.max_count, small)
         return rows.withColumn("reason", F.when(excess, F.lit("count")).otherwise(none)).drop("_within")
     if options.mode == "size_based":
-        rows, excess = _over_size(rows, keys, free, F.lit(True), options.max_size_bytes)
+        rows, excess = _over_size(rows, keys, free, F.lit(True), options.max_size_bytes, small)
         return rows.withColumn("reason", F.when(excess, F.lit("size")).otherwise(none)).drop("_over")
-    rows, excess = _beyond_count(rows, keys, free & ~old, options.max_count)
+    rows, excess = _beyond_count(rows, keys, free & ~old, options.max_count, small)
     rows = rows.withColumn("reason", F.when(old, F.lit("age")).when(excess, F.lit("count")).otherwise(none))
     rows = rows.drop("_within")
     remains = F.col("reason").isNull()
-    rows, excess = _over_size(rows, keys, free & remains, remains, options.max_size_bytes)
+    rows, excess = _over_size(rows, keys, free & remains, remains, options.max_size_bytes, small)
     return rows.withColumn("reason", F.when(excess, F.lit("size")).otherwise(F.col("reason"))).drop("_over")
 
 
@@ -114,10 +115,10 @@ def emergency_plan(catalog: DataFrame, free_bytes: int, respect_preservation: bo
     eligible = ~F.col("preserved") if respect_preservation else F.lit(True)
     if free_bytes <= 0:
         return catalog.withColumn("selected", F.lit(False))
-    cut = find_crossing(catalog, keys, OLDEST, _buckets(newest_first=False),
+    rows = mark_reached(catalog, keys, OLDEST, _buckets(newest_first=False), flag="selected",
                         weight=F.when(eligible, F.col("size_bytes")).otherwise(F.lit(0).cast("bigint")),
-                        budget=lambda _: F.lit(free_bytes).cast("bigint"))
-    return reached(catalog, cut, keys, OLDEST, "selected").withColumn("selected", F.col("selected") & eligible)
+                        budget=lambda _: F.lit(free_bytes).cast("bigint"), small_groups=fits_one_task(catalog, keys))
+    return rows.withColumn("selected", F.col("selected") & eligible)
 
 
 def simple_retention(catalog: DataFrame, retention_days: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A group such as one environment may hold a third of all runs. Bucket summaries (per day, per
 second) carry the history across buckets, and only the rows of one finest bucket are ordered
-together.
+together. Groups that a count has shown to fit one task are plain windows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keepsake.operators.cutoff import fits_one_task
+
 
 def _bucketed(rows: DataFrame, buckets: list[Column]) -> tuple[DataFrame, list[str]]:
     names = [f"_b{i}" for i in range(len(buckets))]
@@ -23,6 +25,9 @@ def prior_sums(rows: DataFrame, keys: list[str], order: list[str], buckets: list
 
     ``buckets`` go from coarse to fine, and each follows ``order`` within the one before.
     """
+    if fits_one_task(rows, keys):
+        earlier = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return rows.withColumns({f"prior_{m}": F.coalesce(F.sum(column).over(earlier), F.lit(0)) for m, column in measures.items()})
     base, names = _bucketed(rows, buckets)
     base = base.withColumns({f"_m_{name}": measure for name, measure in measures.items()})
     finest = base.groupBy(*keys, *names).agg(*[F.sum(f"_m_{m}").alias(f"_m_{m}") for m in measures])
@@ -51,6 +56,8 @@ def prior_sums(rows: DataFrame, keys: list[str], order: list[str], buckets: list
 def prior_value(rows: DataFrame, keys: list[str], order: list[str], buckets: list[Column],
                 value: str, name: str) -> DataFrame:
     """Add ``name``: ``value`` of the row just before in the group, null for the first."""
+    if fits_one_task(rows, keys):
+        return rows.withColumn(name, F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
     base, names = _bucketed(rows, buckets)
     # A struct tells "no earlier row" (null) from "earlier row with a null value".
     finest = base.groupBy(*keys, *names).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))

@@ -1,8 +1,9 @@
 """Throttling and escalation as stateful streams.
 
 Both give, for closed windows, exactly what their batch forms give. One rule or key may carry a
-third of all events, so each task first reduces its rows to the few that can matter, and state is
-kept per window (and per salt where rows must be held), never per rule alone.
+third of all events, so each task first reduces its rows to the few that can matter before they are
+grouped, and rows that must be held are spread over salts. State is kept per rule or key and block
+of windows; it holds the open windows only.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ def _watermarked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("event_time", event_time(F.col("us"))).withWatermark("event_time", WATERMARK)
 
 
-def throttled(alerts: DataFrame, rule: str, identity: str, interval_seconds: int = 900, most: int = 3) -> DataFrame:
+def throttled(alerts: DataFrame, rule: str, identity: str, interval_seconds: int = 900, most: int = 3,
+              windows_in_block: int = 96) -> DataFrame:
     """The first ``most`` alerts per rule and tumbling window, once the window has closed.
 
     ``identity`` is a bigint that decides between equal times.
@@ -34,37 +36,48 @@ def throttled(alerts: DataFrame, rule: str, identity: str, interval_seconds: int
     def merge(key, batches, state):
         import pandas as pd
 
-        rule_name, start = key
-        best = list(zip(*state.get)) if state.exists else []
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"rule": rule_name, "start": start, "us": [us for us, _ in best], "id": [i for _, i in best]})
-            return
+        windows = {}
+        held = zip(*state.get) if state.exists else []
+        for row in held:
+            windows.setdefault(row[0], []).append(row[1:])
         for batch in batches:
-            best = sorted(best + list(zip(batch["us"].tolist(), batch["id"].tolist())))[:most]
-        state.update(tuple(map(list, zip(*best))))
-        state.setTimeoutTimestamp((int(start) + width) // 1000)
+            for start, us, i in zip(batch["start"].tolist(), batch["us"].tolist(), batch["id"].tolist()):
+                windows.setdefault(start, []).append((us, i))
+        best = {start: sorted(rows)[:most] for start, rows in windows.items()}
+        now = state.getCurrentWatermarkMs()
+        closed = [(start, us, i) for start, rows in best.items() if (start + width) // 1000 <= now for us, i in rows]
+        still_open = [(start, us, i) for start, rows in best.items() if (start + width) // 1000 > now for us, i in rows]
+        if still_open:
+            state.update(tuple(map(list, zip(*still_open))))
+            state.setTimeoutTimestamp((min(start for start, _, _ in still_open) + width) // 1000)
+        elif state.exists:
+            state.remove()
+        if closed:
+            starts, times, ids = zip(*closed)
+            yield pd.DataFrame({"rule": key[0], "start": starts, "us": times, "id": ids})
 
     us = epoch_us(F.col("ts"))
     rows = alerts.select(F.col(rule).alias("rule"), (us - F.pmod(us, F.lit(width))).alias("start"), us.alias("us"),
                          F.col(identity).cast("bigint").alias("id"))
     reduced = _watermarked(rows.mapInPandas(earliest, rows.schema))
-    kept = reduced.groupBy("rule", "start").applyInPandasWithState(
-        merge, "rule string, start bigint, us bigint, id bigint", "us array<bigint>, id array<bigint>", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    block = F.floor(F.col("start") / F.lit(width * windows_in_block)).cast("bigint")
+    kept = reduced.withColumn("block", block).groupBy("rule", "block").applyInPandasWithState(
+        merge, "rule string, start bigint, us bigint, id bigint", "starts array<bigint>, us array<bigint>, ids array<bigint>",
+        "append", GroupStateTimeout.EventTimeTimeout)
     return kept.select(F.col("rule").alias(rule), from_epoch_us(F.col("start")).alias("window_start"),
                        from_epoch_us(F.col("us")).alias("ts"), F.col("id").alias(identity))
 
 
 def escalated(events: DataFrame, key: str, identity: str, opens: Column, closes: Column, delay_seconds: int = 1800,
-              salts: int = 4) -> DataFrame:
+              salts: int = 8, bins_in_block: int = 48) -> DataFrame:
     """Opening events without a closing event of the same key within the delay, when that is certain.
 
     Bins as in the batch form: a bin of openings needs the bin's last closing and the next bin's
     first. Closings are reduced to these two per task and copied to every salt; openings, which must
-    be held until their bin is over, are spread over the salts.
+    be held until the bin after theirs is over, are spread over the salts.
     """
     width = delay_seconds * 1_000_000
+    never = 2**62
 
     def reduce_closings(batches):
         import pandas as pd
@@ -78,30 +91,39 @@ def escalated(events: DataFrame, key: str, identity: str, opens: Column, closes:
     def decide(group, batches, state):
         import pandas as pd
 
-        key_value, bin_number, _ = group
-        ids, times, last, first_next = state.get if state.exists else ([], [], None, None)
-        ids, times = list(ids), list(times)
-        if state.hasTimedOut:
-            state.remove()
-            left = [(i, us) for i, us in zip(ids, times)
-                    if not (last is not None and last >= us) and not (first_next is not None and first_next <= us + width)]
-            if left:
-                yield pd.DataFrame({"key": key_value, "id": [i for i, _ in left], "us": [us for _, us in left]})
-            return
+        ids, times, bins, lasts, nexts = state.get if state.exists else ([], [], [], [], [])
+        pending = list(zip(ids, times))
+        last, first_next = dict(zip(bins, lasts)), dict(zip(bins, nexts))
         for batch in batches:
-            for kind, i, at in zip(batch["kind"].tolist(), batch["id"].tolist(), batch["us"].tolist()):
+            for kind, b, i, at in zip(batch["kind"].tolist(), batch["bin"].tolist(), batch["id"].tolist(), batch["us"].tolist()):
                 if kind == "open":
-                    ids.append(i)
-                    times.append(at)
+                    pending.append((i, at))
                 elif kind == "here":
-                    last = at if last is None else max(last, at)
+                    last[b] = max(last.get(b, -1), at)
                 else:
-                    first_next = at if first_next is None else min(first_next, at)
-        if last is not None:
-            held = [(i, us) for i, us in zip(ids, times) if us > last]
-            ids, times = [i for i, _ in held], [us for _, us in held]
-        state.update((ids, times, last, first_next))
-        state.setTimeoutTimestamp((int(bin_number) + 2) * width // 1000)
+                    first_next[b] = min(first_next.get(b, never), at)
+
+        def waits(i, at):
+            b = at // width
+            return last.get(b, -1) < at and first_next.get(b, never) > at + width
+
+        now = state.getCurrentWatermarkMs()
+
+        def deadline(b):
+            return (b + 2) * width // 1000
+
+        pending = [(i, at) for i, at in pending if waits(i, at)]
+        due = [(i, at) for i, at in pending if deadline(at // width) <= now]
+        pending = [(i, at) for i, at in pending if deadline(at // width) > now]
+        bins = [b for b in sorted(set(last) | set(first_next)) if deadline(b) > now]
+        if pending or bins:
+            state.update(([i for i, _ in pending], [at for _, at in pending], bins,
+                          [last.get(b, -1) for b in bins], [first_next.get(b, never) for b in bins]))
+            state.setTimeoutTimestamp(deadline(min(bins + [at // width for _, at in pending])))
+        elif state.exists:
+            state.remove()
+        if due:
+            yield pd.DataFrame({"key": group[0], "id": [i for i, _ in due], "us": [at for _, at in due]})
 
     us = epoch_us(F.col("ts"))
     rows = events.where(opens | closes).select(
@@ -116,7 +138,9 @@ def escalated(events: DataFrame, key: str, identity: str, opens: Column, closes:
     to_all = [copy(kind, at, F.lit(s)) for s in range(salts) for kind, at in (("here", bin_number), ("next", bin_number - 1))]
     targets = F.when(F.col("opening"), F.array(copy("open", bin_number, F.pmod("id", F.lit(salts))))).otherwise(F.array(*to_all))
     spread = reduced.select("key", "us", "id", "event_time", F.explode(targets).alias("t")).select("key", "us", "id", "event_time", "t.*")
-    late = spread.groupBy("key", "bin", "salt").applyInPandasWithState(
-        decide, "key string, id bigint, us bigint", "ids array<bigint>, times array<bigint>, last bigint, first_next bigint",
+    block = F.floor(F.col("bin") / F.lit(bins_in_block)).cast("bigint")
+    late = spread.withColumn("block", block).groupBy("key", "block", "salt").applyInPandasWithState(
+        decide, "key string, id bigint, us bigint",
+        "ids array<bigint>, times array<bigint>, bins array<bigint>, lasts array<bigint>, nexts array<bigint>",
         "append", GroupStateTimeout.EventTimeTimeout)
     return late.select(F.col("key").alias(key), F.col("id").alias(identity), from_epoch_us(F.col("us")).alias("ts"))
