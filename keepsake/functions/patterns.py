@@ -17,18 +17,19 @@ def parse_list_column(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda part: F.trim(part)), lambda part: part != "")
 
 
-def glob_regex(pattern: str) -> str:
-    pieces = re.split(r"([*?])", pattern)
+def glob_regex(patterns: list[str]) -> str:
+    """One regular expression for any of the patterns."""
     wild = {"*": ".*", "?": "."}
-    return "(?s)^" + "".join(wild.get(p, re.sub(r"([^\w\s])", r"\\\1", p)) for p in pieces) + "$"
+
+    def one(pattern: str) -> str:
+        return "".join(wild.get(p, re.sub(r"([^\w\s])", r"\\\1", p)) for p in re.split(r"([*?])", pattern))
+
+    return "(?s)^(?:" + "|".join(one(pattern) for pattern in patterns) + ")$"
 
 
 def matches_any(name: Column, patterns: list[str]) -> Column:
     """False for an empty list."""
-    condition = F.lit(False)
-    for pattern in patterns:
-        condition = condition | F.rlike(name, F.lit(glob_regex(pattern)))
-    return condition
+    return F.rlike(name, F.lit(glob_regex(patterns))) if patterns else F.lit(False)
 
 
 def matches_any_column(name: Column, patterns: Column) -> Column:

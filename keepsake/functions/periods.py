@@ -22,14 +22,14 @@ def as_of_column(as_of: dt.datetime | str) -> Column:
     return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
-def age_days(ts: Column, as_of: Column) -> Column:
-    """Whole 24-hour periods elapsed, rounded down, negative for the future."""
-    return F.floor(F.timestamp_diff("MICROSECOND", ts, as_of) / F.lit(DAY_US)).cast("bigint")
-
-
 def epoch_us(ts: Column) -> Column:
-    """Microseconds since 1970; free of the session's time zone, as are all functions here."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    """Microseconds since 1970 of a zone-free time.
+
+    Built from its fields: differences of timestamps are taken in the session's time zone, in which
+    some local times do not exist.
+    """
+    whole = F.unix_date(ts.cast("date")).cast("bigint") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return whole * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
 
 
 def event_time(us: Column) -> Column:
@@ -45,6 +45,11 @@ def epoch_second(ts: Column) -> Column:
     return F.floor(epoch_us(ts) / F.lit(1_000_000)).cast("bigint")
 
 
+def age_days(ts: Column, as_of: Column) -> Column:
+    """Whole 24-hour periods elapsed, rounded down, negative for the future."""
+    return F.floor((epoch_us(as_of) - epoch_us(ts)) / F.lit(DAY_US)).cast("bigint")
+
+
 def layout(ts: Column, form: str) -> Column:
     """Text in one of the fixed layouts."""
     text = F.substring(ts.cast("string"), 1, 19)

@@ -13,20 +13,22 @@ from keepsake.session import settle
 FLAGS = ["keep_daily", "keep_weekly", "keep_monthly"]
 
 
-def preserved_backups(catalog: DataFrame, options: PreserveOptions, keys: list[str]) -> DataFrame:
-    """Preserved folders only: keys, folder_name and the three flags.
+def preserved_backups(catalog: DataFrame, options: PreserveOptions, keys: list[str], small_groups: bool = False) -> DataFrame:
+    """Preserved backups only: keys, ts, folder_name and the three flags.
 
     Policies are cumulative: weekly includes daily, monthly includes both. Gaps between periods do
     not use up slots. Ties on the newest time go to the smallest folder name.
 
-    The newest backup per day is a partial aggregate, so a location's size does not matter; weeks
-    and months are read off that table, which has one row per location and day.
+    The newest time per day is a partial aggregate, so a location's size does not matter; weeks and
+    months are read off that table, which has one row per location and day. At most
+    daily + weekly + monthly times per location meet the catalog again, for their names. Unless the
+    caller knows the groups to be small they are written first, so that their true size decides how
+    they are joined.
     """
     level = POLICIES.index(options.policy)
-    newest = F.min(F.struct(-periods.epoch_us(F.col("ts")), F.col("folder_name"), F.col("ts"))).alias("_newest")
-    days = catalog.groupBy(*keys, F.col("ts").cast("date").alias("day")).agg(newest)
-    days = days.select(*keys, "day", "_newest.folder_name", periods.week_key(F.col("_newest.ts")).alias("week"),
-                       periods.month_key(F.col("_newest.ts")).alias("month"))
+    days = catalog.groupBy(*keys, F.col("ts").cast("date").alias("day")).agg(F.max("ts").alias("ts"))
+    days = days.select(*keys, "day", "ts", periods.week_key(F.col("ts")).alias("week"),
+                       periods.month_key(F.col("ts")).alias("month"))
     group = W.partitionBy(*keys)
 
     def newest_in(period: str, count: int, wanted: int):
@@ -34,28 +36,28 @@ def preserved_backups(catalog: DataFrame, options: PreserveOptions, keys: list[s
         last = F.row_number().over(W.partitionBy(*keys, period).orderBy(F.col("day").desc())) == 1
         return F.lit(level >= wanted) & recent & last
 
-    return days.select(
-        *keys, "folder_name",
+    marked = days.select(
+        *keys, "ts",
         newest_in("day", options.daily, 1).alias("keep_daily"),
         newest_in("week", options.weekly, 2).alias("keep_weekly"),
         newest_in("month", options.monthly, 3).alias("keep_monthly"),
     ).where(" OR ".join(FLAGS))
+    if not small_groups:
+        marked = settle(marked, "preserved")
+    named = catalog.select(*keys, "ts", "folder_name").join(marked, keys + ["ts"])
+    named = named.groupBy(*keys, "ts", *FLAGS).agg(F.min("folder_name").alias("folder_name"))
+    return named if small_groups else settle(named, "preserved")
 
 
 def with_preservation(catalog: DataFrame, options: PreserveOptions, keys: list[str] | None = None,
                       small_groups: bool = False) -> DataFrame:
-    """Catalog with keep_daily, keep_weekly, keep_monthly and preserved.
-
-    At most daily + weekly + monthly rows per location are joined back. Unless the caller knows the
-    groups to be small they are written first, so that their true size decides how they are joined.
-    """
+    """Catalog with keep_daily, keep_weekly, keep_monthly and preserved."""
     keys = keys or ["location"]
     if options.policy == "none":
         none = F.lit(False)
         return catalog.select("*", *[none.alias(flag) for flag in FLAGS], none.alias("preserved"))
-    kept = preserved_backups(catalog, options, keys)
-    if not small_groups:
-        kept = settle(kept, "preserved")
-    flagged = catalog.join(kept, keys + ["folder_name"], "left")
-    flagged = flagged.withColumns({flag: F.coalesce(F.col(flag), F.lit(False)) for flag in FLAGS})
+    kept = preserved_backups(catalog, options, keys, small_groups).withColumnRenamed("folder_name", "_kept")
+    joined = catalog.join(kept, keys + ["ts"], "left")
+    this = F.col("folder_name") == F.col("_kept")
+    flagged = joined.withColumns({flag: F.coalesce(this & F.col(flag), F.lit(False)) for flag in FLAGS}).drop("_kept")
     return flagged.withColumn("preserved", F.col("keep_daily") | F.col("keep_weekly") | F.col("keep_monthly"))

@@ -9,17 +9,12 @@ from keepsake.functions import measures, periods
 from keepsake.operators.retention import NEWEST
 
 
-def _age_us(ts: Column) -> Column:
-    """Grows with age, for "newest first" inside a comparison of structs."""
-    return F.timestamp_diff("MICROSECOND", ts, F.lit("2100-01-01 00:00:00").cast("timestamp_ntz"))
-
-
 def storage_totals(catalog: DataFrame, keys: list[str]) -> DataFrame:
     """Count, total and average size, largest, smallest, oldest and newest backup per group.
 
     Ties go to the newest backup, then to the smallest name.
     """
-    newest_first = [_age_us(F.col("ts")), F.col("folder_name")]
+    newest_first = [-periods.epoch_us(F.col("ts")), F.col("folder_name")]
     return catalog.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_backups"),
         F.sum("size_bytes").alias("total_size_bytes"),

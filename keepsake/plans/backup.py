@@ -21,7 +21,7 @@ from keepsake.plans.verify import count_tables, per_table, verify_copy
 from keepsake.schemas import LOG
 from keepsake.session import settle
 from keepsake.sources import manifests
-from keepsake.sources.storage import DriverFiles, delete_paths, list_tables, list_tree, table_sizes
+from keepsake.sources.storage import DriverFiles, delete_paths, list_tables, list_tree, partition_columns, table_sizes
 
 LAYOUT = "%Y-%m-%d %H:%M:%S"
 
@@ -70,14 +70,7 @@ def parent_backup(spark: SparkSession, destination: str, source_name: str, mode:
 
     Only backups with a manifest, of the same lakehouse and not failed in verification, count.
     """
-    if not DriverFiles(spark).exists(destination):
-        return None, None
-    tree = spark.createDataFrame(
-        [(destination, name, f"{destination}/{name}/{manifests.MANIFEST_FOLDER}", True)
-         for name, is_folder in DriverFiles(spark).entries(destination)
-         if is_folder and DriverFiles(spark).exists(f"{destination}/{name}/{manifests.MANIFEST_FOLDER}")],
-        "location string, folder_name string, path string, is_dir boolean")
-    usable = manifests.read_manifests(spark, tree, [destination]).where(
+    usable = manifests.read_manifests(spark, [destination]).where(
         (F.col("manifest.source_lakehouse_name") == source_name)
         & F.coalesce(F.col("manifest.verification_passed"), F.lit(True))
         & folder_timestamp(F.col("folder_name")).isNotNull())
@@ -139,7 +132,7 @@ def backup(spark: SparkSession, source: str, options: BackupOptions, at: dt.date
         writer = rows.write.format(options.fmt).mode("overwrite")
         if options.compress:
             writer = writer.option("compression", "snappy")
-        layout = options.partition_columns.get(name)
+        layout = options.partition_columns.get(name) or (partition_columns(spark, tables[name]) if options.fmt == "parquet" else [])
         if layout:
             writer = writer.partitionBy(*layout)
         writer.save(f"{path}/{name}")
@@ -218,11 +211,9 @@ def apply_simple_retention(spark: SparkSession, destination: str, retention_days
     ts = folder_timestamp(F.col("folder_name"), lenient=True)
     catalog = catalog.withColumn("age_days", age_days(ts, as_of_column(as_of))).where(F.col("age_days").isNotNull())
     plan = simple_retention(catalog, retention_days)
-    listed = spark.createDataFrame(
-        [(location, name, f"{path}/{manifests.MANIFEST_FOLDER}", True) for location, name, path in folders
-         if DriverFiles(spark).exists(f"{path}/{manifests.MANIFEST_FOLDER}")],
-        "location string, folder_name string, path string, is_dir boolean")
-    found = manifests.read_manifests(spark, listed, [destination])
+    if plan.where("reason IS NOT NULL").isEmpty():
+        return plan.select("location", "folder_name", "path", "age_days", F.lit(None).cast("string").alias("error")).limit(0)
+    found = manifests.read_manifests(spark, [destination])
     plan = without_needed(plan.join(found, ["location", "folder_name"], "left"))
     due = settle(plan.where("reason IS NOT NULL").select("location", "folder_name", "path", "age_days"), "due")
     return delete_paths(due, folders=True, label="deleted")

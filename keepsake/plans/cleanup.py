@@ -13,6 +13,7 @@ from keepsake.operators.retention import plan_deletions, without_needed
 from keepsake.options import CleanupOptions
 from keepsake.plans import analysis
 from keepsake.plans.discover import discover
+from keepsake.plans.verify import per_table
 from keepsake.session import settle
 from keepsake.sources.storage import DriverFiles, delete_paths, list_tree
 
@@ -79,8 +80,10 @@ def cleanup(spark: SparkSession, locations: list[str], options: CleanupOptions,
     results = settle(execute(plan, options.dry_run, tree), "results")
     totals = analysis.operation_totals(results, ["location"])
     if options.write_report:
-        for location in locations:
-            write_reports(plan, results, location, as_of, options)
+        reports = per_table(spark, locations, lambda at: write_reports(plan, results, at, as_of, options) or {}, parallel=4)
+        for report in reports:
+            if report["error"]:
+                raise RuntimeError(f"report for {report['table_name']}: {report['error']}")
     failed = results.where("error IS NOT NULL").count()
     deleted = results.where("deleted OR would_delete").count()
     status = "success" if failed == 0 else "failed" if failed == deleted else "partial_success"

@@ -37,7 +37,7 @@ def discover(spark: SparkSession, locations: list[str], as_of: dt.datetime | str
     keys = ["location", "folder_name"]
     manifest = F.col("manifest")
     size = F.coalesce("size_bytes", F.lit(0).cast("bigint"))
-    joined = folders.join(folder_sizes(tree), keys, "left").join(read_manifests(spark, tree, locations), keys, "left")
+    joined = folders.join(folder_sizes(tree), keys, "left").join(read_manifests(spark, locations), keys, "left")
     catalog = joined.select(
         *keys, "full_path", "ts", names.folder_id(F.col("folder_name")).alias("backup_id"),
         size.alias("size_bytes"), measures.size_mb(size).alias("size_mb"), measures.size_gb(size).alias("size_gb"),

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions.patterns import parse_list
-from keepsake.operators.reconcile import compare_tables
+from keepsake.operators.reconcile import compare_tables, sample_for_test
 from keepsake.options import RestoreOptions
 from keepsake.plans.backup import RunResult
 from keepsake.plans.discover import discover
 from keepsake.plans.verify import backup_integrity, count_tables, per_table, read_parts, verify_copy
 from keepsake.sources import manifests
-from keepsake.sources.storage import DriverFiles, list_tables
+from keepsake.sources.storage import DriverFiles, list_tables, partition_columns
 
 
 def chosen_tables(spark: SparkSession, options: RestoreOptions) -> list[str]:
@@ -31,23 +31,30 @@ def chosen_tables(spark: SparkSession, options: RestoreOptions) -> list[str]:
 
 
 def table_parts(spark: SparkSession, backup_path: str, tables: list[str]) -> dict[str, list[str]]:
-    """Folders that make up each table: its full copy and, for increments, every link up to it."""
-    parts = {name: [] for name in tables}
-    open_tables = set(tables)
+    """Folders that make up each table, oldest first.
+
+    An increment holds only new rows of the tables with a high-water mark, so these also need every
+    folder of its chain, from the last one that holds the whole table.
+    """
     path = backup_path.rstrip("/")
-    while open_tables:
-        manifest = manifests.read_manifest(spark, path)
-        incremental = manifest is not None and manifest.parent_folder is not None
-        marks = (manifest.high_water_marks or {}) if manifest is not None else {}
-        held = set(manifest.tables or []) if manifest is not None else open_tables
-        for name in sorted(open_tables):
-            if name in held or path == backup_path.rstrip("/"):
-                parts[name].insert(0, f"{path}/{name}")
-            if name in held and name not in marks:
-                open_tables.discard(name)
-        if not incremental:
-            break
-        path = posixpath.join(posixpath.dirname(path), manifest.parent_folder)
+    parts = {name: [f"{path}/{name}"] for name in tables}
+    manifest = manifests.read_manifest(spark, path)
+    if manifest is None or not manifest.chain:
+        return parts
+    location = posixpath.dirname(path)
+    below = {row.folder_name: row.manifest for row in manifests.read_manifests(spark, [location])
+             .where(F.col("folder_name").isin(manifest.chain)).collect()}
+    for name in tables:
+        partial = name in (manifest.high_water_marks or {})
+        for folder in reversed(manifest.chain):
+            if not partial:
+                break
+            earlier = below.get(folder)
+            if earlier is None:
+                raise ValueError(f"{path} builds on {folder}, which is missing")
+            if name in (earlier.tables or []):
+                parts[name].insert(0, f"{location}/{folder}/{name}")
+                partial = earlier.parent_folder is not None and name in (earlier.high_water_marks or {})
     return parts
 
 
@@ -78,7 +85,9 @@ def restore(spark: SparkSession, options: RestoreOptions) -> RunResult:
         there = files.exists(final)
         if there and not options.overwrite:
             return {"skipped": True}
-        read_parts(spark, parts[name], options.fmt).write.format(options.fmt).mode("overwrite").save(f"{staging}/{name}")
+        writer = read_parts(spark, parts[name], options.fmt).write.format(options.fmt).mode("overwrite")
+        layout = partition_columns(spark, parts[name][0]) if options.fmt == "parquet" else []
+        (writer.partitionBy(*layout) if layout else writer).save(f"{staging}/{name}")
         if there:
             files.move(final, f"{staging}/.old-{name}")
         files.move(f"{staging}/{name}", final)
@@ -102,6 +111,23 @@ def restore(spark: SparkSession, options: RestoreOptions) -> RunResult:
                      verification_passed=passed, message="; ".join(r["error"] for r in results if r["error"]))
 
 
+def sampled_restore_test(spark: SparkSession, catalog: DataFrame, percent: float, seed: str, fmt: str = "parquet",
+                         parallel: int = 4) -> DataFrame:
+    """Integrity check of a repeatable random share of the backups: every table of each loads and counts."""
+    paths = [row.full_path for row in sample_for_test(catalog, percent, seed).select("full_path").collect()]
+
+    def check(path: str) -> dict:
+        manifest = manifests.read_manifest(spark, path)
+        names = manifest.tables if manifest is not None and manifest.tables is not None else sorted(list_tables(spark, path))
+        valid, counts = backup_integrity(spark, table_parts(spark, path, list(names)), fmt, 1)
+        return {"valid": valid, "tables": len(names), "rows": counts.agg(F.sum("rows")).first()[0]}
+
+    results = per_table(spark, paths, check, parallel)
+    return spark.createDataFrame(
+        [(r["table_name"], r.get("valid", False), r.get("tables"), r.get("rows"), r["error"]) for r in results],
+        "full_path string, valid boolean, tables bigint, rows bigint, error string")
+
+
 def list_backups(spark: SparkSession, location: str, as_of: dt.datetime | str) -> DataFrame:
     """Backups of a location with what their manifests say; Unknown where there is none."""
     catalog, _ = discover(spark, [location], as_of)

@@ -9,7 +9,7 @@ MANIFEST = (
     "failed_tables array<string>"
 )
 
-LISTING = "location string, folder_name string, path string, length bigint, is_dir boolean, error string"
+LISTING = "location string, folder_name string, path string, length bigint, is_dir boolean, open boolean, error string"
 
 CATALOG_COLUMNS = [
     "location", "folder_name", "full_path", "ts", "backup_id", "size_bytes", "size_mb", "size_gb",
@@ -29,11 +29,6 @@ TABLE_RESULT = "table_name string, status string, num_files bigint, size_bytes b
 
 RUN_EVENT = (
     "eventType string, pipelineName string, executionId string, correlationId string, "
-    "environment string, timestamp timestamp_ntz, "
+    "environment string, timestamp string, "
     "parameters struct<sourceLakehouse:string,backupLocation:string,backupMode:string>"
 )
-
-RULE = (
-    "rule_name string, severity string, event_type string, field string, op string, "
-    "threshold double, literal string, environments array<string>"
-)

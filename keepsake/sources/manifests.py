@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,22 +26,22 @@ def read_manifest(spark: SparkSession, backup_path: str) -> Row | None:
         return None
 
 
-def read_manifests(spark: SparkSession, tree: DataFrame, locations: list[str]) -> DataFrame:
+def read_manifests(spark: SparkSession, locations: list[str]) -> DataFrame:
     """``location, folder_name, manifest`` of every folder that has a manifest, one scan per location."""
-    with_manifest = {
-        row.location for row in tree.where(
-            F.col("is_dir") & F.endswith("path", F.lit("/" + MANIFEST_FOLDER))).select("location").distinct().collect()}
-    result = spark.createDataFrame([], f"location string, folder_name string, manifest struct<{_struct(MANIFEST)}>")
+    schema = T._parse_datatype_string(MANIFEST)
+    found = T.StructType([T.StructField("location", T.StringType()), T.StructField("folder_name", T.StringType()),
+                          T.StructField("manifest", schema)])
+    result = spark.createDataFrame([], found)
     for location in locations:
         location = location.rstrip("/")
-        if location not in with_manifest:
-            continue
-        scan = spark.read.schema(MANIFEST).json(f"{location}/*/{MANIFEST_FOLDER}")
+        try:
+            scan = spark.read.schema(schema).json(f"{location}/*/{MANIFEST_FOLDER}")
+        except AnalysisException as exc:
+            # A location without any manifest.
+            if exc.getCondition() == "PATH_NOT_FOUND":
+                continue
+            raise
         folder = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{MANIFEST_FOLDER}/[^/]+$", 1)
         rows = scan.select(F.lit(location).alias("location"), folder.alias("folder_name"), F.struct(*scan.columns).alias("manifest"))
         result = result.unionByName(rows)
     return result.where("manifest.backup_id IS NOT NULL")
-
-
-def _struct(ddl: str) -> str:
-    return T._parse_datatype_string(ddl).simpleString().removeprefix("struct<").removesuffix(">")

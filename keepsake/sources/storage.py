@@ -56,19 +56,34 @@ def list_tables(spark: SparkSession, source: str) -> dict[str, str]:
     return tables
 
 
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """Partition columns of a table folder, read off the first ``name=value`` folder of each depth."""
+    files, columns = DriverFiles(spark), []
+    while True:
+        nested = [name for name, is_folder in files.entries(path) if is_folder and "=" in name and not name.startswith(("_", "."))]
+        if not nested:
+            return columns
+        columns.append(nested[0].split("=", 1)[0])
+        path = f"{path}/{nested[0]}"
+
+
 def list_catalog_tables(spark: SparkSession, database: str | None = None) -> list[str]:
     """Names known to the session catalog."""
     return sorted(row.tableName for row in spark.sql(f"SHOW TABLES IN `{database}`" if database else "SHOW TABLES").collect())
 
 
-def _lister():
-    """Function for mapInPandas: lists the folders in ``path``, one level."""
+# Entries that one task lists before it hands the folders it has not reached to the next round.
+ENTRIES_IN_ONE_TASK = 100_000
 
-    def list_level(batches):
+
+def _lister(budget: int):
+    """Function for mapInPandas: lists what is below ``path``; folders left over are marked open."""
+
+    def list_below(batches):
         import pandas as pd
         from pyarrow import fs
 
-        columns = ["location", "folder_name", "path", "length", "is_dir", "error"]
+        columns = ["location", "folder_name", "path", "length", "is_dir", "open", "error"]
 
         def open_path(path):
             if path.startswith("file:"):
@@ -78,45 +93,55 @@ def _lister():
             return fs.LocalFileSystem(), path
 
         for batch in batches:
-            for location, folder, path in zip(batch["location"], batch["folder_name"], batch["path"]):
+            # A folder given to this task was written as open by the round before.
+            waiting = list(zip(batch["location"], batch["folder_name"], batch["path"]))
+            listed, rows = 0, []
+            while waiting and (listed < budget or len(waiting) == 1):
+                location, folder, path = waiting.pop()
                 try:
                     system, inner = open_path(path)
                     found = system.get_file_info(fs.FileSelector(inner))
                 except Exception as exc:
-                    yield pd.DataFrame([(location, folder, path, 0, True, str(exc)[:500])], columns=columns)
+                    rows.append((location, folder, path, 0, True, False, str(exc)[:500]))
                     continue
-                for start in range(0, len(found), 10_000):
-                    rows = []
-                    for info in found[start:start + 10_000]:
-                        is_dir = info.type == fs.FileType.Directory
-                        rows.append((location, folder if folder else info.base_name, f"{path.rstrip('/')}/{info.base_name}",
-                                     0 if is_dir else int(info.size or 0), is_dir, None))
-                    yield pd.DataFrame(rows, columns=columns)
-
-    return list_level
+                if folder:
+                    rows.append((location, folder, path, 0, True, False, None))
+                listed += len(found) + 1
+                for info in found:
+                    name, child = folder or info.base_name, f"{path.rstrip('/')}/{info.base_name}"
+                    if info.type == fs.FileType.Directory:
+                        waiting.append((location, name, child))
+                    else:
+                        rows.append((location, name, child, int(info.size or 0), False, False, None))
+                    if len(rows) >= 10_000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            rows += [(location, folder, path, 0, True, True, None) for location, folder, path in waiting]
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+    return list_below
 
 
 def list_tree(spark: SparkSession, locations: list[str]) -> DataFrame:
     """Every file and folder below the locations, hidden ones included.
 
-    One pass per folder depth. The folders of a depth are spread over the executors, and what they
-    hold is written to the workspace, so neither the driver nor one task sees the whole tree, and
-    a folder that cannot be read becomes a row with an error instead of a size of 0.
+    Folders are listed on the executors. A task stops at a fixed number of entries and hands the
+    folders it has not reached to the next round, which spreads them over all tasks. Each round is
+    written to the workspace, so neither the driver nor one task holds the whole tree, and a folder
+    that cannot be read becomes a row with an error instead of a size of 0.
     """
     roots = [(location.rstrip("/"), None, location.rstrip("/")) for location in locations]
     frontier = spark.createDataFrame(roots, "location string, folder_name string, path string")
-    levels = []
+    tree = None
     while True:
         parts = spark.sparkContext.defaultParallelism
-        level = settle(frontier.repartition(parts, "path").mapInPandas(_lister(), LISTING), "listing")
-        levels.append(level)
-        frontier = level.where("is_dir AND error IS NULL").select("location", "folder_name", "path")
+        level = settle(frontier.repartition(parts, "path").mapInPandas(_lister(ENTRIES_IN_ONE_TASK), LISTING), "listing")
+        closed = level.where("NOT open").drop("open")
+        tree = closed if tree is None else tree.unionByName(closed)
+        frontier = level.where("open").select("location", "folder_name", "path")
         if frontier.isEmpty():
-            break
-    tree = levels[0]
-    for level in levels[1:]:
-        tree = tree.unionByName(level)
-    return tree
+            return tree
 
 
 def folder_sizes(tree: DataFrame) -> DataFrame:

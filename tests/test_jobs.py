@@ -12,7 +12,7 @@ from keepsake.plans import backup as b
 from keepsake.plans import cleanup as c
 from keepsake.plans import restore as r
 from keepsake.plans.discover import discover
-from keepsake.sources import manifests
+from keepsake.sources import manifests, storage
 from keepsake.sources.storage import folder_sizes, list_tables, list_tree
 
 T0 = dt.datetime(2024, 1, 15, 10, 30, 0)
@@ -133,7 +133,9 @@ def test_discover(spark, folder):
     assert "backup_2024-01-15_10-30-00_abc" not in {x.folder_name for x in only.collect()}
 
 
-def test_listing_counts_every_file(spark, folder):
+@pytest.mark.parametrize("budget", [1, 3, 100_000])
+def test_listing_counts_every_file(spark, folder, budget, monkeypatch):
+    monkeypatch.setattr(storage, "ENTRIES_IN_ONE_TASK", budget)
     total = 0
     for i in range(3):
         for depth in ("a", "a/_log", "a/b/.c"):
@@ -141,7 +143,10 @@ def test_listing_counts_every_file(spark, folder):
             with open(f"{folder}/f{i}/{depth}/x", "wb") as f:
                 f.write(b"x" * (i + 1))
             total += i + 1
-    sizes = folder_sizes(list_tree(spark, [folder])).collect()
+    tree = list_tree(spark, [folder])
+    folders = [x.path for x in tree.where("is_dir").collect()]
+    assert len(folders) == len(set(folders)) == 3 * 5
+    sizes = folder_sizes(tree).collect()
     assert sum(x.size_bytes for x in sizes) == total and all(x.files == 3 for x in sizes)
 
 
@@ -210,3 +215,45 @@ def test_options_are_checked():
     assert PreserveOptions.from_text("daily", "x", "2", "3") == (PreserveOptions("daily"), [
         "preservation counts reset to (7, 4, 12): invalid literal for int() with base 10: 'x'"])
     assert PreserveOptions.from_text("daily", "1", "2", "3") == (PreserveOptions("daily", 1, 2, 3), [])
+
+
+def test_partitioned_tables_keep_their_layout(spark, folder):
+    spark.range(40).selectExpr("id", "id % 3 AS p", "concat('x', id % 2) AS q").write.partitionBy("p", "q").parquet(f"{folder}/lake/t")
+    done = b.backup(spark, f"{folder}/lake", options(f"{folder}/b"), at=T0)
+    back = r.restore(spark, RestoreOptions(done.path, f"{folder}/r"))
+    assert done.status == back.status == "success"
+    assert sorted(x for x in os.listdir(f"{folder}/r/t") if "=" in x) == ["p=0", "p=1", "p=2"]
+    left, right = spark.read.parquet(f"{folder}/lake/t"), spark.read.parquet(f"{folder}/r/t")
+    assert left.schema == right.schema and left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+
+
+def test_partition_filter_and_lakehouse_log(spark, folder):
+    spark.range(40).selectExpr("id", "id % 3 AS p").write.partitionBy("p").parquet(f"{folder}/lake/t")
+    spark.range(5).write.parquet(f"{folder}/lake/u")
+    for day in (0, 1):
+        done = b.backup(spark, f"{folder}/lake", options(f"{folder}/b", partition_filter="p = 1", backup_type="lakehouse"),
+                        at=T0 + dt.timedelta(days=day))
+    assert spark.read.parquet(f"{done.path}/t").count() == 13 and spark.read.parquet(f"{done.path}/u").count() == 5
+    logs = spark.read.parquet(f"{folder}/b/_logs")
+    assert logs.where("message LIKE 'backing up%'").count() == 2 and logs.where("level = 'WARNING'").count() == 2
+
+
+def test_retention_keeps_what_increments_need(spark, folder):
+    spark.range(10).write.parquet(f"{folder}/lake/t")
+    marks = {"high_water_columns": {"t": "id"}, "mode": "incremental", "retention_days": 7}
+    full = b.backup(spark, f"{folder}/lake", options(f"{folder}/b", **marks), at=T0)
+    alone = b.backup(spark, f"{folder}/lake", options(f"{folder}/b", retention_days=0), at=T0 - dt.timedelta(days=1))
+    b.backup(spark, f"{folder}/lake", options(f"{folder}/b", **marks), at=T0 + dt.timedelta(days=6))
+    last = b.backup(spark, f"{folder}/lake", options(f"{folder}/b", **marks), at=T0 + dt.timedelta(days=10))
+    assert os.path.exists(full.path) and not os.path.exists(alone.path)
+    assert r.restore(spark, RestoreOptions(last.path, f"{folder}/r")).status == "success"
+    assert spark.read.parquet(f"{folder}/r/t").count() == 10
+
+
+def test_sampled_restore_test(spark, folder):
+    spark.range(10).write.parquet(f"{folder}/lake/t")
+    for day in range(3):
+        b.backup(spark, f"{folder}/lake", options(f"{folder}/b", retention_days=0), at=T0 + dt.timedelta(days=day))
+    catalog, _ = discover(spark, [f"{folder}/b"], "2024-02-01 00:00:00")
+    rows = r.sampled_restore_test(spark, catalog, 100, "s").collect()
+    assert len(rows) == 3 and all(x.valid and x.tables == 1 and x.rows == 10 for x in rows)

@@ -129,7 +129,16 @@ def _per_table(columns):
     return "\nUNION ALL\n".join(f"SELECT '{name}' AS table_name, {columns} FROM {name}" for name in TABLES)
 
 
+_BACKUPS = """(VALUES ('backup_2024-01-01_10-00-00_00000001', TIMESTAMP '2024-01-01 10:00:00', 14::BIGINT, 2::BIGINT),
+  ('backup_2024-01-08_10-00-00_00000002', TIMESTAMP '2024-01-08 10:00:00', 7, 1),
+  ('backup_2024-01-14_10-00-00_00000003', TIMESTAMP '2024-01-14 10:00:00', 1, 3),
+  ('backup_2024-01-15_10-00-00_00000004', TIMESTAMP '2024-01-15 10:00:00', 0, 1)) b(folder_name, ts, age_days, tables_count)"""
+
 ORACLES = {
+    "backups_discovered": f"""SELECT folder_name, ts, folder_name[-8:] AS backup_id, age_days, 'test lake' AS source_lakehouse,
+  tables_count, true AS counts_hidden_files FROM {_BACKUPS}""",
+    "cleanup_executed": f"""SELECT folder_name, age_days, ts, true AS would_delete, true AS deleted, CAST(NULL AS VARCHAR) AS error,
+  false AS dry_run FROM {_BACKUPS} WHERE age_days > 6""",
     "table_inventory": _per_table("count(*) AS rows"),
     "catalog_inventory": _per_table("count(*) AS rows"),
     "backup_verified": _per_table("count(*) AS source_rows, count(*) AS backup_rows, true AS verified"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keepsake.operators import retention as ret
-from keepsake.operators.preservation import FLAGS, with_preservation
+from keepsake.operators.cutoff import fits_one_task
+from keepsake.operators.preservation import preserved_backups, with_preservation
 from keepsake.options import PreserveOptions, RetentionOptions
 from workload.fixtures import CATALOG_SQL, catalog
 
@@ -28,8 +29,9 @@ def retention_summary(spark, sf_dir):
 
 def _preserved(policy):
     def query(spark, sf_dir):
-        rows = with_preservation(catalog(spark, sf_dir), PreserveOptions(policy))
-        return rows.where("preserved").select("location", "folder_name", *FLAGS)
+        rows = catalog(spark, sf_dir)
+        kept = preserved_backups(rows, PreserveOptions(policy), ["location"], fits_one_task(rows, ["location"]))
+        return kept.drop("ts")
     return query
 
 
@@ -47,7 +49,8 @@ def emergency(spark, sf_dir):
 
 
 def emergency_preserving(spark, sf_dir):
-    rows = with_preservation(catalog(spark, sf_dir), PreserveOptions("daily"))
+    rows = catalog(spark, sf_dir)
+    rows = with_preservation(rows, PreserveOptions("daily"), small_groups=fits_one_task(rows, ["location"]))
     plan = ret.emergency_plan(rows, CAP * 10, respect_preservation=True)
     return plan.where("selected").select("location", "folder_name", "size_bytes")
 
