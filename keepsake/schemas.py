@@ -11,22 +11,8 @@ MANIFEST = (
 
 LISTING = "location string, folder_name string, path string, length bigint, is_dir boolean, open boolean, error string"
 
-CATALOG_COLUMNS = [
-    "location", "folder_name", "full_path", "ts", "backup_id", "size_bytes", "size_mb", "size_gb",
-    "age_days", "source_lakehouse", "tables_count", "backup_type",
-]
-
-RESULT = (
-    "location string, folder_name string, full_path string, size_bytes bigint, age_days bigint, "
-    "ts timestamp_ntz, would_delete boolean, deleted boolean, error string, dry_run boolean"
-)
-
-VERIFY = "table_name string, source_rows bigint, backup_rows bigint, verified boolean, error string"
-
 LOG = "ts timestamp_ntz, level string, message string"
 
-TABLE_RESULT = "table_name string, status string, num_files bigint, size_bytes bigint, error string"
-
 RUN_EVENT = (
     "eventType string, pipelineName string, executionId string, correlationId string, "
     "environment string, timestamp string, "

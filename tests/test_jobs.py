@@ -20,11 +20,12 @@ SMALL = ["region", "nation", "supplier", "embeddings"]
 
 
 def options(dest, **kw):
-    return BackupOptions(source_name="lake", destination=dest, **kw)
+    defaults = {"verify": False, "include_logs": False, "retention_days": 0}
+    return BackupOptions(source_name="lake", destination=dest, **{**defaults, **kw})
 
 
 def test_round_trip(spark, sf_dir, folder):
-    done = b.backup(spark, sf_dir, options(f"{folder}/b", content_check=True), at=T0)
+    done = b.backup(spark, sf_dir, options(f"{folder}/b", verify=True, include_logs=True, retention_days=30, content_check=True), at=T0)
     assert done.status == "success" and done.verification_passed is True
     assert sorted(done.tables) == sorted(list_tables(spark, sf_dir)) and len(done.tables) == 14
     manifest = manifests.read_manifest(spark, done.path)

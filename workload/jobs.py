@@ -104,7 +104,8 @@ def cleanup_executed(spark, sf_dir):
     location = _four_backups(spark, sf_dir)
     options = CleanupOptions(RetentionOptions("age_based", retention_days=6), dry_run=False)
     result = cleaning.cleanup(spark, [location], options, dt.datetime(2024, 1, 16))
-    return result.results.select("folder_name", "age_days", "ts", "would_delete", "deleted", "error", "dry_run")
+    return result.results.select("folder_name", "age_days", "ts", "would_delete", "deleted",
+                                 F.col("error").isNotNull().alias("failed"), "dry_run")
 
 
 def table_checksums(spark, sf_dir):
@@ -137,7 +138,7 @@ _BACKUPS = """(VALUES ('backup_2024-01-01_10-00-00_00000001', TIMESTAMP '2024-01
 ORACLES = {
     "backups_discovered": f"""SELECT folder_name, ts, folder_name[-8:] AS backup_id, age_days, 'test lake' AS source_lakehouse,
   tables_count, true AS counts_hidden_files FROM {_BACKUPS}""",
-    "cleanup_executed": f"""SELECT folder_name, age_days, ts, true AS would_delete, true AS deleted, CAST(NULL AS VARCHAR) AS error,
+    "cleanup_executed": f"""SELECT folder_name, age_days, ts, true AS would_delete, true AS deleted, false AS failed,
   false AS dry_run FROM {_BACKUPS} WHERE age_days > 6""",
     "table_inventory": _per_table("count(*) AS rows"),
     "catalog_inventory": _per_table("count(*) AS rows"),
