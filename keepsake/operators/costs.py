@@ -25,7 +25,7 @@ def governance_score(components: DataFrame, keys: list[str]) -> DataFrame:
     for name, value in GOVERNANCE_WEIGHTS.items():
         weight = F.when(F.col("component") == name, F.lit(value)).otherwise(weight)
     rows = components.withColumn("_w", weight).where(F.col("_w").isNotNull())
-    score = F.round(F.sum(F.col("value") * F.col("_w")) / F.sum("_w"), 4)
+    score = F.round(F.sum(F.col("value") * F.col("_w")) / F.sum("_w"), 8)
     return rows.groupBy(*keys).agg(score.alias("governance_score")).withColumn(
         "band", measures.floor_band(F.col("governance_score"), measures.GOVERNANCE_FLOORS, "below"))
 

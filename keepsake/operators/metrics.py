@@ -53,7 +53,7 @@ def run_metrics(runs: DataFrame, keys: list[str], window: str = "24 hours") -> D
 
 def average_score(scores: DataFrame, keys: list[str], score: Column, metric: str) -> DataFrame:
     window, _, _ = THRESHOLDS[metric]
-    sums = scores.groupBy(F.window("ts", window).alias("w"), *keys).agg(F.round(F.avg(score), 4).alias(metric))
+    sums = scores.groupBy(F.window("ts", window).alias("w"), *keys).agg(F.round(F.avg(score), 8).alias(metric))
     return sums.select(F.col("w.start").alias("window_start"), *keys, metric,
                        metric_severity(metric, F.col(metric)).alias("severity"))
 

@@ -245,10 +245,10 @@ FROM m""",
   SELECT {_DAY} AS window_start, environment, round(quantile_cont(duration_min, 0.95), 6) AS p95_min FROM runs GROUP BY ALL)
 SELECT *, CASE WHEN p95_min >= 120 THEN 'critical' WHEN p95_min >= 90 THEN 'warning' ELSE 'ok' END AS severity FROM m""",
     "quality_score_daily": f"""WITH {RUNS_SQL}, m AS (
-  SELECT {_DAY} AS window_start, environment, round(avg(duration_min / 5), 4) AS data_quality_score FROM runs GROUP BY ALL)
+  SELECT {_DAY} AS window_start, environment, round(avg(duration_min / 5), 8) AS data_quality_score FROM runs GROUP BY ALL)
 SELECT *, CASE WHEN data_quality_score <= 90 THEN 'critical' WHEN data_quality_score <= 95 THEN 'warning' ELSE 'ok' END AS severity FROM m""",
     "risk_score_daily": f"""WITH {RUNS_SQL}, m AS (
-  SELECT {_DAY} AS window_start, environment, round(avg(duration_min / 50), 4) AS security_risk_score FROM runs GROUP BY ALL)
+  SELECT {_DAY} AS window_start, environment, round(avg(duration_min / 50), 8) AS security_risk_score FROM runs GROUP BY ALL)
 SELECT *, CASE WHEN security_risk_score >= 8 THEN 'critical' WHEN security_risk_score >= 5 THEN 'warning' ELSE 'ok' END AS severity,
   CASE WHEN security_risk_score < 3 THEN 'green' WHEN security_risk_score < 6 THEN 'yellow' WHEN security_risk_score < 8 THEN 'orange'
     WHEN security_risk_score <= 10 THEN 'red' END AS band FROM m""",
@@ -297,7 +297,7 @@ WHERE ts >= TIMESTAMP '{WEEK_AGO}' GROUP BY ALL""",
   SELECT environment, rule_name, avg(duration_min / 5) AS value,
     CASE rule_name WHEN 'click' THEN 0.3::DOUBLE WHEN 'signup' THEN 0.2::DOUBLE ELSE 0.25::DOUBLE END AS weight
   FROM runs WHERE rule_name <> 'error' GROUP BY ALL),
-g AS (SELECT environment, round(sum(value * weight) / sum(weight), 4) AS governance_score FROM c GROUP BY ALL)
+g AS (SELECT environment, round(sum(value * weight) / sum(weight), 8) AS governance_score FROM c GROUP BY ALL)
 SELECT *, CASE WHEN governance_score >= 90 THEN 'excellent' WHEN governance_score >= 80 THEN 'good' WHEN governance_score >= 70 THEN 'fair'
   WHEN governance_score >= 60 THEN 'poor' ELSE 'below' END AS band FROM g""",
     "compliance_score": f"""WITH {RUNS_SQL}, s AS (
