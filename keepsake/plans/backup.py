@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import posixpath
+import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from keepsake import __name__ as ENGINE
 from keepsake.functions.names import folder_timestamp, new_backup_folder
-from keepsake.functions.patterns import matches_any, parse_list
+from keepsake.functions.patterns import glob_regex, parse_list
 from keepsake.functions.periods import age_days, as_of_column
 from keepsake.operators.reconcile import rows_after
 from keepsake.operators.retention import simple_retention, without_needed
@@ -55,14 +56,13 @@ class RunLog:
             spark.createDataFrame(self.rows, LOG).coalesce(1).write.format(fmt).mode(mode).save(path)
 
 
-def matching_tables(spark: SparkSession, tables: dict[str, str], text: str) -> dict[str, str]:
+def matching_tables(tables: dict[str, str], text: str) -> dict[str, str]:
     """Tables whose name matches a comma-separated list of patterns."""
     wanted = parse_list(text)
-    if not wanted or wanted == ["*"] or not tables:
+    if not wanted:
         return tables
-    names = spark.createDataFrame([(name,) for name in tables], "name string")
-    kept = {row.name for row in names.where(matches_any(F.col("name"), wanted)).collect()}
-    return {name: path for name, path in tables.items() if name in kept}
+    form = re.compile(glob_regex(wanted))
+    return {name: path for name, path in tables.items() if form.match(name)}
 
 
 def parent_backup(spark: SparkSession, destination: str, source_name: str, mode: str):
@@ -115,7 +115,7 @@ def backup(spark: SparkSession, source: str, options: BackupOptions, at: dt.date
     tables = tables or list_tables(spark, source)
     if not tables and source.rstrip("/").split("/")[-1] == "Tables":
         log.add("folder listing is empty; use the session catalog for registered tables", "WARNING")
-    tables = matching_tables(spark, tables, options.table_filter)
+    tables = matching_tables(tables, options.table_filter)
     log.add(f"backing up {len(tables)} tables from {source} to {path}")
 
     parent, parent_manifest = (None, None)

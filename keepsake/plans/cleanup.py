@@ -29,15 +29,17 @@ class CleanupResult:
     rejected: DataFrame | None = None
 
 
-def execute(plan: DataFrame, dry_run: bool, tree: DataFrame | None = None) -> DataFrame:
+def execute(plan: DataFrame, dry_run: bool, tree: DataFrame | None = None, written: bool = False) -> DataFrame:
     """RESULT rows for every planned folder. A dry run touches nothing.
 
-    ``plan`` is written first: it must not be derived again from folders that are disappearing.
-    With a listing, files are deleted one by one all over the cluster before their folders, so that
-    one very large backup is not one task's work. A path outside its location is refused.
+    The plan must not be derived again from folders that are disappearing, so it is written first
+    unless it is ``written`` already. With a listing (a written table too), files are deleted one by
+    one all over the cluster before their folders, so that one very large backup is not one task's
+    work. A path outside its location is refused.
     """
     columns = ["location", "folder_name", "full_path", "size_bytes", "age_days", "ts"]
-    planned = settle(plan.where("reason IS NOT NULL").select(*columns), "plan")
+    planned = plan.where("reason IS NOT NULL").select(*columns)
+    planned = planned if written else settle(planned, "plan")
     if dry_run:
         return planned.select("*", F.lit(True).alias("would_delete"), F.lit(False).alias("deleted"),
                               F.lit(None).cast("string").alias("error"), F.lit(True).alias("dry_run"))
@@ -46,7 +48,7 @@ def execute(plan: DataFrame, dry_run: bool, tree: DataFrame | None = None) -> Da
     keys = ["location", "folder_name"]
     if tree is not None:
         files = tree.where("NOT is_dir AND error IS NULL").join(targets.select(*keys), keys, "left_semi").select(*keys, "path")
-        delete_paths(settle(files, "files"), folders=False, label="deleted-files")
+        delete_paths(files, folders=False, label="deleted-files")
     gone = delete_paths(targets.select(*keys, "path"), folders=True, label="deleted")
     outcome = gone.select(*keys, F.col("error").alias("_error"), F.lit(True).alias("_tried"))
     joined = planned.join(outcome, keys, "left")
@@ -77,14 +79,13 @@ def cleanup(spark: SparkSession, locations: list[str], options: CleanupOptions,
     tree = list_tree(spark, locations)
     catalog, rejected = discover(spark, locations, as_of, options.include_patterns, options.exclude_patterns, tree)
     plan = settle(without_needed(plan_deletions(catalog, options.retention)).drop("manifest"), "plan")
-    results = settle(execute(plan, options.dry_run, tree), "results")
+    results = settle(execute(plan, options.dry_run, tree, written=True), "results")
     totals = analysis.operation_totals(results, ["location"])
     if options.write_report:
         reports = per_table(spark, locations, lambda at: write_reports(plan, results, at, as_of, options) or {}, parallel=4)
         for report in reports:
             if report["error"]:
                 raise RuntimeError(f"report for {report['table_name']}: {report['error']}")
-    failed = results.where("error IS NOT NULL").count()
-    deleted = results.where("deleted OR would_delete").count()
-    status = "success" if failed == 0 else "failed" if failed == deleted else "partial_success"
+    planned, failed = results.agg(F.count(F.lit(1)), F.count_if(F.col("error").isNotNull())).first()
+    status = "success" if failed == 0 else "failed" if failed == planned else "partial_success"
     return CleanupResult("warning" if plan.isEmpty() else status, plan, results, totals, rejected)

@@ -213,7 +213,7 @@ def _deleter(folders: bool):
 def delete_paths(rows: DataFrame, folders: bool, label: str) -> DataFrame:
     """Delete ``path`` of each row on the executors; returns the written rows with ``error``.
 
-    ``rows`` must be a written table: it must not change while its own files disappear. The result
+    ``rows`` must come from written tables: they must not change while files disappear. The result
     is written too, so that reading it twice never deletes twice.
     """
     spark = rows.sparkSession
