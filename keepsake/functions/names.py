@@ -30,21 +30,11 @@ def folder_timestamp(name: Column, lenient: bool = False) -> Column:
     Strict needs prefix, date, time and id; lenient does without the id. Months, days and times may
     be unpadded, parts after the id are ignored.
     """
-    parts = F.split(name, "_")
-    date, time = F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
-    date_form = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
-    time_form = r"^(\d{1,2})-(\d{1,2})-([0-5]?\d)$"
-
-    def number(text: Column, form: str, group: int) -> Column:
-        return F.regexp_extract(text, form, group).try_cast("int")
-
-    stamp = F.try_make_timestamp_ntz(
-        number(date, date_form, 1), number(date, date_form, 2), number(date, date_form, 3),
-        number(time, time_form, 1), number(time, time_form, 2),
-        number(time, time_form, 3).cast("decimal(16,6)"),
-    )
-    enough = F.size(parts) >= (3 if lenient else 4)
-    return F.when(F.startswith(name, F.lit(PREFIX)) & enough, stamp)
+    form = rf"(?s)^{PREFIX}\d{{4}}-\d{{1,2}}-\d{{1,2}}_\d{{1,2}}-\d{{1,2}}-[0-5]?\d(_.*)" + ("?$" if lenient else "$")
+    # Null for other names, so that the split is not inside a branch and is done once per row.
+    fields = F.split(F.when(F.rlike(name, F.lit(form)), name), "[-_]", 8)
+    year, month, day, hour, minute, second = (F.get(fields, F.lit(i)).cast("int") for i in range(1, 7))
+    return F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)"))
 
 
 def folder_id(name: Column) -> Column:

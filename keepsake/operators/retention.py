@@ -56,14 +56,16 @@ def _over_size(rows: DataFrame, keys: list[str], eligible: Column, present: Colu
     return rows, eligible & F.col("_over")
 
 
-def plan_deletions(catalog: DataFrame, options: RetentionOptions, keys: list[str] | None = None) -> DataFrame:
+def plan_deletions(catalog: DataFrame, options: RetentionOptions, keys: list[str] | None = None,
+                   small_groups: bool | None = None) -> DataFrame:
     """Catalog with the preservation flags and ``reason`` (age, count, size or null).
 
     ``catalog`` already carries ``age_days`` for the chosen clock. Preserved backups never get a
-    reason. In advanced mode each stage sees only what the stages before it left.
+    reason. In advanced mode each stage sees only what the stages before it left. Whether groups are
+    small is counted unless the caller has done so.
     """
     keys = keys or ["location"]
-    small = fits_one_task(catalog, keys)
+    small = fits_one_task(catalog, keys) if small_groups is None else small_groups
     rows = with_preservation(catalog, options.preserve, keys, small)
     free = ~F.col("preserved")
     old = free & (F.col("age_days") > options.retention_days)
@@ -146,8 +148,9 @@ def preview(catalog: DataFrame, scenarios: dict[str, RetentionOptions], keys: li
     results are put together; the catalog is never multiplied by the scenarios.
     """
     keys = keys or ["location"]
+    small = fits_one_task(catalog, keys)
     parts = [
-        plan_summary(plan_deletions(catalog, options, keys), keys).select(
+        plan_summary(plan_deletions(catalog, options, keys, small), keys).select(
             F.lit(name).alias("scenario"), *keys, "discovered", "preserved", "to_delete", "freed_bytes")
         for name, options in scenarios.items()
     ]

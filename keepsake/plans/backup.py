@@ -22,7 +22,9 @@ from keepsake.plans.verify import count_tables, per_table, verify_copy
 from keepsake.schemas import LOG
 from keepsake.session import settle
 from keepsake.sources import manifests
-from keepsake.sources.storage import DriverFiles, delete_paths, list_tables, list_tree, partition_columns, table_sizes
+from keepsake.sources.storage import (
+    CATALOG_PREFIX, DriverFiles, delete_paths, list_catalog_tables, list_tables, list_tree, load_table, partition_columns,
+    table_sizes)
 
 LAYOUT = "%Y-%m-%d %H:%M:%S"
 
@@ -83,7 +85,7 @@ def parent_backup(spark: SparkSession, destination: str, source_name: str, mode:
 def _copy_plan(spark: SparkSession, path: str, options: BackupOptions, column: str | None, old_mark: str | None,
                log: RunLog, name: str) -> tuple[DataFrame, str | None]:
     """Rows to copy and the new high-water mark. Filters reach the file scan."""
-    table = spark.read.format(options.fmt).load(path)
+    table = load_table(spark, path, options.fmt)
     if options.partition_filter:
         try:
             table = table.where(options.partition_filter)
@@ -114,7 +116,8 @@ def backup(spark: SparkSession, source: str, options: BackupOptions, at: dt.date
     path = posixpath.join(destination, folder)
     tables = tables or list_tables(spark, source)
     if not tables and source.rstrip("/").split("/")[-1] == "Tables":
-        log.add("folder listing is empty; use the session catalog for registered tables", "WARNING")
+        log.add("folder listing is empty, taking the tables of the session catalog")
+        tables = {name: f"{CATALOG_PREFIX}{name}" for name in list_catalog_tables(spark)}
     tables = matching_tables(tables, options.table_filter)
     log.add(f"backing up {len(tables)} tables from {source} to {path}")
 

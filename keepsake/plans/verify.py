@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.operators.reconcile import content_checksum, reconcile
+from keepsake.sources.storage import load_table
 
 
 def per_table(spark: SparkSession, names: list[str], work: Callable[[str], dict], parallel: int) -> list[dict]:
@@ -27,9 +28,9 @@ def per_table(spark: SparkSession, names: list[str], work: Callable[[str], dict]
 
 def read_parts(spark: SparkSession, parts: list[str], fmt: str) -> DataFrame:
     """One table from its full copy and increments."""
-    table = spark.read.format(fmt).load(parts[0])
+    table = load_table(spark, parts[0], fmt)
     for part in parts[1:]:
-        table = table.unionByName(spark.read.format(fmt).load(part))
+        table = table.unionByName(load_table(spark, part, fmt))
     return table
 
 

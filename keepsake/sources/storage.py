@@ -56,8 +56,21 @@ def list_tables(spark: SparkSession, source: str) -> dict[str, str]:
     return tables
 
 
+# Marks a table of the session catalog where a path is expected.
+CATALOG_PREFIX = "table:"
+
+
+def load_table(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """A table by path, or by name where the path is ``table:<name>``."""
+    if path.startswith(CATALOG_PREFIX):
+        return spark.table(path.removeprefix(CATALOG_PREFIX))
+    return spark.read.format(fmt).load(path)
+
+
 def partition_columns(spark: SparkSession, path: str) -> list[str]:
     """Partition columns of a table folder, read off the first ``name=value`` folder of each depth."""
+    if path.startswith(CATALOG_PREFIX):
+        return []
     files, columns = DriverFiles(spark), []
     while True:
         nested = [name for name, is_folder in files.entries(path) if is_folder and "=" in name and not name.startswith(("_", "."))]

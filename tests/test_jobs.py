@@ -258,3 +258,18 @@ def test_sampled_restore_test(spark, folder):
     catalog, _ = discover(spark, [f"{folder}/b"], "2024-02-01 00:00:00")
     rows = r.sampled_restore_test(spark, catalog, 100, "s").collect()
     assert len(rows) == 3 and all(x.valid and x.tables == 1 and x.rows == 10 for x in rows)
+
+
+def test_tables_of_the_session_catalog(spark, folder):
+    spark.range(7).createOrReplaceTempView("zz_registered")
+    done = b.backup(spark, f"{folder}/Tables", options(f"{folder}/b", verify=True, table_filter="zz_*"), at=T0)
+    assert done.tables == ["zz_registered"] and done.verification_passed is True
+    assert spark.read.parquet(f"{done.path}/zz_registered").count() == 7
+    spark.catalog.dropTempView("zz_registered")
+
+
+def test_cleanup_of_nothing(spark, folder):
+    result = c.cleanup(spark, [folder], CleanupOptions(dry_run=False), dt.datetime(2024, 1, 21))
+    assert result.status == "warning" and result.results.count() == 0
+    with pytest.raises(ValueError):
+        c.cleanup(spark, [f"{folder}/missing"], CleanupOptions())
