@@ -88,9 +88,15 @@ def restore(spark: SparkSession, options: RestoreOptions) -> RunResult:
         writer = read_parts(spark, parts[name], options.fmt).write.format(options.fmt).mode("overwrite")
         layout = partition_columns(spark, parts[name][0]) if options.fmt == "parquet" else []
         (writer.partitionBy(*layout) if layout else writer).save(f"{staging}/{name}")
+        old = f"{staging}/.old-{name}"
         if there:
-            files.move(final, f"{staging}/.old-{name}")
-        files.move(f"{staging}/{name}", final)
+            files.move(final, old)
+        try:
+            files.move(f"{staging}/{name}", final)
+        except Exception:
+            if there:
+                files.move(old, final)
+            raise
         return {"skipped": False}
 
     results = per_table(spark, names, copy, options.parallel_tables)

@@ -1,5 +1,6 @@
 """Explicit schemas. Inference fails on empty arrays and all-null columns, so it is never used."""
 
+# The first fourteen field names are those of manifests in existing backups.
 MANIFEST = (
     "backup_id string, backup_timestamp string, source_lakehouse_name string, "
     "source_workspace_id string, backup_type string, tables array<string>, files_count bigint, "

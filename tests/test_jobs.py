@@ -273,3 +273,20 @@ def test_cleanup_of_nothing(spark, folder):
     assert result.status == "warning" and result.results.count() == 0
     with pytest.raises(ValueError):
         c.cleanup(spark, [f"{folder}/missing"], CleanupOptions())
+
+
+def test_failed_swap_keeps_the_old_table(spark, folder, monkeypatch):
+    spark.range(5).write.parquet(f"{folder}/lake/t")
+    done = b.backup(spark, f"{folder}/lake", options(f"{folder}/b"), at=T0)
+    spark.range(3).write.parquet(f"{folder}/r/t")
+    move = storage.DriverFiles.move
+
+    def failing(self, source, target):
+        if target == f"{folder}/r/t" and ".old-" not in source:
+            raise OSError("no space")
+        move(self, source, target)
+
+    monkeypatch.setattr(storage.DriverFiles, "move", failing)
+    result = r.restore(spark, RestoreOptions(done.path, f"{folder}/r"))
+    assert result.status == "failed" and result.failed == ["t"]
+    assert spark.read.parquet(f"{folder}/r/t").count() == 3
