@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import kd_shards, packing, pareto_mix, simhash_pivots
+from keepsake.llm import kd_shards, packing, pareto_mix, phrase_dedup, rp_forest, simhash_pivots
 from keepsake.llm.common import table
 
 
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard(table(spark, sf_dir, "documents"), shards=24)
 
@@ -22,9 +26,36 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
 
 
+def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_kd_shards, op4_pareto_mix, op5_pack_sequences, op9_simhash_pivots)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_rp_forest, op3_kd_shards, op4_pareto_mix, op5_pack_sequences, op6_phrase_dedup, op9_simhash_pivots)}
+
+ORACLES: dict[str, str] = {
+    "op1_rp_forest": """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+),
+reach AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+       least(e.vec_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = e.vec_id), e.vec_id)) AS component_id,
+       least(e.vec_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = e.vec_id), e.vec_id)) = e.vec_id AS kept
+FROM embeddings e""",
+}
