@@ -51,7 +51,8 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
         lo, hi = limits[f"lo{n}"] or 0.0, limits[f"hi{n}"] or 0.0
         points = points.withColumn(n, (F.col(n) - F.lit(lo)) / F.lit((hi - lo) or 1.0))
     tie = F.shiftrightunsigned("h1", 40)
-    leaves = points.select("h1", "h2", "weight", *dims, tie.alias("tie"), F.lit(0).cast("bigint").alias("part"), F.lit(count).cast("bigint").alias("k"))
+    # Written, so that the first node joins by its number like all later ones.
+    leaves = settle(points.select("h1", "h2", "weight", *dims, tie.alias("tie"), F.lit(0).cast("bigint").alias("part"), F.lit(count).cast("bigint").alias("k")), "leaves")
     for _ in range((count - 1).bit_length()):
         spans = [F.max(n) - F.min(n) for n in dims]
         widest = F.greatest(*spans)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import kd_shards, packing, pareto_mix, phrase_dedup, rp_forest, simhash_pivots
+from keepsake.llm import decision_list, fuzzy_lines, kd_shards, packing, pareto_mix, phrase_dedup, rp_forest, simhash_pivots
 from keepsake.llm.common import table
 
 
@@ -33,11 +33,20 @@ def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rp_forest, op3_kd_shards, op4_pareto_mix, op5_pack_sequences, op6_phrase_dedup, op9_simhash_pivots)}
+def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_rp_forest, op3_kd_shards, op4_pareto_mix, op5_pack_sequences, op6_phrase_dedup, op7_fuzzy_lines,
+                                    op9_simhash_pivots, op10_decision_list)}
 
 ORACLES: dict[str, str] = {
     "op1_rp_forest": """
