@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,3 +93,28 @@ def cut_points(rows: DataFrame, targets: DataFrame, rounds: int = KEY_BITS // ST
     over = F.abs(F.col("before") + F.col("inside") - F.col("target")) <= F.abs(F.col("before") - F.col("target"))
     rest = KEY_BITS - rounds * STEP_BITS
     return state.select("part", F.shiftleft(F.col("prefix") + over.cast("bigint"), rest).alias("cut"))
+
+
+def training_rows(labels: DataFrame, label: str, most: int, seed: int = 42) -> DataFrame:
+    """(doc_id, y) of rows labelled 0 or 1 outside the held-out fifth; of each label ``most`` rows, give or
+    take chance, chosen by a hash of the id. The result is bounded by ``most`` and may be broadcast."""
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
+    known = settle(known.where(~held_out(F.col("doc_id"))).distinct(), "known")
+    total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    share = F.when(F.col("y") == 1, F.lit(max(total.get(1, 0), 1))).otherwise(F.lit(max(total.get(0, 0), 1)))
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), share) < most)
+    # How many labelled rows one chosen row stands for.
+    return settle(known.withColumn("weight", F.greatest(share / float(most), F.lit(1.0))), "training")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 100) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton steps; the last is the intercept."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w, share = np.zeros(x.shape[1]), weight / weight.sum()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (share * (p - y)) + ridge * w
+        w -= np.linalg.solve((x.T * (share * p * (1 - p))) @ x + ridge * np.eye(len(w)), slope)
+        if np.abs(slope).max() < 1e-9:
+            break
+    return w

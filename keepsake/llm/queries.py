@@ -6,14 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import decision_list, fuzzy_lines, kd_shards, packing, pareto_mix, phrase_dedup, rp_forest, simhash_pivots
-from keepsake.llm.common import table
+from keepsake.llm import (
+    compression_toxicity,
+    decision_list,
+    fuzzy_lines,
+    indexed_quality,
+    kd_shards,
+    packing,
+    pareto_mix,
+    phrase_dedup,
+    rp_forest,
+    simhash_pivots,
+)
+from keepsake.llm.common import held_out, table
 
 
 def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_indexed_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = indexed_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard(table(spark, sf_dir, "documents"), shards=24)
 
@@ -37,6 +53,12 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = compression_toxicity.judge(docs, compression_toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "worst_window", "worst_gain")
+
+
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,8 +67,9 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rp_forest, op3_kd_shards, op4_pareto_mix, op5_pack_sequences, op6_phrase_dedup, op7_fuzzy_lines,
-                                    op9_simhash_pivots, op10_decision_list)}
+QUERIES = {f.__name__: f for f in (
+    op1_rp_forest, op2_indexed_quality, op3_kd_shards, op4_pareto_mix, op5_pack_sequences, op6_phrase_dedup, op7_fuzzy_lines,
+    op8_compression_toxicity, op9_simhash_pivots, op10_decision_list)}
 
 ORACLES: dict[str, str] = {
     "op1_rp_forest": """
