@@ -5,8 +5,7 @@ all ask for one row per group: the row at which a running total in some order re
 One location may hold a third of the catalog, so the group is never sorted as a whole. Totals per
 coarse bucket (a day) are aggregated with partial aggregation, which names the one bucket per group
 where the budget is reached; that bucket alone is split further while it is large, and only its
-rows are finally put in order. Only where a count has shown that every group fits one task is the
-answer a plain window over the group.
+rows are finally put in order. Null group keys are a group like any other.
 """
 
 from __future__ import annotations
@@ -43,10 +42,11 @@ class Bucket:
     ascending: bool = True
 
 
-def fits_one_task(rows: DataFrame, keys: list[str], limit: int | None = None) -> bool:
-    """Whether the largest group is small enough to be ordered in one task; one count per group."""
-    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return (largest or 0) <= (limit or ROWS_IN_ONE_TASK)
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which nulls are equal; the keys come from ``left``."""
+    renamed = right.withColumnsRenamed({key: f"_k_{key}" for key in keys})
+    same = [left[key].eqNullSafe(renamed[f"_k_{key}"]) for key in keys]
+    return left.join(renamed, same, how).drop(*[f"_k_{key}" for key in keys])
 
 
 def find_crossing(
@@ -98,7 +98,7 @@ def find_crossing(
     depth = 1
     while depth < len(buckets) and (scope.agg(F.max("_n")).first()[0] or 0) > ROWS_IN_ONE_TASK:
         finer = (
-            base.where("_w > 0").join(scope.drop("_n", "whole"), keys + names[:depth])
+            join_groups(base.where("_w > 0"), scope.drop("_n", "whole"), keys + names[:depth])
             .groupBy(*keys, *names[: depth + 1])
             .agg(F.sum("_w").alias("_w"), F.count(F.lit(1)).alias("_n"),
                  F.max("_goal").alias("_goal"), F.max("_before").alias("_start"))
@@ -111,8 +111,8 @@ def find_crossing(
         depth += 1
 
     cuts = [F.col(key.name).alias(f"cut_{key.name}") for key in order]
-    rows_there = base.where("_w > 0").join(scope.select(*keys, *names[:depth], "_goal", F.col("_before").alias("_start")),
-                                           keys + names[:depth])
+    rows_there = join_groups(base.where("_w > 0"), scope.select(*keys, *names[:depth], "_goal", F.col("_before").alias("_start")),
+                             keys + names[:depth])
     hit = (
         rows_there.withColumn("_before", F.col("_start") + F.coalesce(
             F.sum("_w").over(in_order([key.sort() for key in order])), F.lit(0)))
@@ -131,20 +131,13 @@ def mark_reached(
     budget: Callable[[Column], Column],
     flag: str,
     total: Column | None = None,
-    small_groups: bool = False,
 ) -> DataFrame:
     """Add ``flag``: the weight of the rows before this one has not yet reached the budget.
 
-    ``small_groups`` says that ``fits_one_task`` holds. Otherwise the crossing rows are found by
-    bucket totals and joined back: at most one row per group, whose true size is known because
-    it was written, so it is broadcast while small and joined by shuffle, with skewed groups split,
-    beyond that.
+    The crossing rows are found by bucket totals and joined back: at most one row per group, whose
+    true size is known because it was written, so it is broadcast while small and joined by shuffle,
+    with skewed groups split, beyond that.
     """
-    if small_groups:
-        group = W.partitionBy(*keys)
-        earlier = group.orderBy(*[key.sort() for key in order]).rowsBetween(W.unboundedPreceding, -1)
-        goal = budget(F.sum(weight if total is None else total).over(group))
-        return rows.withColumn(flag, F.coalesce(F.sum(weight).over(earlier), F.lit(0)) < goal)
     cut = find_crossing(rows, keys, order, buckets, weight, budget, total)
     not_after = F.lit(True)
     for key in reversed(order):
@@ -152,4 +145,4 @@ def mark_reached(
         before = here < there if key.ascending else here > there
         not_after = before | ((here == there) & not_after)
     inside = F.coalesce(F.col("whole"), F.lit(False)) | F.coalesce(not_after, F.lit(False))
-    return rows.join(cut, keys, "left").withColumn(flag, inside).drop("whole", *[f"cut_{key.name}" for key in order])
+    return join_groups(rows, cut, keys, "left").withColumn(flag, inside).drop("whole", *[f"cut_{key.name}" for key in order])

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions import measures, periods
-from keepsake.operators.cutoff import Bucket, Key, find_crossing, fits_one_task
+from keepsake.operators.cutoff import Bucket, Key, find_crossing, join_groups
 from keepsake.operators.running import prior_sums, prior_value
+from keepsake.session import settle
 
 # Metric name -> (window, warning, critical); durations in minutes.
 THRESHOLDS = {
@@ -67,32 +68,30 @@ def latest(values: DataFrame, keys: list[str], value: str, tie: str, window: str
 
 def exact_percentile(rows: DataFrame, keys: list[str], value: str, share_below: float, name: str,
                      buckets: list[Bucket] | None = None) -> DataFrame:
-    """Interpolated percentile per group, exact at any group size.
+    """Interpolated percentile per group, exact at any group size; null for a group of nulls.
 
     Equal values are counted before the shuffle, and the two neighbours of the wanted rank are
-    found by bucket totals, so no task holds all values of a group. Small groups use Spark's own
-    exact percentile.
+    found by bucket totals over ever finer ranges of the value, so no task holds all values of a group.
     """
-    if fits_one_task(rows, keys):
-        return rows.groupBy(*keys).agg(F.percentile(value, share_below).alias(name))
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    buckets = buckets or [Bucket(F.floor(F.col(value)))]
+    number = F.col(value).cast("double")
+    counts = settle(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    known = counts.where(F.col(value).isNotNull())
+    # A finer range lies within a coarser one: 1, then 1/1024 and 1/1048576 of a unit.
+    buckets = buckets or [Bucket(F.floor(number / 1024)), Bucket(F.floor(number)), Bucket(F.floor(number * 1024)), Bucket(F.floor(number * 1048576))]
 
     def position(total: Column) -> Column:
         return (total - 1) * F.lit(share_below)
 
     def at(rank) -> DataFrame:
-        return find_crossing(counts, keys, [Key(value)], buckets, weight=F.col("_n"), budget=rank)
+        return find_crossing(known, keys, [Key(value)], buckets, weight=F.col("_n"), budget=rank)
 
     low = at(lambda total: F.floor(position(total)).cast("bigint") + 1)
     high = at(lambda total: F.ceil(position(total)).cast("bigint") + 1)
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+    totals = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(value).isNotNull(), F.col("_n"))), F.lit(0)).alias("_n"))
     part = position(F.col("_n")) - F.floor(position(F.col("_n")))
-    return (
-        totals.join(low.select(*keys, F.col(f"cut_{value}").alias("_low")), keys)
-        .join(high.select(*keys, F.col(f"cut_{value}").alias("_high")), keys)
-        .select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * part).alias(name))
-    )
+    found = join_groups(totals, low.select(*keys, F.col(f"cut_{value}").alias("_low")), keys, "left")
+    found = join_groups(found, high.select(*keys, F.col(f"cut_{value}").alias("_high")), keys, "left")
+    return found.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * part).alias(name))
 
 
 def duration_anomalies(runs: DataFrame, keys: list[str], seconds: Column, limit_seconds: int = 7200,

@@ -7,13 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keepsake.functions import periods
+from keepsake.operators.cutoff import join_groups
 from keepsake.options import POLICIES, PreserveOptions
 from keepsake.session import settle
 
 FLAGS = ["keep_daily", "keep_weekly", "keep_monthly"]
 
 
-def preserved_backups(catalog: DataFrame, options: PreserveOptions, keys: list[str], small_groups: bool = False) -> DataFrame:
+def preserved_backups(catalog: DataFrame, options: PreserveOptions, keys: list[str]) -> DataFrame:
     """Preserved backups only: keys, ts, folder_name and the three flags.
 
     Policies are cumulative: weekly includes daily, monthly includes both. Gaps between periods do
@@ -21,9 +22,8 @@ def preserved_backups(catalog: DataFrame, options: PreserveOptions, keys: list[s
 
     The newest time per day is a partial aggregate, so a location's size does not matter; weeks and
     months are read off that table, which has one row per location and day. At most
-    daily + weekly + monthly times per location meet the catalog again, for their names. Unless the
-    caller knows the groups to be small they are written first, so that their true size decides how
-    they are joined.
+    daily + weekly + monthly times per location meet the catalog again, for their names. They are
+    written first, so that their true size decides how they are joined.
     """
     level = POLICIES.index(options.policy)
     days = catalog.groupBy(*keys, F.col("ts").cast("date").alias("day")).agg(F.max("ts").alias("ts"))
@@ -42,22 +42,19 @@ def preserved_backups(catalog: DataFrame, options: PreserveOptions, keys: list[s
         newest_in("week", options.weekly, 2).alias("keep_weekly"),
         newest_in("month", options.monthly, 3).alias("keep_monthly"),
     ).where(" OR ".join(FLAGS))
-    if not small_groups:
-        marked = settle(marked, "preserved")
-    named = catalog.select(*keys, "ts", "folder_name").join(marked, keys + ["ts"])
-    named = named.groupBy(*keys, "ts", *FLAGS).agg(F.min("folder_name").alias("folder_name"))
-    return named if small_groups else settle(named, "preserved")
+    marked = settle(marked, "preserved")
+    named = join_groups(catalog.select(*keys, "ts", "folder_name"), marked, keys + ["ts"])
+    return settle(named.groupBy(*keys, "ts", *FLAGS).agg(F.min("folder_name").alias("folder_name")), "preserved")
 
 
-def with_preservation(catalog: DataFrame, options: PreserveOptions, keys: list[str] | None = None,
-                      small_groups: bool = False) -> DataFrame:
+def with_preservation(catalog: DataFrame, options: PreserveOptions, keys: list[str] | None = None) -> DataFrame:
     """Catalog with keep_daily, keep_weekly, keep_monthly and preserved."""
     keys = keys or ["location"]
     if options.policy == "none":
         none = F.lit(False)
         return catalog.select("*", *[none.alias(flag) for flag in FLAGS], none.alias("preserved"))
-    kept = preserved_backups(catalog, options, keys, small_groups).withColumnRenamed("folder_name", "_kept")
-    joined = catalog.join(kept, keys + ["ts"], "left")
+    kept = preserved_backups(catalog, options, keys).withColumnRenamed("folder_name", "_kept")
+    joined = join_groups(catalog, kept, keys + ["ts"], "left")
     this = F.col("folder_name") == F.col("_kept")
     flagged = joined.withColumns({flag: F.coalesce(this & F.col(flag), F.lit(False)) for flag in FLAGS}).drop("_kept")
     return flagged.withColumn("preserved", F.col("keep_daily") | F.col("keep_weekly") | F.col("keep_monthly"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def reconcile(source: DataFrame, copy: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,22 +61,59 @@ def restored_tables(requested: DataFrame, failed: DataFrame, keys: list[str]) ->
     return requested.join(failed.select(*keys).distinct(), keys, "left_anti")
 
 
+def _with_nulls(column: Column, kind: T.DataType) -> Column:
+    """A value whose hash also says where its nulls are, and which can be hashed whatever it holds."""
+    if isinstance(kind, T.MapType):
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        return _with_nulls(F.array_sort(F.map_entries(column)), T.ArrayType(entry))
+    if isinstance(kind, T.ArrayType):
+        plain = not isinstance(kind.elementType, (T.ArrayType, T.MapType, T.StructType))
+        nulls = F.transform(column, lambda x: x.isNull())
+        values = column if plain else F.transform(column, lambda x: _with_nulls(x, kind.elementType))
+        return F.struct(column.isNull().alias("none"), nulls.alias("nulls"), values.alias("value"))
+    if isinstance(kind, T.StructType):
+        parts = [_with_nulls(column[field.name], field.dataType).alias(f"f{i}") for i, field in enumerate(kind.fields)]
+        return F.struct(column.isNull().alias("none"), *parts)
+    return F.struct(column.isNull().alias("none"), column.alias("value"))
+
+
 def row_hash(df: DataFrame) -> Column:
-    """64-bit hash of a whole row, also for tables with map columns."""
-    parts = []
-    for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
-        if field.dataType.typeName() == "map":
-            column = F.array_sort(F.map_entries(column))
-        parts.append(column)
-    return F.xxhash64(*parts)
+    """64-bit hash of a whole row: of its values and of where its nulls are, at any depth."""
+    return F.xxhash64(*[_with_nulls(F.col(f"`{field.name}`"), field.dataType) for field in df.schema.fields])
+
+
+def checksum_of(df: DataFrame) -> Column:
+    """Aggregate: an order-independent sum of row hashes, as text."""
+    return F.coalesce(F.sum(row_hash(df).cast("decimal(20,0)")), F.lit(0)).cast("string")
+
+
+def portable_checksum(df: DataFrame) -> DataFrame:
+    """One row: number of rows and a checksum that any SQL engine can compute.
+
+    A row's text joins its fields: null is ~, a fraction counts in millionths rounded down, a time in
+    microseconds, an array is its elements joined by commas. The checksum sums the first 32 bits of
+    the MD5 of each row's text.
+    """
+
+    def text(column: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            column = F.floor(column.cast("double") * 1_000_000)
+        elif isinstance(kind, T.TimestampNTZType):
+            column = F.unix_micros(column.cast("timestamp"))
+        elif isinstance(kind, T.TimestampType):
+            column = F.unix_micros(column)
+        elif isinstance(kind, T.ArrayType):
+            column = F.array_join(F.transform(column, lambda x: text(x, kind.elementType)), ",")
+        return F.coalesce(column.cast("string"), F.lit("~"))
+
+    whole = F.concat_ws("|", *[text(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
+    part = F.conv(F.substring(F.md5(whole), 1, 8), 16, 10).cast("bigint")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0).cast("bigint")).alias("checksum"))
 
 
 def content_checksum(df: DataFrame) -> DataFrame:
     """One row: number of rows and an order-independent sum of row hashes."""
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(row_hash(df).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("checksum"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), checksum_of(df).alias("checksum"))
 
 
 def rows_after(df: DataFrame, column: str, mark: Column | None) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keepsake.functions import names, periods
-from keepsake.operators.cutoff import Bucket, Key, fits_one_task, mark_reached
+from keepsake.operators.cutoff import Bucket, Key, mark_reached
 from keepsake.operators.preservation import with_preservation
 from keepsake.options import RetentionOptions
+from keepsake.session import settle
 
 NEWEST = [Key("ts", ascending=False), Key("folder_name")]
 OLDEST = [Key("ts"), Key("folder_name")]
@@ -33,56 +34,53 @@ def _buckets(newest_first: bool) -> list[Bucket]:
     ]
 
 
-def _beyond_count(rows: DataFrame, keys: list[str], eligible: Column, max_count: int, small: bool) -> tuple[DataFrame, Column]:
+def _beyond_count(rows: DataFrame, keys: list[str], eligible: Column, max_count: int) -> tuple[DataFrame, Column]:
     """Rows with ``_within``, and the condition for "eligible but not among the newest max_count"."""
-    rows = mark_reached(rows, keys, NEWEST, _buckets(newest_first=True), flag="_within", small_groups=small,
+    rows = mark_reached(rows, keys, NEWEST, _buckets(newest_first=True), flag="_within",
                         weight=F.when(eligible, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")),
                         budget=lambda _: F.lit(max_count).cast("bigint"))
     return rows, eligible & ~F.col("_within")
 
 
-def _over_size(rows: DataFrame, keys: list[str], eligible: Column, present: Column, max_size_bytes: int,
-               small: bool) -> tuple[DataFrame, Column]:
+def _over_size(rows: DataFrame, keys: list[str], eligible: Column, present: Column, max_size_bytes: int) -> tuple[DataFrame, Column]:
     """Rows with ``_over``, and the condition for "oldest eligible until what is present fits the cap".
 
     The total includes preserved rows; only eligible rows can be deleted. If deleting all of them
     is not enough, all are deleted.
     """
     nothing = F.lit(0).cast("bigint")
-    rows = mark_reached(rows, keys, OLDEST, _buckets(newest_first=False), flag="_over", small_groups=small,
+    rows = mark_reached(rows, keys, OLDEST, _buckets(newest_first=False), flag="_over",
                         weight=F.when(eligible, F.col("size_bytes")).otherwise(nothing),
                         total=F.when(present, F.col("size_bytes")).otherwise(nothing),
                         budget=lambda total: total - F.lit(max_size_bytes).cast("bigint"))
     return rows, eligible & F.col("_over")
 
 
-def plan_deletions(catalog: DataFrame, options: RetentionOptions, keys: list[str] | None = None,
-                   small_groups: bool | None = None) -> DataFrame:
+def plan_deletions(catalog: DataFrame, options: RetentionOptions, keys: list[str] | None = None, written: bool = False) -> DataFrame:
     """Catalog with the preservation flags and ``reason`` (age, count, size or null).
 
     ``catalog`` already carries ``age_days`` for the chosen clock. Preserved backups never get a
-    reason. In advanced mode each stage sees only what the stages before it left. Whether groups are
-    small is counted unless the caller has done so.
+    reason. In advanced mode each stage sees only what the stages before it left. The catalog is read
+    several times, so it is written first unless it is ``written`` already.
     """
     keys = keys or ["location"]
-    small = fits_one_task(catalog, keys) if small_groups is None else small_groups
-    rows = with_preservation(catalog, options.preserve, keys, small)
+    rows = with_preservation(catalog if written else settle(catalog, "catalog"), options.preserve, keys)
     free = ~F.col("preserved")
     old = free & (F.col("age_days") > options.retention_days)
     none = F.lit(None).cast("string")
     if options.mode == "age_based":
         return rows.withColumn("reason", F.when(old, F.lit("age")).otherwise(none))
     if options.mode == "count_based":
-        rows, excess = _beyond_count(rows, keys, free, options.max_count, small)
+        rows, excess = _beyond_count(rows, keys, free, options.max_count)
         return rows.withColumn("reason", F.when(excess, F.lit("count")).otherwise(none)).drop("_within")
     if options.mode == "size_based":
-        rows, excess = _over_size(rows, keys, free, F.lit(True), options.max_size_bytes, small)
+        rows, excess = _over_size(rows, keys, free, F.lit(True), options.max_size_bytes)
         return rows.withColumn("reason", F.when(excess, F.lit("size")).otherwise(none)).drop("_over")
-    rows, excess = _beyond_count(rows, keys, free & ~old, options.max_count, small)
+    rows, excess = _beyond_count(rows, keys, free & ~old, options.max_count)
     rows = rows.withColumn("reason", F.when(old, F.lit("age")).when(excess, F.lit("count")).otherwise(none))
     rows = rows.drop("_within")
     remains = F.col("reason").isNull()
-    rows, excess = _over_size(rows, keys, free & remains, remains, options.max_size_bytes, small)
+    rows, excess = _over_size(rows, keys, free & remains, remains, options.max_size_bytes)
     return rows.withColumn("reason", F.when(excess, F.lit("size")).otherwise(F.col("reason"))).drop("_over")
 
 
@@ -119,7 +117,7 @@ def emergency_plan(catalog: DataFrame, free_bytes: int, respect_preservation: bo
         return catalog.withColumn("selected", F.lit(False))
     rows = mark_reached(catalog, keys, OLDEST, _buckets(newest_first=False), flag="selected",
                         weight=F.when(eligible, F.col("size_bytes")).otherwise(F.lit(0).cast("bigint")),
-                        budget=lambda _: F.lit(free_bytes).cast("bigint"), small_groups=fits_one_task(catalog, keys))
+                        budget=lambda _: F.lit(free_bytes).cast("bigint"))
     return rows.withColumn("selected", F.col("selected") & eligible)
 
 
@@ -129,14 +127,17 @@ def simple_retention(catalog: DataFrame, retention_days: int) -> DataFrame:
     return catalog.withColumn("reason", F.when(due, F.lit("age")))
 
 
-def without_needed(plan: DataFrame) -> DataFrame:
+def without_needed(plan: DataFrame, manifests: DataFrame) -> DataFrame:
     """Plan in which no backup is deleted that a kept increment builds on.
 
-    Needs ``manifest.chain``, the folders below an increment down to its full backup.
+    ``manifests`` holds ``location, folder_name, manifest`` of every backup of the locations, whether
+    the plan knows it or not: ``manifest.chain`` lists the folders below an increment down to its full
+    backup. Whatever the plan does not delete is kept.
     """
     keys = ["location", "folder_name"]
-    kept = plan.where(F.col("reason").isNull() & (F.size("manifest.chain") > 0))
-    needed = kept.select("location", F.explode("manifest.chain").alias("folder_name")).distinct()
+    doomed = plan.where("reason IS NOT NULL").select(*keys)
+    kept = manifests.where(F.size("manifest.chain") > 0).select(*keys, "manifest.chain").join(doomed, keys, "left_anti")
+    needed = kept.select("location", F.explode("chain").alias("folder_name")).distinct()
     marked = plan.join(needed.withColumn("_needed", F.lit(True)), keys, "left")
     return marked.withColumn("reason", F.when(F.col("_needed").isNull(), F.col("reason"))).drop("_needed")
 
@@ -144,13 +145,13 @@ def without_needed(plan: DataFrame) -> DataFrame:
 def preview(catalog: DataFrame, scenarios: dict[str, RetentionOptions], keys: list[str] | None = None) -> DataFrame:
     """What each scenario would delete, per location, in one result. Nothing is deleted.
 
-    Every scenario is its own plan over the catalog, reduced to one row per location before the
-    results are put together; the catalog is never multiplied by the scenarios.
+    The catalog is written once; every scenario is its own plan over it, reduced to one row per
+    location before the results are put together. The catalog is never multiplied by the scenarios.
     """
     keys = keys or ["location"]
-    small = fits_one_task(catalog, keys)
+    catalog = settle(catalog, "catalog")
     parts = [
-        plan_summary(plan_deletions(catalog, options, keys, small), keys).select(
+        plan_summary(plan_deletions(catalog, options, keys, written=True), keys).select(
             F.lit(name).alias("scenario"), *keys, "discovered", "preserved", "to_delete", "freed_bytes")
         for name, options in scenarios.items()
     ]

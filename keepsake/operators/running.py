@@ -2,7 +2,7 @@
 
 A group such as one environment may hold a third of all runs. Bucket summaries (per day, per
 second) carry the history across buckets, and only the rows of one finest bucket are ordered
-together. Groups that a count has shown to fit one task are plain windows.
+together. Null group keys are a group like any other.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keepsake.operators.cutoff import fits_one_task
+from keepsake.operators.cutoff import join_groups
 
 
 def _bucketed(rows: DataFrame, buckets: list[Column]) -> tuple[DataFrame, list[str]]:
@@ -25,9 +25,6 @@ def prior_sums(rows: DataFrame, keys: list[str], order: list[str], buckets: list
 
     ``buckets`` go from coarse to fine, and each follows ``order`` within the one before.
     """
-    if fits_one_task(rows, keys):
-        earlier = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        return rows.withColumns({f"prior_{m}": F.coalesce(F.sum(column).over(earlier), F.lit(0)) for m, column in measures.items()})
     base, names = _bucketed(rows, buckets)
     base = base.withColumns({f"_m_{name}": measure for name, measure in measures.items()})
     finest = base.groupBy(*keys, *names).agg(*[F.sum(f"_m_{m}").alias(f"_m_{m}") for m in measures])
@@ -43,11 +40,11 @@ def prior_sums(rows: DataFrame, keys: list[str], order: list[str], buckets: list
             offsets = level
         else:
             above = offsets.withColumnsRenamed({f"_o_{m}": f"_p_{m}" for m in measures})
-            offsets = level.join(above, keys + names[:depth]).select(
+            offsets = join_groups(level, above, keys + names[:depth]).select(
                 *here, *[(F.col(f"_o_{m}") + F.col(f"_p_{m}")).alias(f"_o_{m}") for m in measures])
 
     earlier = W.partitionBy(*keys, *names).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    joined = base.join(offsets, keys + names)
+    joined = join_groups(base, offsets, keys + names)
     joined = joined.withColumns({
         f"prior_{m}": F.col(f"_o_{m}") + F.coalesce(F.sum(f"_m_{m}").over(earlier), F.lit(0)) for m in measures})
     return joined.select(*rows.columns, *[f"prior_{m}" for m in measures])
@@ -56,8 +53,6 @@ def prior_sums(rows: DataFrame, keys: list[str], order: list[str], buckets: list
 def prior_value(rows: DataFrame, keys: list[str], order: list[str], buckets: list[Column],
                 value: str, name: str) -> DataFrame:
     """Add ``name``: ``value`` of the row just before in the group, null for the first."""
-    if fits_one_task(rows, keys):
-        return rows.withColumn(name, F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
     base, names = _bucketed(rows, buckets)
     # A struct tells "no earlier row" (null) from "earlier row with a null value".
     finest = base.groupBy(*keys, *names).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
@@ -72,10 +67,10 @@ def prior_value(rows: DataFrame, keys: list[str], order: list[str], buckets: lis
             offsets = level
         else:
             above = offsets.withColumnRenamed("_before", "_above")
-            offsets = level.join(above, keys + names[:depth]).select(
+            offsets = join_groups(level, above, keys + names[:depth]).select(
                 *here, F.coalesce("_before", "_above").alias("_before"))
 
     within = W.partitionBy(*keys, *names).orderBy(*order)
-    joined = base.join(offsets, keys + names)
+    joined = join_groups(base, offsets, keys + names)
     previous = F.coalesce(F.lag(F.struct(value)).over(within), F.col("_before"))
     return joined.withColumn(name, previous[value]).select(*rows.columns, name)

@@ -80,6 +80,8 @@ class BackupOptions:
     fmt: str = "parquet"
     table_filter: str = "*"
     partition_filter: str = ""
+    # tables the filter is for; none: all, and a table it does not apply to fails
+    partition_filter_tables: tuple = ()
     compress: bool = True
     include_logs: bool = True
     verify: bool = True

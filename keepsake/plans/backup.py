@@ -7,24 +7,24 @@ import posixpath
 import re
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepsake import __name__ as ENGINE
 from keepsake.functions.names import folder_timestamp, new_backup_folder
 from keepsake.functions.patterns import glob_regex, parse_list
 from keepsake.functions.periods import age_days, as_of_column
-from keepsake.operators.reconcile import rows_after
+from keepsake.operators.reconcile import checksum_of, rows_after
 from keepsake.operators.retention import simple_retention, without_needed
 from keepsake.options import BackupOptions
-from keepsake.plans.verify import count_tables, per_table, verify_copy
-from keepsake.schemas import LOG
+from keepsake.plans.verify import COUNTS, count_tables, per_table, verify_copy
+from keepsake.schemas import LOG, TABLE_METADATA
 from keepsake.session import settle
 from keepsake.sources import manifests
 from keepsake.sources.storage import (
     CATALOG_PREFIX, DriverFiles, delete_paths, list_catalog_tables, list_tables, list_tree, load_table, partition_columns,
-    table_sizes)
+    table_sizes, top_folders)
 
 LAYOUT = "%Y-%m-%d %H:%M:%S"
 
@@ -70,11 +70,12 @@ def matching_tables(tables: dict[str, str], text: str) -> dict[str, str]:
 def parent_backup(spark: SparkSession, destination: str, source_name: str, mode: str):
     """(folder, manifest) that an increment builds on: the latest backup, or the latest full one.
 
-    Only backups with a manifest, of the same lakehouse and not failed in verification, count.
+    Only backups with a manifest, of the same lakehouse, with a copied table and not failed in
+    verification, count.
     """
     usable = manifests.read_manifests(spark, [destination]).where(
         (F.col("manifest.source_lakehouse_name") == source_name)
-        & F.coalesce(F.col("manifest.verification_passed"), F.lit(True))
+        & F.coalesce(F.col("manifest.verification_passed"), F.lit(True)) & (F.size("manifest.tables") > 0)
         & folder_timestamp(F.col("folder_name")).isNotNull())
     if mode == "differential":
         usable = usable.where("manifest.backup_mode = 'full'")
@@ -82,26 +83,37 @@ def parent_backup(spark: SparkSession, destination: str, source_name: str, mode:
     return (last[0].folder_name, last[0].manifest) if last else (None, None)
 
 
-def _copy_plan(spark: SparkSession, path: str, options: BackupOptions, column: str | None, old_mark: str | None,
-               log: RunLog, name: str) -> tuple[DataFrame, str | None]:
-    """Rows to copy and the new high-water mark. Filters reach the file scan."""
+@dataclass
+class _Copy:
+    """What to copy of one table: all its rows, or those between two marks."""
+
+    rows: DataFrame
+    kind: str = "whole"
+    low: str | None = None
+    high: str | None = None
+
+
+def _copy_plan(spark: SparkSession, name: str, path: str, options: BackupOptions, old_mark: str | None, log: RunLog) -> _Copy:
+    """Filters reach the file scan. A filter that does not apply to a table it is meant for raises."""
     table = load_table(spark, path, options.fmt)
-    if options.partition_filter:
-        try:
-            table = table.where(options.partition_filter)
-        except AnalysisException:
-            log.add(f"{name}: partition filter does not apply, copying all rows", "WARNING")
+    if options.partition_filter and (not options.partition_filter_tables or name in options.partition_filter_tables):
+        table = table.where(options.partition_filter)
+    column = options.high_water_columns.get(name)
     if column is None:
-        return table, None
+        return _Copy(table)
     kind = table.schema[column].dataType
     # The mark is taken before the copy, and the copy ends at it, so rows written meanwhile wait
     # for the next run.
-    newest = table.agg(F.max(column).cast("string")).first()[0]
+    old = F.lit(old_mark).cast(kind)
+    newest, unmarked = table.agg(F.greatest(F.max(column), old).cast("string"), F.count_if(F.col(column).isNull())).first()
     if newest is None:
-        return table, old_mark
-    rows = rows_after(table, column, F.lit(old_mark).cast(kind) if old_mark else None)
-    first_copy = F.col(column).isNull() if old_mark is None else F.lit(False)
-    return rows.where((F.col(column) <= F.lit(newest).cast(kind)) | first_copy), newest
+        return _Copy(table)
+    if old_mark is not None and unmarked:
+        log.add(f"{name}: {unmarked} rows have no {column}, copying the whole table", "WARNING")
+    upto = F.col(column) <= F.lit(newest).cast(kind)
+    if old_mark is None or unmarked:
+        return _Copy(table.where(upto | F.col(column).isNull()), "whole", None, newest)
+    return _Copy(rows_after(table, column, old).where(upto), "partial", old_mark, newest)
 
 
 def backup(spark: SparkSession, source: str, options: BackupOptions, at: dt.datetime | None = None,
@@ -128,18 +140,30 @@ def backup(spark: SparkSession, source: str, options: BackupOptions, at: dt.date
             log.add("no earlier backup to build on, making a full one", "WARNING")
     mode = options.mode if parent else "full"
     old_marks = dict(parent_manifest.high_water_marks or {}) if parent else {}
+    earlier = manifests.copies_of(parent_manifest) if parent else {}
+    schemas: dict[str, T.StructType] = {}
 
     def copy(name: str) -> dict:
-        column = options.high_water_columns.get(name)
-        rows, mark = _copy_plan(spark, tables[name], options, column, old_marks.get(name) if column else None, log, name)
-        writer = rows.write.format(options.fmt).mode("overwrite")
+        # A mark counts only where the parent says how many rows stand behind it.
+        old_mark = old_marks.get(name) if name in earlier else None
+        plan = _copy_plan(spark, name, tables[name], options, old_mark, log)
+        # Rows and checksum of the source are taken from the very rows that are written.
+        seen = Observation()
+        wanted = [F.count(F.lit(1)).alias("rows")] + ([checksum_of(plan.rows).alias("checksum")] if options.content_check else [])
+        writer = plan.rows.observe(seen, *wanted).write.format(options.fmt).mode("overwrite")
         if options.compress:
             writer = writer.option("compression", "snappy")
         layout = options.partition_columns.get(name) or (partition_columns(spark, tables[name]) if options.fmt == "parquet" else [])
         if layout:
             writer = writer.partitionBy(*layout)
         writer.save(f"{path}/{name}")
-        return {"mark": mark, "schema": rows.schema.json()}
+        # A plan that Spark knows to be empty runs no job and reports nothing.
+        found = seen.get
+        rows = found.get("rows", 0)
+        total = rows + (earlier[name].total_rows if plan.kind == "partial" else 0)
+        schemas[name] = plan.rows.schema
+        checksum = found.get("checksum", "0") if options.content_check else None
+        return {"kind": plan.kind, "low": plan.low, "high": plan.high, "rows": rows, "total_rows": total, "checksum": checksum}
 
     results = per_table(spark, sorted(tables), copy, options.parallel_tables)
     done = [r for r in results if r["error"] is None]
@@ -150,8 +174,8 @@ def backup(spark: SparkSession, source: str, options: BackupOptions, at: dt.date
     if options.include_logs and done:
         # Schema and origin of each table. A live transaction log is never copied over the new files.
         spark.createDataFrame(
-            [(r["table_name"], r["schema"], options.fmt, tables[r["table_name"]]) for r in done],
-            "table_name string, schema_json string, format string, source_path string",
+            [(r["table_name"], schemas[r["table_name"]].json(), options.fmt, tables[r["table_name"]]) for r in done],
+            TABLE_METADATA,
         ).coalesce(1).write.mode("overwrite").json(f"{path}/_table_metadata")
 
     files_count, size_bytes = 0, 0
@@ -160,11 +184,13 @@ def backup(spark: SparkSession, source: str, options: BackupOptions, at: dt.date
         files_count, size_bytes = total[0] or 0, total[1] or 0
 
     passed = None
-    if options.verify and done and mode == "full" and not options.partition_filter:
-        names = [r["table_name"] for r in done]
-        counted = count_tables(spark, {n: [tables[n]] for n in names}, options.fmt, options.parallel_tables, options.content_check)
-        copied = count_tables(spark, {n: [f"{path}/{n}"] for n in names}, options.fmt, options.parallel_tables, options.content_check)
-        passed = write_verification(spark, verify_copy(counted, copied), path)
+    if options.verify and done:
+        written = spark.createDataFrame([(r["table_name"], r["rows"], r["checksum"], None) for r in done], COUNTS)
+        # Partitioned copies get their column order from the files, so their schema is looked up.
+        known = {n: x for n, x in schemas.items() if options.fmt == "parquet" and not partition_columns(spark, f"{path}/{n}")}
+        copied = count_tables(spark, {r["table_name"]: [f"{path}/{r['table_name']}"] for r in done}, options.fmt, options.parallel_tables,
+                              options.content_check, known)
+        passed = write_verification(spark, verify_copy(written, copied), path)
         log.add(f"verification {'passed' if passed else 'failed'}", "INFO" if passed else "ERROR")
 
     end = start + (dt.datetime.now() - began)
@@ -177,8 +203,13 @@ def backup(spark: SparkSession, source: str, options: BackupOptions, at: dt.date
         "duration_seconds": float(int((end - start).total_seconds())), "fabric_version": ENGINE,
         "verification_passed": passed, "backup_mode": mode, "parent_folder": parent,
         "chain": [*(parent_manifest.chain or []), parent] if parent else [],
-        "high_water_marks": {r["table_name"]: r["mark"] for r in done if r.get("mark")},
+        # Marks of tables that failed now are carried on: the next increment starts there.
+        "high_water_marks": {name: mark for name, mark in old_marks.items() if name in {r["table_name"] for r in failed}}
+        | {r["table_name"]: r["high"] for r in done if r["high"]},
         "failed_tables": [r["table_name"] for r in failed],
+        "copies": [tuple(r[k] for k in ("table_name", "kind", "low", "high", "rows", "total_rows", "checksum")) for r in done]
+        + [(r["table_name"], "missing", None, old_marks[r["table_name"]], 0, earlier[r["table_name"]].total_rows, None)
+           for r in failed if r["table_name"] in old_marks and r["table_name"] in earlier],
     })
     if options.retention_days > 0:
         removed = apply_simple_retention(spark, destination, options.retention_days, start).count()
@@ -208,18 +239,18 @@ def apply_simple_retention(spark: SparkSession, destination: str, retention_days
     Returns one row per deleted folder with its error. No patterns, no preservation; but a folder
     that a younger increment builds on stays.
     """
-    folders = [(destination.rstrip("/"), name, f"{destination.rstrip('/')}/{name}")
-               for name, is_folder in DriverFiles(spark).entries(destination) if is_folder]
-    catalog = spark.createDataFrame(folders, "location string, folder_name string, path string")
+    location = destination.rstrip("/")
+    catalog = settle(top_folders(list_tree(spark, [location], deep=False)), "folders")
+    folders = catalog
     ts = folder_timestamp(F.col("folder_name"), lenient=True)
     catalog = catalog.withColumn("age_days", age_days(ts, as_of_column(as_of))).where(F.col("age_days").isNotNull())
     plan = simple_retention(catalog, retention_days)
     if plan.where("reason IS NOT NULL").isEmpty():
-        return plan.select("location", "folder_name", "path", "age_days", F.lit(None).cast("string").alias("error")).limit(0)
-    found = manifests.read_manifests(spark, [destination])
-    plan = without_needed(plan.join(found, ["location", "folder_name"], "left"))
+        return plan.select("location", "folder_name", "path", "age_days", F.lit(None).cast("string").alias("error"),
+                           F.lit(False).alias("already_gone")).limit(0)
+    plan = without_needed(plan, manifests.all_manifests(spark, [location], folders))
     due = settle(plan.where("reason IS NOT NULL").select("location", "folder_name", "path", "age_days"), "due")
-    return delete_paths(due, folders=True, label="deleted")
+    return delete_paths(due, folders=True, label="deleted", locations=[location])
 
 
 def sweep(spark: SparkSession, lakehouses: list[dict], options_for, parallel: int = 3) -> list[dict]:

@@ -15,7 +15,8 @@ from keepsake.plans import analysis
 from keepsake.plans.discover import discover
 from keepsake.plans.verify import per_table
 from keepsake.session import settle
-from keepsake.sources.storage import DriverFiles, delete_paths, list_tree
+from keepsake.sources.manifests import all_manifests
+from keepsake.sources.storage import DriverFiles, delete_paths, list_tree, top_folders
 
 REPORTS = "_cleanup_reports"
 
@@ -42,19 +43,21 @@ def execute(plan: DataFrame, dry_run: bool, tree: DataFrame | None = None, writt
     planned = planned if written else settle(planned, "plan")
     if dry_run:
         return planned.select("*", F.lit(True).alias("would_delete"), F.lit(False).alias("deleted"),
-                              F.lit(None).cast("string").alias("error"), F.lit(True).alias("dry_run"))
+                              F.lit(None).cast("string").alias("error"), F.lit(True).alias("dry_run"), F.lit(False).alias("already_gone"))
     inside = (F.col("full_path") == F.concat_ws("/", "location", "folder_name")) & F.startswith("folder_name", F.lit(names.PREFIX))
     targets = planned.where(inside & ~F.contains("full_path", F.lit("/../"))).withColumnRenamed("full_path", "path")
     keys = ["location", "folder_name"]
+    locations = [row.location for row in planned.select("location").distinct().collect()]
     if tree is not None:
         files = tree.where("NOT is_dir AND error IS NULL").join(targets.select(*keys), keys, "left_semi").select(*keys, "path")
-        delete_paths(files, folders=False, label="deleted-files")
-    gone = delete_paths(targets.select(*keys, "path"), folders=True, label="deleted")
-    outcome = gone.select(*keys, F.col("error").alias("_error"), F.lit(True).alias("_tried"))
+        delete_paths(files, folders=False, label="deleted-files", locations=locations)
+    gone = delete_paths(targets.select(*keys, "path"), folders=True, label="deleted", locations=locations)
+    outcome = gone.select(*keys, F.col("error").alias("_error"), "already_gone", F.lit(True).alias("_tried"))
     joined = planned.join(outcome, keys, "left")
     error = F.when(F.col("_tried").isNull(), F.lit("refused: not a backup folder of its location")).otherwise(F.col("_error"))
-    return joined.select(*columns, F.lit(True).alias("would_delete"), error.isNull().alias("deleted"),
-                         error.alias("error"), F.lit(False).alias("dry_run"))
+    there = ~F.coalesce("already_gone", F.lit(False))
+    return joined.select(*columns, F.lit(True).alias("would_delete"), (error.isNull() & there).alias("deleted"),
+                         error.alias("error"), F.lit(False).alias("dry_run"), (~there).alias("already_gone"))
 
 
 def write_reports(plan: DataFrame, results: DataFrame, location: str, as_of: dt.datetime, options: CleanupOptions) -> None:
@@ -78,7 +81,9 @@ def cleanup(spark: SparkSession, locations: list[str], options: CleanupOptions,
         raise ValueError(f"backup locations do not exist: {missing}")
     tree = list_tree(spark, locations)
     catalog, rejected = discover(spark, locations, as_of, options.include_patterns, options.exclude_patterns, tree)
-    plan = settle(without_needed(plan_deletions(catalog, options.retention)).drop("manifest"), "plan")
+    # Chains are read off all manifests, before any pattern or name has left a folder out.
+    planned = plan_deletions(catalog.drop("manifest"), options.retention)
+    plan = settle(without_needed(planned, all_manifests(spark, locations, top_folders(tree))), "plan")
     results = settle(execute(plan, options.dry_run, tree, written=True), "results")
     totals = analysis.operation_totals(results, ["location"])
     if options.write_report:

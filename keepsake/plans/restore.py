@@ -14,7 +14,8 @@ from keepsake.operators.reconcile import compare_tables, sample_for_test
 from keepsake.options import RestoreOptions
 from keepsake.plans.backup import RunResult
 from keepsake.plans.discover import discover
-from keepsake.plans.verify import backup_integrity, count_tables, per_table, read_parts, verify_copy
+from keepsake.plans.verify import COUNTS, backup_integrity, count_tables, per_table, read_parts, verify_copy
+from keepsake.schemas import TABLE_METADATA
 from keepsake.sources import manifests
 from keepsake.sources.storage import DriverFiles, list_tables, partition_columns
 
@@ -33,28 +34,37 @@ def chosen_tables(spark: SparkSession, options: RestoreOptions) -> list[str]:
 def table_parts(spark: SparkSession, backup_path: str, tables: list[str]) -> dict[str, list[str]]:
     """Folders that make up each table, oldest first.
 
-    An increment holds only new rows of the tables with a high-water mark, so these also need every
-    folder of its chain, from the last one that holds the whole table.
+    The manifest says of each copy whether it is whole or holds the rows between two marks. A partial
+    copy needs the copies before it, each ending at the mark where the next begins, down to a whole one.
+    Raises if any of them is missing or does not fit.
     """
     path = backup_path.rstrip("/")
-    parts = {name: [f"{path}/{name}"] for name in tables}
     manifest = manifests.read_manifest(spark, path)
-    if manifest is None or not manifest.chain:
-        return parts
-    location = posixpath.dirname(path)
-    below = {row.folder_name: row.manifest for row in manifests.read_manifests(spark, [location])
-             .where(F.col("folder_name").isin(manifest.chain)).collect()}
+    chain = list(manifest.chain or []) if manifest is not None else []
+    location, below = posixpath.dirname(path), {}
+    if chain:
+        below = {row.folder_name: row.manifest for row in manifests.read_manifests(spark, [location])
+                 .where(F.col("folder_name").isin(chain)).collect()}
+    parts = {}
     for name in tables:
-        partial = name in (manifest.high_water_marks or {})
-        for folder in reversed(manifest.chain):
-            if not partial:
+        copy = manifests.copies_of(manifest).get(name)
+        if copy is None and name in ((manifest.high_water_marks or {}) if chain else {}):
+            raise ValueError(f"{path}: the manifest does not say how {name} was copied")
+        parts[name] = [f"{path}/{name}"]
+        for folder in reversed(chain):
+            if copy is None or copy.kind == "whole":
                 break
-            earlier = below.get(folder)
-            if earlier is None:
+            if folder not in below:
                 raise ValueError(f"{path} builds on {folder}, which is missing")
-            if name in (earlier.tables or []):
-                parts[name].insert(0, f"{location}/{folder}/{name}")
-                partial = earlier.parent_folder is not None and name in (earlier.high_water_marks or {})
+            before = manifests.copies_of(below[folder]).get(name)
+            if before is None or before.kind == "missing":
+                continue
+            if copy.low != before.high:
+                raise ValueError(f"{path}: {name} goes on from {copy.low}, but {folder} ends at {before.high}")
+            parts[name].insert(0, f"{location}/{folder}/{name}")
+            copy = before
+        if copy is not None and copy.kind != "whole":
+            raise ValueError(f"{path}: no whole copy of {name} in its chain")
     return parts
 
 
@@ -62,7 +72,8 @@ def restore(spark: SparkSession, options: RestoreOptions) -> RunResult:
     """Restore into ``options.target``. Nothing is written if a table to restore cannot be read.
 
     Each table is written beside the target and moved into place when complete, so a failed copy
-    leaves the old table as it was.
+    leaves the old table as it was. The old table is put aside until the new one is in place; if it
+    cannot be put back either, it stays there and the error says where.
     """
     began = dt.datetime.now()
     files = DriverFiles(spark)
@@ -78,7 +89,8 @@ def restore(spark: SparkSession, options: RestoreOptions) -> RunResult:
             bad = sorted(row.table_name for row in counts.where("error IS NOT NULL").collect())
             return RunResult("failed", target, [], bad, message="backup is not intact")
 
-    staging = f"{target}/.restoring-{uuid.uuid4().hex[:8]}"
+    run = uuid.uuid4().hex[:8]
+    staging = f"{target}/.restoring-{run}"
 
     def copy(name: str) -> dict:
         final = f"{target}/{name}"
@@ -88,15 +100,20 @@ def restore(spark: SparkSession, options: RestoreOptions) -> RunResult:
         writer = read_parts(spark, parts[name], options.fmt).write.format(options.fmt).mode("overwrite")
         layout = partition_columns(spark, parts[name][0]) if options.fmt == "parquet" else []
         (writer.partitionBy(*layout) if layout else writer).save(f"{staging}/{name}")
-        old = f"{staging}/.old-{name}"
+        old = f"{target}/.old-{run}-{name}"
         if there:
             files.move(final, old)
         try:
             files.move(f"{staging}/{name}", final)
-        except Exception:
+        except Exception as failure:
             if there:
-                files.move(old, final)
+                try:
+                    files.move(old, final)
+                except Exception as stuck:
+                    raise OSError(f"{final} could not be replaced ({failure}); the old table is kept at {old}") from stuck
             raise
+        if there:
+            files.remove(old)
         return {"skipped": False}
 
     results = per_table(spark, names, copy, options.parallel_tables)
@@ -107,9 +124,16 @@ def restore(spark: SparkSession, options: RestoreOptions) -> RunResult:
 
     passed = None
     if options.verify_after and done:
-        expected = count_tables(spark, {n: parts[n] for n in done}, options.fmt, options.parallel_tables)
+        # What the manifest promises; parts are counted only for backups whose manifest does not say.
+        said = manifests.copies_of(manifests.read_manifest(spark, source))
+        promised = [(n, said[n].total_rows, None, None) for n in done if n in said]
+        expected = spark.createDataFrame(promised, COUNTS)
+        if len(promised) < len(done):
+            expected = expected.union(count_tables(spark, {n: parts[n] for n in done if n not in said}, options.fmt, options.parallel_tables))
         actual = count_tables(spark, {n: [f"{target}/{n}"] for n in done}, options.fmt, options.parallel_tables)
         passed = verify_copy(expected, actual).where("NOT verified").isEmpty()
+    if options.include_logs and done:
+        restore_metadata(spark, source, target, done)
     status = "success" if not failed else "partial_success" if done or skipped else "failed"
     if passed is False:
         status = "partial_success" if status == "success" else status
@@ -117,6 +141,14 @@ def restore(spark: SparkSession, options: RestoreOptions) -> RunResult:
                      verification_passed=passed, message="; ".join(r["error"] for r in results if r["error"]))
 
 
+def restore_metadata(spark: SparkSession, source: str, target: str, tables: list[str]) -> None:
+    """Add the schema and origin of the restored tables, where the backup has them, to the target's table metadata."""
+    if not DriverFiles(spark).exists(f"{source}/_table_metadata"):
+        return
+    known = spark.read.schema(TABLE_METADATA).json(f"{source}/_table_metadata")
+    known.where(F.col("table_name").isin(tables)).coalesce(1).write.mode("append").json(f"{target}/_table_metadata")
+
+
 def sampled_restore_test(spark: SparkSession, catalog: DataFrame, percent: float, seed: str, fmt: str = "parquet",
                          parallel: int = 4) -> DataFrame:
     """Integrity check of a repeatable random share of the backups: every table of each loads and counts."""

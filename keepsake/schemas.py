@@ -7,9 +7,12 @@ MANIFEST = (
     "backup_size_bytes bigint, include_delta_logs boolean, compressed boolean, start_time string, "
     "end_time string, duration_seconds double, fabric_version string, verification_passed boolean, "
     "backup_mode string, parent_folder string, chain array<string>, high_water_marks map<string,string>, "
-    "failed_tables array<string>"
+    "failed_tables array<string>, "
+    "copies array<struct<table_name:string,kind:string,low:string,high:string,rows:bigint,total_rows:bigint,checksum:string>>"
 )
 
+TABLE_METADATA = "table_name string, schema_json string, format string, source_path string"
+
 LISTING = "location string, folder_name string, path string, length bigint, is_dir boolean, open boolean, error string"
 
 LOG = "ts timestamp_ntz, level string, message string"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepsake.schemas import LISTING
 from keepsake.session import settle
@@ -20,6 +21,12 @@ class DriverFiles:
         p = self._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self._conf), p
 
+    def scheme(self, path: str) -> str:
+        """What this cluster's default file system puts before a path without a scheme, such as ``file:`` or ``hdfs://name:8020``."""
+        fs, p = self._at(path)
+        whole = fs.makeQualified(p).toUri()
+        return f"{whole.getScheme()}:" + (f"//{whole.getAuthority()}" if whole.getAuthority() else "")
+
     def exists(self, path: str) -> bool:
         fs, p = self._at(path)
         return fs.exists(p)
@@ -60,11 +67,12 @@ def list_tables(spark: SparkSession, source: str) -> dict[str, str]:
 CATALOG_PREFIX = "table:"
 
 
-def load_table(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """A table by path, or by name where the path is ``table:<name>``."""
+def load_table(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table by path, or by name where the path is ``table:<name>``; a known schema saves a look into the files."""
     if path.startswith(CATALOG_PREFIX):
         return spark.table(path.removeprefix(CATALOG_PREFIX))
-    return spark.read.format(fmt).load(path)
+    reader = spark.read.format(fmt)
+    return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
 def partition_columns(spark: SparkSession, path: str) -> list[str]:
@@ -85,11 +93,43 @@ def list_catalog_tables(spark: SparkSession, database: str | None = None) -> lis
     return sorted(row.tableName for row in spark.sql(f"SHOW TABLES IN `{database}`" if database else "SHOW TABLES").collect())
 
 
+# File systems that tasks can open.
+SCHEMES = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
+
+
+def _has_scheme(path: str) -> bool:
+    return "://" in path or path.startswith("file:")
+
+
+def qualified(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """What to put before paths below each of ``paths``, so that tasks use the file system the driver uses.
+
+    Raises for a scheme that tasks cannot open, before anything is planned.
+    """
+    found = {}
+    for path in paths:
+        scheme = path.split(":", 1)[0] if _has_scheme(path) else DriverFiles(spark).scheme(path)
+        if scheme.split(":", 1)[0] not in SCHEMES:
+            raise ValueError(f"{path}: no access to {scheme} on the executors; use one of {', '.join(SCHEMES)}")
+        found[path.rstrip("/")] = "" if _has_scheme(path) else scheme
+    return found
+
+
+def open_path(path: str, before: str):
+    """(file system, path in it) of a path, for use in tasks."""
+    from pyarrow import fs
+
+    path = before + path
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
 # Entries that one task lists before it hands the folders it has not reached to the next round.
 ENTRIES_IN_ONE_TASK = 100_000
 
 
-def _lister(budget: int):
+def _lister(budget: int, before: dict[str, str], deep: bool):
     """Function for mapInPandas: lists what is below ``path``; folders left over are marked open."""
 
     def list_below(batches):
@@ -98,13 +138,6 @@ def _lister(budget: int):
 
         columns = ["location", "folder_name", "path", "length", "is_dir", "open", "error"]
 
-        def open_path(path):
-            if path.startswith("file:"):
-                return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-            if "://" in path:
-                return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-            return fs.LocalFileSystem(), path
-
         for batch in batches:
             # A folder given to this task was written as open by the round before.
             waiting = list(zip(batch["location"], batch["folder_name"], batch["path"]))
@@ -112,17 +145,19 @@ def _lister(budget: int):
             while waiting and (listed < budget or len(waiting) == 1):
                 location, folder, path = waiting.pop()
                 try:
-                    system, inner = open_path(path)
+                    system, inner = open_path(path, before[location])
                     found = system.get_file_info(fs.FileSelector(inner))
                 except Exception as exc:
-                    rows.append((location, folder, path, 0, True, False, str(exc)[:500]))
+                    rows.append((location, folder, path, 0, True, False, str(exc)))
                     continue
                 if folder:
                     rows.append((location, folder, path, 0, True, False, None))
                 listed += len(found) + 1
                 for info in found:
                     name, child = folder or info.base_name, f"{path.rstrip('/')}/{info.base_name}"
-                    if info.type == fs.FileType.Directory:
+                    if info.type == fs.FileType.Directory and not deep:
+                        rows.append((location, name, child, 0, True, False, None))
+                    elif info.type == fs.FileType.Directory:
                         waiting.append((location, name, child))
                     else:
                         rows.append((location, name, child, int(info.size or 0), False, False, None))
@@ -136,27 +171,44 @@ def _lister(budget: int):
     return list_below
 
 
-def list_tree(spark: SparkSession, locations: list[str]) -> DataFrame:
-    """Every file and folder below the locations, hidden ones included.
+def list_tree(spark: SparkSession, locations: list[str], deep: bool = True) -> DataFrame:
+    """Every file and folder below the locations, hidden ones included; only the top level if not ``deep``.
 
     Folders are listed on the executors. A task stops at a fixed number of entries and hands the
     folders it has not reached to the next round, which spreads them over all tasks. Each round is
     written to the workspace, so neither the driver nor one task holds the whole tree, and a folder
-    that cannot be read becomes a row with an error instead of a size of 0.
+    that cannot be read becomes a row with an error instead of a size of 0. A location that cannot be
+    listed itself raises: it is not an empty one.
     """
+    before = qualified(spark, locations)
     roots = [(location.rstrip("/"), None, location.rstrip("/")) for location in locations]
     frontier = spark.createDataFrame(roots, "location string, folder_name string, path string")
     tree = None
     while True:
         parts = spark.sparkContext.defaultParallelism
-        level = settle(frontier.repartition(parts, "path").mapInPandas(_lister(ENTRIES_IN_ONE_TASK), LISTING), "listing")
+        level = settle(frontier.repartition(parts, "path").mapInPandas(_lister(ENTRIES_IN_ONE_TASK, before, deep), LISTING), "listing")
         closed = level.where("NOT open").drop("open")
         tree = closed if tree is None else tree.unionByName(closed)
         frontier = level.where("open").select("location", "folder_name", "path")
+        unread = level.where("folder_name IS NULL AND error IS NOT NULL").first()
+        if unread:
+            raise OSError(f"cannot list {unread['path']}: {unread['error']}")
         if frontier.isEmpty():
             return tree
 
 
+def list_folders(folders: DataFrame, locations: list[str]) -> DataFrame:
+    """Files directly in each of ``folders`` (location, folder_name, path); missing folders have none."""
+    spark = folders.sparkSession
+    spread = folders.repartition(spark.sparkContext.defaultParallelism, "path")
+    return spread.mapInPandas(_lister(ENTRIES_IN_ONE_TASK, qualified(spark, locations), False), LISTING).where("NOT is_dir")
+
+
+def top_folders(tree: DataFrame) -> DataFrame:
+    """Folders directly below each location."""
+    return tree.where(F.col("is_dir") & (F.col("path") == F.concat_ws("/", "location", "folder_name"))).select("location", "folder_name", "path").distinct()
+
+
 def folder_sizes(tree: DataFrame) -> DataFrame:
     """Bytes and files per backup folder, with the first read error if any."""
     return tree.where("folder_name IS NOT NULL").groupBy("location", "folder_name").agg(
@@ -165,9 +217,14 @@ def folder_sizes(tree: DataFrame) -> DataFrame:
 
 
 def table_sizes(tree: DataFrame) -> DataFrame:
-    """Data files and bytes per table of one backup: location is the backup, folder_name the table."""
+    """Data files and bytes per table of one backup: location is the backup, folder_name the table.
+
+    Raises while it is read if part of a table could not be listed: the sizes would be too small.
+    """
+    problem = F.concat(F.lit("cannot list "), "path", F.lit(": "), "error")
+    tree = tree.withColumn("length", F.when(F.col("error").isNotNull(), F.raise_error(problem).cast("bigint")).otherwise(F.col("length")))
     name = F.element_at(F.split("path", "/"), -1)
-    data = ~F.col("is_dir") & ~F.rlike(name, F.lit("^[_.]")) & ~F.rlike("folder_name", F.lit("^[_.]"))
+    data = (~F.col("is_dir") | F.col("error").isNotNull()) & ~F.rlike(name, F.lit("^[_.]")) & ~F.rlike("folder_name", F.lit("^[_.]"))
     return tree.where(data).groupBy(F.regexp_replace("folder_name", r"\.parquet$", "").alias("table_name")).agg(
         F.count(F.lit(1)).alias("num_files"), F.sum("length").alias("size_bytes"))
 
@@ -189,47 +246,42 @@ def table_statistics(spark: SparkSession, tables: dict[str, str], fmt: str) -> D
         F.count(F.lit(1)).alias("num_files"), F.sum("length").alias("size_bytes"))
 
 
-def _deleter(folders: bool):
-    """Function for mapInPandas: deletes ``path`` and adds ``error``. What is gone already is no error."""
+def _deleter(folders: bool, before: dict[str, str]):
+    """Function for mapInPandas: deletes ``path`` and adds ``error`` and ``already_gone``."""
 
     def delete(batches):
         from pyarrow import fs
 
-        def open_path(path):
-            if path.startswith("file:"):
-                return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-            if "://" in path:
-                return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-            return fs.LocalFileSystem(), path
-
-        def remove(path):
+        def remove(location, path):
             try:
-                system, inner = open_path(path)
+                system, inner = open_path(path, before[location])
                 if system.get_file_info(inner).type == fs.FileType.NotFound:
-                    return None
+                    return None, True
                 if folders:
                     system.delete_dir(inner)
                 else:
                     system.delete_file(inner)
             except FileNotFoundError:
-                return None
+                return None, True
             except Exception as exc:
-                return str(exc)[:500]
-            return None
+                return str(exc), False
+            return None, False
 
         for batch in batches:
-            yield batch.assign(error=[remove(path) for path in batch["path"]])
+            done = [remove(location, path) for location, path in zip(batch["location"], batch["path"])]
+            yield batch.assign(error=[d[0] for d in done], already_gone=[d[1] for d in done])
 
     return delete
 
 
-def delete_paths(rows: DataFrame, folders: bool, label: str) -> DataFrame:
-    """Delete ``path`` of each row on the executors; returns the written rows with ``error``.
+def delete_paths(rows: DataFrame, folders: bool, label: str, locations: list[str]) -> DataFrame:
+    """Delete ``path`` of each row on the executors; returns the written rows with ``error`` and ``already_gone``.
 
-    ``rows`` must come from written tables: they must not change while files disappear. The result
-    is written too, so that reading it twice never deletes twice.
+    ``rows`` has the ``location`` (one of ``locations``) that each path is below, and must come from
+    written tables: they must not change while files disappear. The result is written too, so that
+    reading it twice never deletes twice. A path that is not there is no error, but said to be gone.
     """
     spark = rows.sparkSession
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", error string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", error string, already_gone boolean"
     spread = rows.repartition(spark.sparkContext.defaultParallelism, "path")
-    return settle(spread.mapInPandas(_deleter(folders), schema), label)
+    return settle(spread.mapInPandas(_deleter(folders, qualified(spark, locations)), schema), label)

@@ -232,11 +232,14 @@ def test_partition_filter_and_lakehouse_log(spark, folder):
     spark.range(40).selectExpr("id", "id % 3 AS p").write.partitionBy("p").parquet(f"{folder}/lake/t")
     spark.range(5).write.parquet(f"{folder}/lake/u")
     for day in (0, 1):
-        done = b.backup(spark, f"{folder}/lake", options(f"{folder}/b", partition_filter="p = 1", backup_type="lakehouse"),
+        done = b.backup(spark, f"{folder}/lake", options(f"{folder}/b", partition_filter="p = 1", backup_type="lakehouse", partition_filter_tables=("t",)),
                         at=T0 + dt.timedelta(days=day))
     assert spark.read.parquet(f"{done.path}/t").count() == 13 and spark.read.parquet(f"{done.path}/u").count() == 5
     logs = spark.read.parquet(f"{folder}/b/_logs")
-    assert logs.where("message LIKE 'backing up%'").count() == 2 and logs.where("level = 'WARNING'").count() == 2
+    assert logs.where("message LIKE 'backing up%'").count() == 2 and logs.where("level = 'WARNING'").isEmpty()
+    # A table the filter does not apply to fails; it is not copied whole.
+    done = b.backup(spark, f"{folder}/lake", options(f"{folder}/c", partition_filter="p = 1"), at=T0)
+    assert done.tables == ["t"] and done.failed == ["u"] and done.status == "partial_success"
 
 
 def test_retention_keeps_what_increments_need(spark, folder):
@@ -290,3 +293,133 @@ def test_failed_swap_keeps_the_old_table(spark, folder, monkeypatch):
     result = r.restore(spark, RestoreOptions(done.path, f"{folder}/r"))
     assert result.status == "failed" and result.failed == ["t"]
     assert spark.read.parquet(f"{folder}/r/t").count() == 3
+
+
+def facts(spark, lake, upto, broken=False):
+    """A table that grows; a broken one cannot be read."""
+    if broken:
+        os.rename(f"{lake}/facts", f"{lake}/.facts")
+        os.makedirs(f"{lake}/facts")
+        return
+    if os.path.exists(f"{lake}/.facts"):
+        os.rmdir(f"{lake}/facts")
+        os.rename(f"{lake}/.facts", f"{lake}/facts")
+    spark.range(upto).selectExpr("id", "id * 2 AS v").write.mode("overwrite").parquet(f"{lake}/facts")
+
+
+MARKS = {"high_water_columns": {"facts": "id"}, "verify": True, "content_check": True}
+
+
+def restored_ids(spark, folder, path):
+    back = r.restore(spark, RestoreOptions(path, f"{folder}/r"))
+    assert back.status == "success" and back.verification_passed is True
+    return sorted(x.id for x in spark.read.parquet(f"{folder}/r/facts").collect())
+
+
+@pytest.mark.parametrize("mode", ["incremental", "differential"])
+def test_a_parent_without_marks_gives_a_whole_copy(spark, folder, mode):
+    facts(spark, f"{folder}/lake", 100)
+    b.backup(spark, f"{folder}/lake", options(f"{folder}/b"), at=T0)
+    for day in (1, 2):
+        facts(spark, f"{folder}/lake", 100 + 30 * day)
+        last = b.backup(spark, f"{folder}/lake", options(f"{folder}/b", mode=mode, **MARKS), at=T0 + dt.timedelta(days=day))
+        assert last.verification_passed is True
+    assert restored_ids(spark, folder, last.path) == list(range(160))
+
+
+@pytest.mark.parametrize("mode", ["incremental", "differential"])
+def test_a_table_that_failed_once_is_whole_again(spark, folder, mode):
+    lake, dest = f"{folder}/lake", f"{folder}/b"
+    spark.range(3).write.parquet(f"{lake}/other")
+    facts(spark, lake, 100)
+    b.backup(spark, lake, options(dest, mode=mode, **MARKS), at=T0)
+    facts(spark, lake, 0, broken=True)
+    done = b.backup(spark, lake, options(dest, mode=mode, **MARKS), at=T0 + dt.timedelta(days=1))
+    assert done.failed == ["facts"] and done.status == "partial_success"
+    facts(spark, lake, 130)
+    last = b.backup(spark, lake, options(dest, mode=mode, **MARKS), at=T0 + dt.timedelta(days=2))
+    copy = manifests.copies_of(manifests.read_manifest(spark, last.path))["facts"]
+    assert (copy.kind, copy.rows, copy.total_rows) == ("partial", 30, 130)
+    assert restored_ids(spark, folder, last.path) == list(range(130))
+
+
+def test_rows_without_a_mark_are_copied(spark, folder):
+    for day, upto in ((0, 10), (1, 20)):
+        spark.range(upto).selectExpr("IF(id % 5 = 0, NULL, id) AS id").write.mode("overwrite").parquet(f"{folder}/lake/facts")
+        last = b.backup(spark, f"{folder}/lake", options(f"{folder}/b", mode="incremental", **MARKS), at=T0 + dt.timedelta(days=day))
+    r.restore(spark, RestoreOptions(last.path, f"{folder}/r"))
+    assert spark.read.parquet(f"{folder}/r/facts").count() == 20
+
+
+@pytest.mark.parametrize("damage", ["text", "checksum", "gone"])
+def test_a_manifest_that_cannot_be_read_aborts(spark, folder, damage):
+    for day, upto in ((0, 100), (1, 130)):
+        facts(spark, f"{folder}/lake", upto)
+        last = b.backup(spark, f"{folder}/lake", options(f"{folder}/b", mode="incremental", **MARKS), at=T0 + dt.timedelta(days=day))
+    for part in glob.glob(f"{last.path}/_manifest/*.json"):
+        crc = os.path.join(os.path.dirname(part), f".{os.path.basename(part)}.crc")
+        if damage != "checksum":
+            os.remove(crc)
+        with open(part, "w") as f:
+            f.write("" if damage == "gone" else "{broken")
+    with pytest.raises(Exception):
+        r.restore(spark, RestoreOptions(last.path, f"{folder}/r"))
+    assert not os.path.exists(f"{folder}/r/facts")
+    with pytest.raises(Exception):
+        c.cleanup(spark, [f"{folder}/b"], CleanupOptions(RetentionOptions("age_based", 1), dry_run=False), dt.datetime(2024, 3, 1))
+    assert len(glob.glob(f"{folder}/b/backup_*")) == 2
+
+
+def test_cleanup_keeps_the_base_of_what_it_does_not_see(spark, folder):
+    marks = {**MARKS, "mode": "incremental"}
+    facts(spark, f"{folder}/lake", 100)
+    full = b.backup(spark, f"{folder}/lake", options(f"{folder}/b", **marks), at=T0)
+    facts(spark, f"{folder}/lake", 130)
+    kept = b.backup(spark, f"{folder}/lake", options(f"{folder}/b", backup_folder="manual_keep", **marks), at=T0 + dt.timedelta(days=1))
+    result = c.cleanup(spark, [f"{folder}/b"], CleanupOptions(RetentionOptions("age_based", 1), dry_run=False), dt.datetime(2024, 3, 1))
+    assert result.results.isEmpty() and os.path.exists(full.path)
+    assert restored_ids(spark, folder, kept.path) == list(range(130))
+
+
+def test_two_failed_renames_leave_the_old_table(spark, folder, monkeypatch):
+    spark.range(5).write.parquet(f"{folder}/lake/t")
+    done = b.backup(spark, f"{folder}/lake", options(f"{folder}/b"), at=T0)
+    spark.range(3).write.parquet(f"{folder}/r/t")
+    move = storage.DriverFiles.move
+
+    def failing(self, source, target):
+        if target == f"{folder}/r/t":
+            raise OSError("no space")
+        move(self, source, target)
+
+    monkeypatch.setattr(storage.DriverFiles, "move", failing)
+    result = r.restore(spark, RestoreOptions(done.path, f"{folder}/r"))
+    old = glob.glob(f"{folder}/r/.old-*-t")
+    assert result.status == "failed" and len(old) == 1 and old[0] in result.message
+    assert spark.read.parquet(old[0]).count() == 3
+
+
+def test_deletes_tell_gone_from_deleted(spark, folder):
+    os.makedirs(f"{folder}/backup_a")
+    rows = spark.createDataFrame([(folder, f"{folder}/backup_a"), (folder, f"{folder}/backup_b")], "location string, path string")
+    found = {x.path[-1]: (x.error, x.already_gone) for x in storage.delete_paths(rows, True, "gone", [folder]).collect()}
+    assert found == {"a": (None, False), "b": (None, True)} and not os.path.exists(f"{folder}/backup_a")
+    with pytest.raises(ValueError):
+        storage.qualified(spark, ["viewfs://somewhere/x"])
+
+
+def test_a_location_that_cannot_be_listed_raises(spark, folder):
+    with pytest.raises(OSError):
+        list_tree(spark, [f"{folder}/missing"])
+
+
+def test_integrity_reads_the_pages(spark, folder):
+    spark.range(50_000).selectExpr("id", "uuid() AS u").coalesce(1).write.parquet(f"{folder}/lake/t")
+    done = b.backup(spark, f"{folder}/lake", options(f"{folder}/b"), at=T0)
+    for part in glob.glob(f"{done.path}/t/*.parquet"):
+        os.remove(os.path.join(os.path.dirname(part), f".{os.path.basename(part)}.crc"))
+        with open(part, "r+b") as f:
+            f.seek(1000)
+            f.write(b"\0" * 100_000)
+    result = r.restore(spark, RestoreOptions(done.path, f"{folder}/r"))
+    assert result.status == "failed" and result.failed == ["t"]

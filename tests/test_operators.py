@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from keepsake.functions import measures, names, patterns, periods
-from keepsake.operators import alerts, cutoff, metrics, reconcile, running, selection
-from keepsake.options import RETENTION_PRESETS
+from keepsake.operators import alerts, cutoff, metrics, reconcile, retention, running, selection
+from keepsake.options import RETENTION_PRESETS, RetentionOptions
 from keepsake.sources import config
 from keepsake.sources.storage import table_statistics
 
@@ -220,3 +220,27 @@ def test_table_statistics(spark, folder):
     row = table_statistics(spark, {"t": f"{folder}/t"}, "parquet").first()
     sizes = [os.path.getsize(f"{folder}/t/{f}") for f in os.listdir(f"{folder}/t") if f.endswith(".parquet") and f[0] not in "._"]
     assert (row.table_name, row.num_files, row.size_bytes) == ("t", 3, sum(sizes))
+
+
+def test_hashes_see_where_nulls_are(spark):
+    one = spark.sql("SELECT 1 AS k, 5 AS a, CAST(NULL AS int) AS b, array(1, NULL) AS c, named_struct('m', map('x', array(map('y', 1)))) AS d")
+    two = spark.sql("SELECT 1 AS k, CAST(NULL AS int) AS a, 5 AS b, array(1, NULL) AS c, named_struct('m', map('x', array(map('y', 1)))) AS d")
+    three = spark.sql("SELECT 1 AS k, 5 AS a, CAST(NULL AS int) AS b, array(NULL, 1) AS c, named_struct('m', map('x', array(map('y', 1)))) AS d")
+    sums = [reconcile.content_checksum(x).first().checksum for x in (one, two, three)]
+    assert len(set(sums)) == 3
+    assert reconcile.changed_rows(two, one, ["k"]).count() == 1 and reconcile.changed_rows(one, one, ["k"]).isEmpty()
+
+
+@pytest.mark.parametrize("limit", [10**6, 1])
+def test_null_groups_are_groups(spark, monkeypatch, limit):
+    monkeypatch.setattr(cutoff, "ROWS_IN_ONE_TASK", limit)
+    rows = spark.sql("""SELECT * FROM VALUES (NULL, 'backup_1', timestamp_ntz '2024-01-01 00:00:00', 10L, 9L), (NULL, 'backup_2', timestamp_ntz '2024-01-02 00:00:00', 10L, 8L),
+        (NULL, 'backup_3', timestamp_ntz '2024-01-03 00:00:00', 10L, 7L), (NULL, 'backup_4', timestamp_ntz '2024-01-04 00:00:00', 10L, 6L)
+        AS t(location, folder_name, ts, size_bytes, age_days)""")
+    for options in (RetentionOptions("count_based", max_count=2), RetentionOptions("size_based", max_size_bytes=20)):
+        plan = retention.plan_deletions(rows, options)
+        assert sorted(x.folder_name for x in plan.where("reason IS NOT NULL").collect()) == ["backup_1", "backup_2"]
+    grown = metrics.size_growth(rows, ["location"]).collect()
+    assert sorted((x.folder_name, x.previous_bytes) for x in grown) == [("backup_1", None), ("backup_2", 10), ("backup_3", 10), ("backup_4", 10)]
+    values = spark.sql("SELECT * FROM VALUES ('a', CAST(NULL AS double)), ('a', NULL), (NULL, 0.25D), (NULL, 0.75D) AS t(k, v)")
+    assert {x.k: x.p for x in metrics.exact_percentile(values, ["k"], "v", 0.5, "p").collect()} == {"a": None, None: 0.5}

@@ -110,7 +110,6 @@ def duration_anomalies(spark, sf_dir):
 
 def size_growth(spark, sf_dir):
     rows = metrics.size_growth(catalog(spark, sf_dir), ["source_lakehouse"])
-    rows = rows.where("previous_bytes IS NOT NULL")
     return rows.select("source_lakehouse", "folder_name", "size_bytes", "previous_bytes", "growth_bytes")
 
 
@@ -287,9 +286,9 @@ d AS (SELECT *, CASE WHEN prior_runs >= 2 THEN seconds > prior_seconds / prior_r
 SELECT execution_id, environment, seconds, prior_runs, prior_seconds, seconds > 7200 AS over_limit, over_baseline,
   seconds > 7200 OR over_baseline AS alert FROM d""",
     "size_growth": f"""WITH {CATALOG_SQL}
-SELECT * FROM (SELECT source_lakehouse, folder_name, size_bytes, lag(size_bytes) OVER w AS previous_bytes,
+SELECT source_lakehouse, folder_name, size_bytes, lag(size_bytes) OVER w AS previous_bytes,
   size_bytes - lag(size_bytes) OVER w AS growth_bytes FROM catalog
-WINDOW w AS (PARTITION BY source_lakehouse ORDER BY ts, folder_name)) WHERE previous_bytes IS NOT NULL""",
+WINDOW w AS (PARTITION BY source_lakehouse ORDER BY ts, folder_name)""",
     "issues_by_category": f"SELECT event_type AS category, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{WEEK_AGO}' GROUP BY ALL",
     "access_heat_map": f"""SELECT dayofweek(ts) + 1 AS weekday, hour(ts) AS hour, count(*) AS n FROM events
 WHERE ts >= TIMESTAMP '{WEEK_AGO}' GROUP BY ALL""",

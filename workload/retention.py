@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keepsake.operators import retention as ret
-from keepsake.operators.cutoff import fits_one_task
 from keepsake.operators.preservation import preserved_backups, with_preservation
 from keepsake.options import PreserveOptions, RetentionOptions
 from workload.fixtures import CATALOG_SQL, catalog
@@ -30,7 +29,7 @@ def retention_summary(spark, sf_dir):
 def _preserved(policy):
     def query(spark, sf_dir):
         rows = catalog(spark, sf_dir)
-        kept = preserved_backups(rows, PreserveOptions(policy), ["location"], fits_one_task(rows, ["location"]))
+        kept = preserved_backups(rows, PreserveOptions(policy), ["location"])
         return kept.drop("ts")
     return query
 
@@ -50,7 +49,7 @@ def emergency(spark, sf_dir):
 
 def emergency_preserving(spark, sf_dir):
     rows = catalog(spark, sf_dir)
-    rows = with_preservation(rows, PreserveOptions("daily"), small_groups=fits_one_task(rows, ["location"]))
+    rows = with_preservation(rows, PreserveOptions("daily"))
     plan = ret.emergency_plan(rows, CAP * 10, respect_preservation=True)
     return plan.where("selected").select("location", "folder_name", "size_bytes")
 
