@@ -20,6 +20,46 @@ def parse_condition(condition: Column) -> Column:
                     part(4).cast("double").alias("threshold"), part(3).alias("literal"))
 
 
+OPERATORS = ("==", "!=", ">=", "<=", ">", "<")
+
+
+def conditions(condition: Column) -> Column:
+    """All conditions of a rule as an array of (field, op, threshold, literal); null if it cannot be read.
+
+    A rule states a text ("Field > 80") or an object: fields with a value to equal or with an operator
+    and a value, or a ``metric`` with its operator and value. Durations such as PT2H count in seconds.
+    """
+
+    def stated(field: Column, op: Column, value: Column) -> Column:
+        number = F.coalesce(value.try_cast("double"), periods.iso_seconds(value).cast("double"))
+        return F.struct(field.alias("field"), op.alias("op"), number.alias("threshold"), F.when(number.isNull(), value).alias("literal"))
+
+    parts = F.from_json(condition, "map<string,string>")
+    nested = lambda e: F.from_json(e["value"], "operator string, value string")
+    each = F.transform(F.map_entries(parts), lambda e: F.when(F.startswith(e["value"], F.lit("{")), stated(e["key"], nested(e)["operator"], nested(e)["value"]))
+                       .otherwise(stated(e["key"], F.lit("=="), e["value"])))
+    metric = F.array(stated(parts["metric"], parts["operator"], parts["value"]))
+    text = parse_condition(condition)
+    return F.when(F.startswith(F.ltrim(condition), F.lit("{")), F.when(parts["metric"].isNotNull(), metric).otherwise(each)).when(
+        text["field"].isNotNull(), F.array(text))
+
+
+def parsed_rules(rules: DataFrame, fields: list[str]) -> DataFrame:
+    """Rules with their ``conditions`` and ``problem``: why a rule can never fire, null if it can."""
+    rules = rules.withColumn("conditions", conditions(F.col("condition")))
+    strange = F.filter("conditions", lambda c: ~F.coalesce(c["op"].isin(*OPERATORS), F.lit(False)) | (c["threshold"].isNull() & c["literal"].isNull()))
+    absent = F.filter("conditions", lambda c: ~F.coalesce(c["field"].isin(*fields), F.lit(False)))
+    problem = (F.when(F.coalesce(F.size("conditions"), F.lit(0)) < 1, F.lit("condition not readable"))
+               .when(F.size(strange) > 0, F.concat(F.lit("operator or value not readable: "), F.coalesce(strange[0]["field"], F.lit("?"))))
+               .when(F.size(absent) > 0, F.concat(F.lit("field not offered: "), F.coalesce(absent[0]["field"], F.lit("?")))))
+    return rules.withColumn("problem", problem)
+
+
+def rejected_rules(rules: DataFrame, fields: list[str]) -> DataFrame:
+    """``rule_name, condition, problem`` of the rules that ``match_rules`` cannot apply."""
+    return parsed_rules(rules, fields).where("problem IS NOT NULL").select("rule_name", "condition", "problem")
+
+
 def fires(number: Column, text: Column, op: Column, threshold: Column, literal: Column) -> Column:
     """A numeric or a text comparison, whichever the rule states."""
     numeric = measures.compare(number, op, threshold)
@@ -28,22 +68,36 @@ def fires(number: Column, text: Column, op: Column, threshold: Column, literal:
 
 
 def match_rules(events: DataFrame, fields: dict[str, tuple[Column, Column]], rules: DataFrame) -> DataFrame:
-    """Events that meet a rule of their environment.
+    """Events that meet all conditions of a rule of their environment (any, where a rule names none).
 
-    ``fields`` names what an event offers as (number, text). Rules have ``rule_name, severity,
-    condition, environments``; they come from a configuration file, their size is its size.
-    Works on batch and streaming events.
+    ``fields`` names what an event offers as (number, text). Rules come from a configuration file, their
+    size is its size; those that cannot be applied are listed by ``rejected_rules``. A rule is joined by
+    the field of its first condition, so no event meets a rule that asks for nothing it has. Works on
+    batch and streaming events.
     """
     offered = F.array(*[
         F.struct(F.lit(name).alias("field"), number.cast("double").alias("number"), text.cast("string").alias("text"))
         for name, (number, text) in fields.items()])
-    rules = rules.select("rule_name", "severity", "environments", parse_condition(F.col("condition")).alias("c"))
-    rules = rules.select("rule_name", "severity", "environments", "c.*")
-    offers = events.withColumn("_o", F.explode(offered)).select("*", "_o.*").drop("_o")
-    hits = offers.join(rules, "field").where(
-        F.array_contains("environments", F.col("environment"))
-        & fires(F.col("number"), F.col("text"), F.col("op"), F.col("threshold"), F.col("literal")))
-    return hits.drop("environments", "op", "threshold", "literal", "number", "text")
+    known = parsed_rules(rules, list(fields)).where("problem IS NULL")
+    kept = [c for c in ("throttle_seconds", "throttle_most", "escalate_seconds") if c in rules.columns]
+    known = known.select("rule_name", "severity", "environments", "conditions", F.col("conditions")[0]["field"].alias("field"), *kept)
+    offers = events.withColumn("_offered", F.map_from_entries(F.transform(offered, lambda o: F.struct(o["field"], o))))
+    offers = offers.withColumn("field", F.explode(F.map_keys("_offered")))
+    here = F.col("environments").isNull() | F.array_contains("environments", F.col("environment"))
+    met = F.forall("conditions", lambda c: fires(F.col("_offered")[c["field"]]["number"], F.col("_offered")[c["field"]]["text"], c["op"], c["threshold"], c["literal"]))
+    return offers.join(known, "field").where(here & met).drop("environments", "conditions", "_offered")
+
+
+def throttle_by_rule(hits: DataFrame, order: list[str]) -> DataFrame:
+    """At most ``throttle_most`` hits per rule and window of ``throttle_seconds``, the earliest; all where a rule states neither."""
+    width = F.col("throttle_seconds") * 1_000_000
+    start = F.when(width.isNotNull(), periods.epoch_us(F.col("ts")) - F.pmod(periods.epoch_us(F.col("ts")), width)).otherwise(periods.epoch_us(F.col("ts")))
+    numbered = hits.withColumn("_start", start)
+    # Rules without a limit never enter the window.
+    limited = numbered.where("throttle_seconds IS NOT NULL AND throttle_most IS NOT NULL")
+    group = W.partitionBy("rule_name", "_start").orderBy(*order)
+    kept = limited.withColumn("_rn", F.row_number().over(group)).where("_rn <= throttle_most").drop("_rn")
+    return kept.unionByName(numbered.where("throttle_seconds IS NULL OR throttle_most IS NULL")).drop("_start")
 
 
 def throttle(alerts: DataFrame, rule: str, order: list[str], interval: str = "15 minutes", most: int = 3) -> DataFrame:

@@ -52,6 +52,30 @@ def run_metrics(runs: DataFrame, keys: list[str], window: str = "24 hours") -> D
     )
 
 
+def metrics_from_rules(runs: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame:
+    """``window_start, keys, metric, value, severity`` of the metrics that ``rules`` define.
+
+    Windows and thresholds come from the rules table (name, window_seconds, warning, critical), which
+    has the size of its configuration file and is read on the driver. Rules for metrics that this
+    engine does not compute give no rows.
+    """
+    values = {"pipeline_success_rate": success_rate(F.col("status") == "Failed"), "retry_rate": share(F.col("retries") > 0),
+              "circuit_breaker_trips": F.count_if(F.col("status") == "Failed").cast("double")}
+    parts = []
+    for rule in rules.where(F.col("name").isin(*values)).dropDuplicates(["name"]).collect():
+        width = F.lit(rule.window_seconds * 1_000_000)
+        start = periods.from_epoch_us(periods.epoch_us(F.col("ts")) - F.pmod(periods.epoch_us(F.col("ts")), width))
+        sums = runs.groupBy(start.alias("window_start"), *keys).agg(F.round(values[rule.name], 6).alias("value"))
+        parts.append(sums.select("window_start", *keys, F.lit(rule.name).alias("metric"), "value",
+                                 measures.severity(F.col("value"), F.lit(rule.warning), F.lit(rule.critical)).alias("severity")))
+    if not parts:
+        raise ValueError("no rule defines a metric of this engine")
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 def average_score(scores: DataFrame, keys: list[str], score: Column, metric: str) -> DataFrame:
     window, _, _ = THRESHOLDS[metric]
     sums = scores.groupBy(F.window("ts", window).alias("w"), *keys).agg(F.round(F.avg(score), 8).alias(metric))

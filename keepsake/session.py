@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,24 +28,30 @@ def build_session(app: str = "keepsake", master: str | None = None, **conf: str)
 def workspace(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a test on one
-    machine) is a folder made and recorded for the rest of the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in a test, it is a folder
+    of the warehouse, which all executors share too; a folder of one machine is never made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = spark.conf.get("keepsake.workspace", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="keepsake-")
-        spark.conf.set("keepsake.workspace", folder)
-    return folder
+    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_keepsake"
+
+
+# Paths given out, so that release can remove what lies there.
+_given: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every intermediate table written so far. For callers that have taken their results."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _given:
+        path = jvm.org.apache.hadoop.fs.Path(_given.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the workspace."""
-    return f"{workspace(spark)}/keepsake/{label}-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/keepsake/{label}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

@@ -239,10 +239,12 @@ def table_statistics(spark: SparkSession, tables: dict[str, str], fmt: str) -> D
         for part in parts[1:]:
             result = result.unionByName(part)
         return result
-    names = spark.createDataFrame([(path.rstrip("/"), name) for name, path in tables.items()], "location string, table_name string")
-    files = list_tree(spark, list(tables.values())).where("NOT is_dir")
+    # A table is a folder or a single file; either is an entry of the folder above it.
+    names = spark.createDataFrame([(path.rstrip("/"), name) for name, path in tables.items()], "entry string, table_name string")
+    above = sorted({path.rstrip("/").rsplit("/", 1)[0] for path in tables.values()})
+    files = list_tree(spark, above).where("NOT is_dir").withColumn("entry", F.concat_ws("/", "location", "folder_name"))
     visible = files.where(~F.rlike(F.element_at(F.split("path", "/"), -1), F.lit("^[_.]")))
-    return visible.join(names, "location").groupBy("table_name").agg(
+    return visible.join(names, "entry").groupBy("table_name").agg(
         F.count(F.lit(1)).alias("num_files"), F.sum("length").alias("size_bytes"))
 
 

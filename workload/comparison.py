@@ -7,6 +7,10 @@ import json
 from pyspark.sql import functions as F
 
 from keepsake.operators import costs, reconcile as rec, selection
+from keepsake.operators.running import prior_sums
+from keepsake.options import BackupOptions
+from keepsake.plans.backup import backup
+from keepsake.session import fresh_path
 from keepsake.sources import config
 from workload.fixtures import CATALOG_SQL, RUNS_SQL, catalog, run_log, table
 
@@ -52,13 +56,11 @@ def tables_compared(spark, sf_dir):
 
 
 def tables_in_both(spark, sf_dir):
-    first, second = _two_backups(spark, sf_dir)
-    return first.intersect(second)
+    return rec.compare_tables(*_two_backups(spark, sf_dir), ["lakehouse"]).where("place = 'common'").drop("place")
 
 
 def tables_only_in_first(spark, sf_dir):
-    first, second = _two_backups(spark, sf_dir)
-    return first.subtract(second)
+    return rec.compare_tables(*_two_backups(spark, sf_dir), ["lakehouse"]).where("place = 'only_in_first'").drop("place")
 
 
 def restore_selection(spark, sf_dir):
@@ -141,14 +143,16 @@ def differential_rows(spark, sf_dir):
     full = F.lit("1999-12-31 00:00:00").cast("timestamp_ntz")
     since = rec.rows_after(lines, "l_shipdate", full)
     days = since.groupBy(F.col("l_shipdate").cast("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("incremental"))
-    from pyspark.sql import Window as W
-    # One row per day: the window is as small as the calendar.
-    running = W.partitionBy(F.lit(1)).orderBy("day").rowsBetween(W.unboundedPreceding, 0)
-    return days.withColumn("differential", F.sum("incremental").over(running))
+    before = prior_sums(days.withColumn("backup", F.lit("full")), ["backup"], ["day"], [F.substring("day", 1, 4), F.substring("day", 1, 7)],
+                        {"rows": F.col("incremental")})
+    return before.select("day", "incremental", (F.col("prior_rows") + F.col("incremental")).cast("bigint").alias("differential"))
 
 
 def partition_filter(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz '2000-01-01' AND l_returnflag = 'N'")
+    """What a backup with a partition filter holds."""
+    only = BackupOptions("test lake", fresh_path(spark, "filtered"), table_filter="lineitem", retention_days=0,
+                         partition_filter="l_shipdate >= timestamp_ntz '2000-01-01' AND l_returnflag = 'N'")
+    lines = spark.read.parquet(f"{backup(spark, sf_dir, only).path}/lineitem")
     return lines.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("l_quantity")).cast("bigint")).alias("quantity"))
 
 
@@ -193,7 +197,7 @@ _FIRST = "SELECT DISTINCT l_suppkey AS lakehouse, 'part_' || l_partkey AS table_
 _SECOND = "SELECT DISTINCT l_suppkey AS lakehouse, 'part_' || l_partkey AS table_name FROM lineitem WHERE l_returnflag = 'R'"
 
 ORACLES = {
-    "count_reconciliation": f"WITH {_VERIFY} SELECT * REPLACE (coalesce(source_rows, 0) AS source_rows, coalesce(backup_rows, 0) AS backup_rows) FROM v",
+    "count_reconciliation": f"WITH {_VERIFY} SELECT * FROM v",
     "verification_rollup": f"WITH {_VERIFY}, {_ROLLUP} SELECT * FROM r",
     "backup_quality_scores": f"""WITH {_VERIFY}, {_ROLLUP}
 SELECT lakehouse % 5 AS region, round(100.0::DOUBLE * count(*) FILTER (WHERE all_verified) / count(*), 6) AS backup_integrity_score,

@@ -6,14 +6,16 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from keepsake.operators.reconcile import content_checksum
+from keepsake.operators.reconcile import portable_checksum
 from keepsake.options import BackupOptions, CleanupOptions, RestoreOptions, RetentionOptions
 from keepsake.plans import backup as jobs
 from keepsake.plans import cleanup as cleaning
 from keepsake.plans.discover import discover
-from keepsake.plans.restore import restore
+from keepsake.plans.restore import compare_backups, list_backups, restore, sampled_restore_test
+from keepsake.schemas import TABLE_METADATA
 from keepsake.session import fresh_path
-from keepsake.sources.storage import list_catalog_tables, list_tables
+from keepsake.sources import manifests, storage
+from keepsake.sources.storage import DriverFiles, list_catalog_tables, list_tables
 
 AT = dt.datetime(2024, 1, 15, 10, 30, 0)
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -109,11 +111,156 @@ def cleanup_executed(spark, sf_dir):
 
 
 def table_checksums(spark, sf_dir):
-    """Row count and content checksum per table (the checksum is Spark's own hash)."""
-    return _union([content_checksum(spark.read.parquet(path)).select(F.lit(name).alias("table_name"), "rows", "checksum")
+    """Row count and a checksum of all values per table, one job for all tables."""
+    return _union([portable_checksum(spark.read.parquet(path)).select(F.lit(name).alias("table_name"), "rows", "checksum")
                    for name, path in sorted(list_tables(spark, sf_dir).items())])
 
 
+SPLIT = "1999-06-30 00:00:00"
+_MARKS = {"high_water_columns": {"lineitem": "l_shipdate"}, "table_filter": "lineitem,region", "retention_days": 0}
+
+
+def _growing_lake(spark, sf_dir, base):
+    """A lake whose lineitem ends at SPLIT, and a function that appends the rest."""
+    lines, lake = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), f"{base}/lake"
+    mark = F.lit(SPLIT).cast("timestamp_ntz")
+    lines.where(F.col("l_shipdate") <= mark).write.parquet(f"{lake}/lineitem")
+    spark.read.parquet(f"{sf_dir}/region.parquet").write.parquet(f"{lake}/region")
+    return lake, lambda: lines.where(F.col("l_shipdate") > mark).write.mode("append").parquet(f"{lake}/lineitem")
+
+
+def _increment(spark, sf_dir, mode, label):
+    """Full backup, more rows, and a backup in ``mode`` on top, verified."""
+    base = fresh_path(spark, label)
+    lake, grow = _growing_lake(spark, sf_dir, base)
+    jobs.backup(spark, lake, BackupOptions("test lake", f"{base}/backups", mode=mode, verify=False, **_MARKS), at=AT)
+    grow()
+    done = jobs.backup(spark, lake, BackupOptions("test lake", f"{base}/backups", mode=mode, content_check=True, **_MARKS), at=AT + dt.timedelta(days=1))
+    return base, done
+
+
+def _restored(mode):
+    def query(spark, sf_dir):
+        """The table put together again from a full backup and what came after."""
+        base, done = _increment(spark, sf_dir, mode, mode)
+        back = restore(spark, RestoreOptions(done.path, f"{base}/restored"))
+        rows = spark.read.parquet(f"{base}/restored/lineitem")
+        return rows.groupBy("l_returnflag", "l_linestatus").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"),
+            F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship")).withColumn("verified", F.lit(back.verification_passed))
+    return query
+
+
+def incremental_verified(spark, sf_dir):
+    """Verification of an increment: the rows it took, counted and compared by content."""
+    _, done = _increment(spark, sf_dir, "incremental", "verified")
+    return spark.read.schema("table_name string, source_rows bigint, backup_rows bigint, verified boolean").json(f"{done.path}/_verification")
+
+
+def _left_in(spark, location):
+    """Rows of every table of every backup folder of a location, as read back."""
+    found = []
+    for name, is_folder in DriverFiles(spark).entries(location):
+        if is_folder and name.startswith("backup_"):
+            found += [_counts(spark, {table: path}).select(F.lit(name).alias("folder_name"), "table_name", "rows")
+                      for table, path in sorted(list_tables(spark, f"{location}/{name}").items())]
+    return _union(found)
+
+
+def simple_retention_executed(spark, sf_dir):
+    """What is left after backups older than six days went, by the simple rule."""
+    location = _four_backups(spark, sf_dir)
+    jobs.apply_simple_retention(spark, location, 6, dt.datetime(2024, 1, 16))
+    return _left_in(spark, location)
+
+
+def cleanup_survivors(spark, sf_dir):
+    """What is left after a cleanup that keeps the two newest backups."""
+    location = _four_backups(spark, sf_dir)
+    cleaning.cleanup(spark, [location], CleanupOptions(RetentionOptions("count_based", max_count=2), dry_run=False), dt.datetime(2024, 1, 16))
+    return _left_in(spark, location)
+
+
+def reports_read_back(spark, sf_dir):
+    """Inventory and deletion results as cleanup wrote them, with the tables each folder had when it was backed up."""
+    location = _four_backups(spark, sf_dir)
+    cleaning.cleanup(spark, [location], CleanupOptions(RetentionOptions("age_based", retention_days=6), dry_run=False), dt.datetime(2024, 1, 16))
+    base = f"{location}/_cleanup_reports"
+    listed = spark.read.parquet(f"{base}/discovered_backups").select("folder_name", "tables_count", "status")
+    gone = spark.read.parquet(f"{base}/deletion_results").select("folder_name", "deleted")
+    total = spark.read.json(f"{base}/cleanup_report_*").first()
+    rows = listed.join(gone, "folder_name", "left")
+    return rows.select("folder_name", F.col("tables_count").cast("bigint").alias("tables_count"), F.coalesce("deleted", F.lit(False)).alias("deleted"),
+                       F.lit(total.total_backups_discovered).cast("bigint").alias("discovered"), F.lit(total.total_backups_deleted).cast("bigint").alias("deleted_in_report"))
+
+
+def logs_read_back(spark, sf_dir):
+    """What the appended log of two runs says of each table."""
+    location = fresh_path(spark, "logs")
+    for day in (0, 1):
+        jobs.backup(spark, sf_dir, BackupOptions("test lake", location, verify=False, backup_type="lakehouse", table_filter="nation,region,orders", retention_days=0),
+                    at=AT + dt.timedelta(days=day))
+    log = spark.read.parquet(f"{location}/_logs").where("message LIKE '%: copied'")
+    return log.groupBy(F.regexp_replace("message", ": copied$", "").alias("table_name"), "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def metadata_read_back(spark, sf_dir):
+    """Tables and their number of columns, as the restored table metadata says."""
+    base = fresh_path(spark, "metadata")
+    done = _backup(spark, sf_dir, f"{base}/backups", verify=False, table_filter="orders,customer,embeddings", retention_days=0)
+    restore(spark, RestoreOptions(done.path, f"{base}/restored", verify_after=False, validate_before=False))
+    rows = spark.read.schema(TABLE_METADATA).json(f"{base}/restored/_table_metadata")
+    return rows.select("table_name", F.size(F.from_json(F.get_json_object("schema_json", "$.fields"), "array<string>")).cast("bigint").alias("columns"), "format")
+
+
+def table_statistics(spark, sf_dir):
+    """Tables found by listing their files, with the rows those files hold."""
+    found = storage.table_statistics(spark, list_tables(spark, sf_dir), "parquet").where("num_files > 0 AND size_bytes > 0")
+    return found.select("table_name").join(_counts(spark, list_tables(spark, sf_dir)), "table_name")
+
+
+def restore_skips(spark, sf_dir):
+    """Restore without overwriting: nation is there already and stays as it is."""
+    base = fresh_path(spark, "skips")
+    done = _backup(spark, sf_dir, f"{base}/backups", verify=False, table_filter="nation,region,supplier", retention_days=0)
+    spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_regionkey = 1").write.parquet(f"{base}/restored/nation")
+    back = restore(spark, RestoreOptions(done.path, f"{base}/restored", overwrite=False))
+    counts = _counts(spark, {name: f"{base}/restored/{name}" for name in [*back.tables, *back.skipped]})
+    return counts.withColumn("skipped", F.col("table_name").isin(back.skipped))
+
+
+def backups_listed(spark, sf_dir):
+    """Backups with what their manifests say, and the rows they promise."""
+    location = _four_backups(spark, sf_dir)
+    listed = list_backups(spark, location, "2024-01-16 00:00:00").select("folder_name", "source_lakehouse", F.col("tables_count").cast("bigint").alias("tables_count"))
+    rows = manifests.read_manifests(spark, [location]).select("folder_name", F.aggregate("manifest.copies", F.lit(0).cast("bigint"), lambda n, c: n + c["rows"]).alias("rows"))
+    return listed.join(rows, "folder_name")
+
+
+def backups_compared(spark, sf_dir):
+    """Tables of two backups by place, with the rows of the copy."""
+    location = _four_backups(spark, sf_dir)
+    one, two = (f"{location}/{name}" for name in list(_DAYS)[0:3:2])
+    places = compare_backups(spark, one, two)
+    both = _union([_counts(spark, list_tables(spark, one)), _counts(spark, list_tables(spark, two))]).distinct()
+    return places.join(both, "table_name")
+
+
+def lakehouses_swept(spark, sf_dir):
+    """Two lakehouses backed up in one sweep, and the rows that arrived."""
+    base = fresh_path(spark, "sweep")
+    lakes = [{"name": "a", "source": sf_dir, "tableFilter": "orders"}, {"name": "b", "source": sf_dir, "tableFilter": "region,nation"}]
+    done = jobs.sweep(spark, lakes, lambda x: BackupOptions(x["name"], f"{base}/{x['name']}", table_filter=x["tableFilter"], retention_days=0))
+    return _union([_counts(spark, list_tables(spark, r["path"])).withColumn("lakehouse", F.lit(r["lakehouse"])).withColumn("status", F.lit(r["status"])) for r in done])
+
+
+def restore_tested(spark, sf_dir):
+    """Restore test of every backup: it loads, and holds so many rows."""
+    catalog, _ = discover(spark, [_four_backups(spark, sf_dir)], "2024-01-16 00:00:00")
+    rows = sampled_restore_test(spark, catalog, 100, "seed")
+    return rows.select(F.element_at(F.split("full_path", "/"), -1).alias("folder_name"), "valid", "tables", "rows")
+
+
 QUERIES = {
     "table_inventory": table_inventory,
     "catalog_inventory": catalog_inventory,
@@ -123,6 +270,20 @@ QUERIES = {
     "restored_content": restored_content,
     "backups_discovered": backups_discovered,
     "cleanup_executed": cleanup_executed,
+    "incremental_restored": _restored("incremental"),
+    "differential_restored": _restored("differential"),
+    "incremental_verified": incremental_verified,
+    "simple_retention_executed": simple_retention_executed,
+    "cleanup_survivors": cleanup_survivors,
+    "reports_read_back": reports_read_back,
+    "logs_read_back": logs_read_back,
+    "metadata_read_back": metadata_read_back,
+    "table_statistics": table_statistics,
+    "restore_skips": restore_skips,
+    "backups_listed": backups_listed,
+    "backups_compared": backups_compared,
+    "lakehouses_swept": lakehouses_swept,
+    "restore_tested": restore_tested,
 }
 
 
@@ -135,6 +296,36 @@ _BACKUPS = """(VALUES ('backup_2024-01-01_10-00-00_00000001', TIMESTAMP '2024-01
   ('backup_2024-01-14_10-00-00_00000003', TIMESTAMP '2024-01-14 10:00:00', 1, 3),
   ('backup_2024-01-15_10-00-00_00000004', TIMESTAMP '2024-01-15 10:00:00', 0, 1)) b(folder_name, ts, age_days, tables_count)"""
 
+# Columns by the way their values become text; see portable_checksum.
+_COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal:f c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal:f", "part": "p_partkey p_name p_brand p_type p_size p_retailprice:f",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:f o_orderdate:t o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:f l_extendedprice:f l_discount:f l_tax:f l_returnflag l_linestatus l_shipdate:t",
+    "events": "event_id ts:t user_id event_type value:f props", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding:a label",
+    "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text"}
+
+
+def _text_sql(name, kind=""):
+    value = {"": name, "f": f"CAST(floor({name}::DOUBLE * 1000000) AS BIGINT)", "t": f"epoch_us({name})",
+             "a": f"array_to_string(list_transform({name}, lambda x: coalesce(CAST(floor(x::DOUBLE * 1000000) AS BIGINT)::VARCHAR, '~')), ',')"}[kind]
+    return f"coalesce({value}::VARCHAR, '~')"
+
+
+def _checksum_sql(table):
+    row = ", ".join(_text_sql(*column.split(":")) for column in _COLUMNS[table].split())
+    return f"""SELECT '{table}' AS table_name, count(*) AS rows,
+  CAST(coalesce(sum(CAST('0x' || substr(md5(concat_ws('|', {row})), 1, 8) AS BIGINT)), 0) AS BIGINT) AS checksum FROM {table}"""
+
+
+def _held(folder):
+    return "\nUNION ALL\n".join(f"SELECT '{folder}' AS folder_name, '{t}' AS table_name, count(*) AS rows FROM {t}" for t in _DAYS[folder].split(","))
+
+
+_FOLDERS = list(_DAYS)
+_LINES = """SELECT l_returnflag, l_linestatus, count(*) AS rows,
+  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship"""
+
 ORACLES = {
     "backups_discovered": f"""SELECT folder_name, ts, folder_name[-8:] AS backup_id, age_days, 'test lake' AS source_lakehouse,
   tables_count, true AS counts_hidden_files FROM {_BACKUPS}""",
@@ -147,4 +338,27 @@ ORACLES = {
     "restored_content": """SELECT l_returnflag, l_linestatus, count(*) AS rows,
   CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship
 FROM lineitem GROUP BY ALL""",
+    "table_checksums": "\nUNION ALL\n".join(map(_checksum_sql, TABLES)),
+    "incremental_restored": f"{_LINES}, true AS verified FROM lineitem GROUP BY ALL",
+    "differential_restored": f"{_LINES}, true AS verified FROM lineitem GROUP BY ALL",
+    "incremental_verified": f"""SELECT 'lineitem' AS table_name, count(*) AS source_rows, count(*) AS backup_rows, true AS verified
+FROM lineitem WHERE l_shipdate > TIMESTAMP '{SPLIT}' UNION ALL SELECT 'region', count(*), count(*), true FROM region""",
+    "simple_retention_executed": "\nUNION ALL\n".join(map(_held, _FOLDERS[2:])),
+    "cleanup_survivors": "\nUNION ALL\n".join(map(_held, _FOLDERS[2:])),
+    "reports_read_back": f"SELECT folder_name, count(*) AS tables_count, folder_name < '{_FOLDERS[2]}' AS deleted, 4::BIGINT AS discovered, 2::BIGINT AS deleted_in_report FROM ("
+    + " UNION ALL ".join(map(_held, _FOLDERS)) + ") WHERE rows >= 0 GROUP BY folder_name",
+    "logs_read_back": "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, 'INFO' AS level, 2 * count(DISTINCT 1) AS n FROM {t}" for t in ("nation", "region", "orders")),
+    "metadata_read_back": "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM (DESCRIBE {t})) AS columns, 'parquet' AS format"
+                                               for t in ("orders", "customer", "embeddings")),
+    "table_statistics": _per_table("count(*) AS rows"),
+    "restore_skips": """SELECT 'nation' AS table_name, count(*) AS rows, true AS skipped FROM nation WHERE n_regionkey = 1
+UNION ALL SELECT 'region', count(*), false FROM region UNION ALL SELECT 'supplier', count(*), false FROM supplier""",
+    "backups_listed": "SELECT folder_name, 'test lake' AS source_lakehouse, count(*) AS tables_count, CAST(sum(rows) AS BIGINT) AS rows FROM ("
+    + " UNION ALL ".join(map(_held, _FOLDERS)) + ") GROUP BY folder_name",
+    "backups_compared": """SELECT 'orders' AS table_name, 'common' AS place, count(*) AS rows FROM orders UNION ALL SELECT 'customer', 'only_in_first', count(*) FROM customer
+UNION ALL SELECT 'events', 'only_in_second', count(*) FROM events UNION ALL SELECT 'nation', 'only_in_second', count(*) FROM nation""",
+    "lakehouses_swept": """SELECT 'orders' AS table_name, count(*) AS rows, 'a' AS lakehouse, 'success' AS status FROM orders
+UNION ALL SELECT 'region', count(*), 'b', 'success' FROM region UNION ALL SELECT 'nation', count(*), 'b', 'success' FROM nation""",
+    "restore_tested": "SELECT folder_name, true AS valid, count(*) AS tables, CAST(sum(rows) AS BIGINT) AS rows FROM ("
+    + " UNION ALL ".join(map(_held, _FOLDERS)) + ") GROUP BY folder_name",
 }

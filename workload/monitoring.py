@@ -91,6 +91,45 @@ def alerts_raised(spark, sf_dir):
     return hits.select("execution_id", "ts", "environment", "rule_name", "severity")
 
 
+# Rules and metric definitions in the object form of the configuration file.
+OBJECT_RULES = [
+    {"name": "Pipeline Execution Failure", "severity": "Critical", "condition": {"eventType": "PipelineCompleted", "status": "Failed"},
+     "throttling": {"interval": "PT15M", "maxAlertsPerInterval": 3}},
+    {"name": "Backup Duration Anomaly", "severity": "Medium", "condition": {"eventType": "BackupCompleted", "duration": {"operator": ">", "value": "PT2H"}}},
+    {"name": "Storage Space Warning", "severity": "Medium", "condition": {"metric": "storage_utilization_percentage", "operator": ">=", "value": 85}},
+    {"name": "Data Quality Issues", "severity": "Medium", "condition": {"eventType": "DataQualityCheckCompleted", "qualityScore": {"operator": "<", "value": 0.95}}},
+    {"name": "Security Scan High Risk", "severity": "High", "condition": {"eventType": "SecurityScanCompleted", "riskScore": {"operator": ">=", "value": 8.0}}},
+]
+METRIC_RULES = [
+    {"name": "pipeline_success_rate", "timeWindow": "PT24H", "threshold": {"warning": "95", "critical": "90"}},
+    {"name": "circuit_breaker_trips", "timeWindow": "PT24H", "threshold": {"warning": "3", "critical": "5"}},
+    {"name": "retry_rate", "timeWindow": "PT24H", "threshold": {"warning": "10", "critical": "20"}},
+]
+EVENT_TYPES = {"click": "PipelineCompleted", "error": "PipelineCompleted", "purchase": "BackupCompleted", "signup": "DataQualityCheckCompleted"}
+
+
+def _documents(spark, rules):
+    return spark.range(1).select(F.lit(json.dumps(rules)).alias("document"))
+
+
+def object_fields():
+    none = F.lit(None)
+    kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in EVENT_TYPES.items()], F.lit("HealthCheckCompleted"))
+    return {"eventType": (none, kind), "status": (none, F.col("status")), "duration": (F.col("duration_min") * 60, none),
+            "storage_utilization_percentage": (F.round(F.col("duration_min") % 100, 2), none), "qualityScore": (F.col("duration_min") / 400, none)}
+
+
+def structured_alerts(spark, sf_dir):
+    """Rules in object form with several conditions each, throttled as each rule says."""
+    runs = run_log(spark, sf_dir).withColumnRenamed("rule_name", "kind")
+    hits = alerts.match_rules(runs, object_fields(), config.alert_rules(_documents(spark, OBJECT_RULES)))
+    return alerts.throttle_by_rule(hits, ["ts", "execution_id"]).select("execution_id", "ts", "environment", "rule_name", "severity")
+
+
+def metrics_from_rules(spark, sf_dir):
+    return metrics.metrics_from_rules(run_log(spark, sf_dir), ["environment"], config.metric_rules(_documents(spark, METRIC_RULES)))
+
+
 def alerts_throttled(spark, sf_dir):
     kept = alerts.throttle(run_log(spark, sf_dir), "rule_name", ["ts", "execution_id"])
     return kept.select("rule_name", "window_start", "ts", "execution_id")
@@ -203,6 +242,8 @@ QUERIES = {
     "alerts_escalated": alerts_escalated,
     "duration_anomalies": duration_anomalies,
     "size_growth": size_growth,
+    "structured_alerts": structured_alerts,
+    "metrics_from_rules": metrics_from_rules,
     "issues_by_category": issues_by_category,
     "access_heat_map": access_heat_map,
     "governance_score": governance_score,
@@ -289,6 +330,22 @@ SELECT execution_id, environment, seconds, prior_runs, prior_seconds, seconds >
 SELECT source_lakehouse, folder_name, size_bytes, lag(size_bytes) OVER w AS previous_bytes,
   size_bytes - lag(size_bytes) OVER w AS growth_bytes FROM catalog
 WINDOW w AS (PARTITION BY source_lakehouse ORDER BY ts, folder_name)""",
+    "structured_alerts": f"""WITH {RUNS_SQL}, e AS (
+  SELECT *, CASE rule_name WHEN 'click' THEN 'PipelineCompleted' WHEN 'error' THEN 'PipelineCompleted' WHEN 'purchase' THEN 'BackupCompleted'
+    WHEN 'signup' THEN 'DataQualityCheckCompleted' ELSE 'HealthCheckCompleted' END AS kind FROM runs),
+f AS (SELECT *, row_number() OVER (PARTITION BY time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') ORDER BY ts, execution_id) AS n
+  FROM e WHERE kind = 'PipelineCompleted' AND status = 'Failed')
+SELECT execution_id, ts, environment, 'Pipeline Execution Failure' AS rule_name, 'Critical' AS severity FROM f WHERE n <= 3
+UNION ALL SELECT execution_id, ts, environment, 'Backup Duration Anomaly', 'Medium' FROM e WHERE kind = 'BackupCompleted' AND duration_min * 60 > 7200
+UNION ALL SELECT execution_id, ts, environment, 'Storage Space Warning', 'Medium' FROM e WHERE round(duration_min % 100, 2) >= 85
+UNION ALL SELECT execution_id, ts, environment, 'Data Quality Issues', 'Medium' FROM e WHERE kind = 'DataQualityCheckCompleted' AND duration_min / 400 < 0.95""",
+    "metrics_from_rules": f"""WITH {RUNS_SQL}, m AS (
+  SELECT {_DAY} AS window_start, environment,
+    round(100.0::DOUBLE * count(*) FILTER (WHERE status <> 'Failed') / count(*), 6) AS ok, round(100.0::DOUBLE * count(*) FILTER (WHERE retries > 0) / count(*), 6) AS again,
+    (count(*) FILTER (WHERE status = 'Failed'))::DOUBLE AS trips FROM runs GROUP BY ALL)
+SELECT window_start, environment, 'pipeline_success_rate' AS metric, ok AS value, CASE WHEN ok <= 90 THEN 'critical' WHEN ok <= 95 THEN 'warning' ELSE 'ok' END AS severity FROM m
+UNION ALL SELECT window_start, environment, 'retry_rate', again, CASE WHEN again >= 20 THEN 'critical' WHEN again >= 10 THEN 'warning' ELSE 'ok' END FROM m
+UNION ALL SELECT window_start, environment, 'circuit_breaker_trips', trips, CASE WHEN trips >= 5 THEN 'critical' WHEN trips >= 3 THEN 'warning' ELSE 'ok' END FROM m""",
     "issues_by_category": f"SELECT event_type AS category, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{WEEK_AGO}' GROUP BY ALL",
     "access_heat_map": f"""SELECT dayofweek(ts) + 1 AS weekday, hour(ts) AS hour, count(*) AS n FROM events
 WHERE ts >= TIMESTAMP '{WEEK_AGO}' GROUP BY ALL""",
