@@ -65,7 +65,9 @@ def _with_nulls(column: Column, kind: T.DataType) -> Column:
     """A value whose hash also says where its nulls are, and which can be hashed whatever it holds."""
     if isinstance(kind, T.MapType):
         entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
-        return _with_nulls(F.array_sort(F.map_entries(column)), T.ArrayType(entry))
+        # Keys can always be put in order, values such as maps cannot.
+        entries = F.transform(F.array_sort(F.map_keys(column)), lambda k: F.struct(k.alias("key"), column[k].alias("value")))
+        return _with_nulls(entries, T.ArrayType(entry))
     if isinstance(kind, T.ArrayType):
         plain = not isinstance(kind.elementType, (T.ArrayType, T.MapType, T.StructType))
         nulls = F.transform(column, lambda x: x.isNull())

@@ -234,7 +234,7 @@ def test_hashes_see_where_nulls_are(spark):
 @pytest.mark.parametrize("limit", [10**6, 1])
 def test_null_groups_are_groups(spark, monkeypatch, limit):
     monkeypatch.setattr(cutoff, "ROWS_IN_ONE_TASK", limit)
-    rows = spark.sql("""SELECT * FROM VALUES (NULL, 'backup_1', timestamp_ntz '2024-01-01 00:00:00', 10L, 9L), (NULL, 'backup_2', timestamp_ntz '2024-01-02 00:00:00', 10L, 8L),
+    rows = spark.sql("""SELECT * FROM VALUES (CAST(NULL AS string), 'backup_1', timestamp_ntz '2024-01-01 00:00:00', 10L, 9L), (NULL, 'backup_2', timestamp_ntz '2024-01-02 00:00:00', 10L, 8L),
         (NULL, 'backup_3', timestamp_ntz '2024-01-03 00:00:00', 10L, 7L), (NULL, 'backup_4', timestamp_ntz '2024-01-04 00:00:00', 10L, 6L)
         AS t(location, folder_name, ts, size_bytes, age_days)""")
     for options in (RetentionOptions("count_based", max_count=2), RetentionOptions("size_based", max_size_bytes=20)):
