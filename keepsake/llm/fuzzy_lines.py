@@ -1,13 +1,14 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A line's set holds its character shingles: the ``SHINGLE`` characters that start at each of its words, one
-blank for each gap. Signatures are minima of hashes of the shingles; lines meet where a band of their
+A line's set holds its character shingles: at each of its words the first ``SHINGLE`` characters of the
+word and the two after it, in lower case with one blank for each gap. Signatures are minima of hashes of the shingles; lines meet where a band of their
 signatures agrees, and are linked where the exact Jaccard similarity of their sets reaches the threshold.
 Components of links keep their earliest line.
 
 Equal lines are one node from the start. Within a band's bucket lines are compared with one chosen line
-in each round, so a bucket costs as many pairs as it has lines; only lines that are still in different
-components afterwards are compared with each other.
+first, so a bucket costs as many pairs as it has lines. Lines that are still in different
+components afterwards are compared with each other inside the join that brings a bucket together, so
+that links come out of it but no pairs.
 """
 
 from __future__ import annotations
@@ -21,20 +22,28 @@ from keepsake.session import settle
 
 SHINGLE = 8
 THRESHOLD = 0.8
-BANDS = 8
-ROWS = 3
+BANDS = 9
+ROWS = 4
+_MOST = 2**31 - 16
 #: Three minima come out of one 64-bit hash.
 _BITS = 21
 #: Rounds in which a bucket's lines meet one chosen line, before those left over meet each other.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 #: Largest table that is broadcast, in rows of two numbers; beyond, the same join is shuffled.
 SMALL_ROWS = 2_000_000
 
 
-def shingles(line: Column) -> Column:
-    """Character shingles of a line, repeats included; a line without words has none."""
-    bare = F.regexp_replace(F.btrim(line, F.lit(SPACE_CHARS)), SPACES, " ")
-    return F.regexp_extract_all(F.lower(bare), F.lit(f"(?<![^ ])(?=([^ ].{{0,{SHINGLE - 1}}}))"), F.lit(1))
+def _line_words(line: Column) -> Column:
+    return F.split(F.lower(F.btrim(line, F.lit(SPACE_CHARS))), SPACES)
+
+
+def _shingle(*words: Column) -> Column:
+    return F.substring(F.concat_ws(" ", *words), 1, SHINGLE)
+
+
+def shingles(w: Column) -> Column:
+    """Character shingles of the words of a line, repeats included."""
+    return F.transform(w, lambda x, i: _shingle(x, F.get(w, i + 1), F.get(w, i + 2)))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -44,60 +53,76 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, tie, pos, line, id) of each line with a word; id is the hash of the whole line."""
-    rows = docs.select(key_of(F.col(doc_id), F.col(text)).alias("doc"), F.xxhash64(F.col(text)).alias("tie"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # Beside the generator, a document's key and hash would be computed again for each of its lines.
+    whole = docs.select(key_of(F.col(doc_id), F.col(text)).alias("doc"), F.xxhash64(F.col(text)).alias("tie"), F.split(text, "\n").alias("lines"))
+    rows = whole.select("doc", "tie", F.posexplode("lines").alias("pos", "line"))
     rows = rows.where(F.rlike("line", F.lit("[^ \\t-\\r]")))
     return rows.select("doc", "tie", "pos", "line", F.xxhash64("line").alias("id"))
 
 
 def _buckets(lines: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """(bucket, id): the bands of each different line's signature."""
+    """(id, buckets): the bands of each different line's signature."""
     count = bands * per_band
     hashes = [F.xxhash64("s", F.lit(i)) for i in range(-(-count // 3))]
     parts = [F.shiftrightunsigned(h, 1 + _BITS * k).bitwiseAND((1 << _BITS) - 1) for h in hashes for k in range(3)][:count]
-    signed = lines.select("id", F.explode(shingles(F.col("line"))).alias("s")).groupBy("id").agg(*[F.min(p).alias(f"m{i}") for i, p in enumerate(parts)])
+    # Words side by side with the two after them: shingles are made and hashed in generated code.
+    split = lines.select("id", _line_words(F.col("line")).alias("w"))
+    beside = F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, _MOST).alias("y"), F.slice("w", 3, _MOST).alias("z"))
+    every = split.select("id", F.inline(beside).alias("x", "y", "z")).select("id", _shingle(F.col("x"), F.col("y"), F.col("z")).alias("s"))
+    signed = every.groupBy("id").agg(*[F.min(p).alias(f"m{i}") for i, p in enumerate(parts)])
     keys = [F.xxhash64(F.lit(b), *[f"m{b * per_band + r}" for r in range(per_band)]) for b in range(bands)]
-    return signed.select("id", F.explode(F.array(*keys)).alias("bucket"))
+    return signed.select("id", F.array(*keys).alias("buckets"))
+
+
+def _similar(x: Column, y: Column, threshold: float) -> Column:
+    shared = F.size(F.array_intersect(x, y))
+    return shared >= threshold * (F.size(x) + F.size(y) - shared)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose sets are as similar as ``threshold``."""
-    one, two = texts.select(F.col("id").alias("a"), F.col("line").alias("one")), texts.select(F.col("id").alias("b"), F.col("line").alias("two"))
-    both = pairs.distinct().join(one, "a").join(two, "b")
-    both = both.select("a", "b", F.array_distinct(shingles(F.col("one"))).alias("x"), F.array_distinct(shingles(F.col("two"))).alias("y"))
-    both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("shared") >= threshold * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
+    one, two = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    return pairs.join(one, "a").join(two, "b").where(_similar(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
 
 def line_groups(lines: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
     """(node, component) of the different lines that are linked; ``lines`` has id and line."""
-    buckets = _buckets(lines, bands, per_band)
+    buckets = settle(_buckets(lines, bands, per_band), "buckets").select("id", F.explode("buckets").alias("bucket"))
     shared = settle(buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket"), "shared")
     members = settle(buckets.join(_small(shared), "bucket"), "members")
     wanted = settle(members.select("id").distinct(), "wanted")
-    texts = settle(lines.join(_small(wanted), "id").groupBy("id").agg(F.first("line").alias("line")), "texts")
-    links, tried = None, None
-    labels = members.select(F.col("id").alias("node"), F.col("id").alias("component")).distinct()
+    found = lines.join(_small(wanted), "id").select("id", _line_words(F.col("line")).alias("w"))
+    found = found.select("id", F.array_distinct(F.transform(shingles(F.col("w")), lambda x: F.xxhash64(x))).alias("set"))
+    sets = settle(found.groupBy("id").agg(F.first("set").alias("set")), "sets")
+    members = members.join(sets.select("id", F.size("set").alias("n")), "id")
+    labels, links = None, None
     for number in range(STAR_ROUNDS + 1):
-        placed = members.join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left")
-        placed = settle(placed.withColumn("label", F.coalesce("label", "id")), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min(F.struct(F.xxhash64("id", F.lit(number)), "id", "label")).alias("best"))
-        mixed = settle(mixed.where("l <> h").select("bucket", F.col("best.id").alias("chosen"), F.col("best.label").alias("chosen_label")), "mixed")
+        placed = members.withColumn("label", F.col("id"))
+        if labels is not None:
+            known = labels.select(F.col("node").alias("id"), "component")
+            placed = members.join(known, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        placed = settle(placed, "placed")
+        # One line of each bucket that is still in several components, another one in every round.
+        mixed = placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min(F.struct(F.xxhash64("id", F.lit(number)), "id", "label", "n")).alias("best"))
+        mixed = settle(mixed.where("l <> h").select("bucket", F.col("best.id").alias("other"), F.col("best.label").alias("other_label"), F.col("best.n").alias("other_n")), "mixed")
         if mixed.isEmpty():
             break
+        # Sets whose sizes differ too much cannot be similar enough.
+        sizes = F.least("n", "other_n") >= threshold * F.greatest("n", "other_n")
+        apart = (F.col("label") != F.col("other_label")) & sizes
         if number < STAR_ROUNDS:
-            pairs = placed.join(mixed, "bucket").where("label <> chosen_label").select(F.least("id", "chosen").alias("a"), F.greatest("id", "chosen").alias("b"))
+            pairs = placed.join(mixed, "bucket").where(apart).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+            new = _verified(settle(pairs, "pairs"), sets, threshold)
         else:
-            left = placed.join(mixed.select("bucket"), "bucket")
-            other = left.select("bucket", F.col("id").alias("b"), F.col("label").alias("other"))
-            pairs = left.select("bucket", F.col("id").alias("a"), "label").join(other, "bucket").where("a < b AND label <> other").select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs.distinct(), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = settle(_verified(pairs, texts, threshold), "verified")
-        links = found if links is None else links.union(found)
+            # The comparison is part of the join's condition: only links come out of it, never pairs.
+            left = settle(placed.join(mixed.select("bucket"), "bucket").join(sets, "id"), "left")
+            right = left.select(F.col("bucket").alias("other_bucket"), F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("set").alias("other_set"))
+            same = (F.col("bucket") == F.col("other_bucket")) & (F.col("id") < F.col("other")) & apart & _similar(F.col("set"), F.col("other_set"), threshold)
+            new = left.join(right, same).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+        new = settle(new, "verified")
+        links = new if links is None else links.union(new)
         labels = settle(components(links), "labels")
-    return labels
+    return labels if labels is not None else members.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
