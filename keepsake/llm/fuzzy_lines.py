@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A line's set holds its character shingles: at each of its words the first ``SHINGLE`` characters of the
-word and the two after it, in lower case with one blank for each gap. Signatures are minima of hashes of the shingles; lines meet where a band of their
-signatures agrees, and are linked where the exact Jaccard similarity of their sets reaches the threshold.
+A line's set holds its character shingles: the ``SHINGLE`` characters at every position of the whole
+line, in lower case with one blank for each gap; a shorter line is its only shingle. Signatures are minima
+of hashes of the shingles; lines meet where a band of their signatures agrees, and are linked where the exact Jaccard similarity of their sets reaches the threshold.
 Components of links keep their earliest line.
 
 Equal lines are one node from the start. Within a band's bucket lines are compared with one chosen line
@@ -24,7 +24,6 @@ SHINGLE = 8
 THRESHOLD = 0.8
 BANDS = 9
 ROWS = 4
-_MOST = 2**31 - 16
 #: Three minima come out of one 64-bit hash.
 _BITS = 21
 #: Rounds in which a bucket's lines meet one chosen line, before those left over meet each other.
@@ -33,17 +32,19 @@ STAR_ROUNDS = 1
 SMALL_ROWS = 2_000_000
 
 
-def _line_words(line: Column) -> Column:
-    return F.split(F.lower(F.btrim(line, F.lit(SPACE_CHARS))), SPACES)
+def _characters(line: Column) -> Column:
+    """The normalised line, four bytes a character, so that a character is found without reading those before it."""
+    return F.encode(F.regexp_replace(F.lower(F.btrim(line, F.lit(SPACE_CHARS))), SPACES, " "), "UTF-32")
 
 
-def _shingle(*words: Column) -> Column:
-    return F.substring(F.concat_ws(" ", *words), 1, SHINGLE)
+def _places(characters: Column) -> Column:
+    """Numbers of the shingles of a line, from 0."""
+    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.length(characters), 2) - SHINGLE, F.lit(0)))
 
 
-def shingles(w: Column) -> Column:
-    """Character shingles of the words of a line, repeats included."""
-    return F.transform(w, lambda x, i: _shingle(x, F.get(w, i + 1), F.get(w, i + 2)))
+def _shingle(characters: Column, place: Column) -> Column:
+    """64-bit hash of the shingle at a place."""
+    return F.xxhash64(F.substring(characters, 4 * place + 1, F.lit(4 * SHINGLE)))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -65,10 +66,9 @@ def _buckets(lines: DataFrame, bands: int, per_band: int) -> DataFrame:
     count = bands * per_band
     hashes = [F.xxhash64("s", F.lit(i)) for i in range(-(-count // 3))]
     parts = [F.shiftrightunsigned(h, 1 + _BITS * k).bitwiseAND((1 << _BITS) - 1) for h in hashes for k in range(3)][:count]
-    # Words side by side with the two after them: shingles are made and hashed in generated code.
-    split = lines.select("id", _line_words(F.col("line")).alias("w"))
-    beside = F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, _MOST).alias("y"), F.slice("w", 3, _MOST).alias("z"))
-    every = split.select("id", F.inline(beside).alias("x", "y", "z")).select("id", _shingle(F.col("x"), F.col("y"), F.col("z")).alias("s"))
+    # Each different line once; its shingles are cut and hashed in generated code.
+    once = lines.dropDuplicates(["id"]).select("id", _characters(F.col("line")).alias("c"))
+    every = once.select("id", "c", F.explode(_places(F.col("c"))).alias("i")).select("id", _shingle(F.col("c"), F.col("i")).alias("s"))
     signed = every.groupBy("id").agg(*[F.min(p).alias(f"m{i}") for i, p in enumerate(parts)])
     keys = [F.xxhash64(F.lit(b), *[f"m{b * per_band + r}" for r in range(per_band)]) for b in range(bands)]
     return signed.select("id", F.array(*keys).alias("buckets"))
@@ -91,9 +91,8 @@ def line_groups(lines: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     shared = settle(buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket"), "shared")
     members = settle(buckets.join(_small(shared), "bucket"), "members")
     wanted = settle(members.select("id").distinct(), "wanted")
-    found = lines.join(_small(wanted), "id").select("id", _line_words(F.col("line")).alias("w"))
-    found = found.select("id", F.array_distinct(F.transform(shingles(F.col("w")), lambda x: F.xxhash64(x))).alias("set"))
-    sets = settle(found.groupBy("id").agg(F.first("set").alias("set")), "sets")
+    found = lines.join(_small(wanted), "id").dropDuplicates(["id"]).select("id", _characters(F.col("line")).alias("c"))
+    sets = settle(found.select("id", F.array_distinct(F.transform(_places(F.col("c")), lambda i: _shingle(F.col("c"), i))).alias("set")), "sets")
     members = members.join(sets.select("id", F.size("set").alias("n")), "id")
     labels, links = None, None
     for number in range(STAR_ROUNDS + 1):
