@@ -13,6 +13,8 @@ that links come out of it but no pairs.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,7 +24,8 @@ from keepsake.session import settle
 
 SHINGLE = 8
 THRESHOLD = 0.8
-BANDS = 9
+#: Share of links just at the threshold that may share no bucket, and most minima in a band.
+MISSED = 0.002
 ROWS = 4
 #: Three minima come out of one 64-bit hash.
 _BITS = 21
@@ -85,8 +88,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(_similar(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
 
-def line_groups(lines: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+def banding(threshold: float) -> tuple[int, int]:
+    """(bands, minima in each) with which at most ``MISSED`` of the links at the threshold share no bucket."""
+    per_band = ROWS if threshold >= 1 else max(1, min(ROWS, math.floor(math.log(0.4) / math.log(threshold))))
+    return (1 if threshold >= 1 else math.ceil(math.log(MISSED) / math.log(1 - threshold**per_band))), per_band
+
+
+def line_groups(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) of the different lines that are linked; ``lines`` has id and line."""
+    bands, per_band = banding(threshold)
     buckets = settle(_buckets(lines, bands, per_band), "buckets").select("id", F.explode("buckets").alias("bucket"))
     shared = settle(buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket"), "shared")
     members = settle(buckets.join(_small(shared), "bucket"), "members")
@@ -135,7 +145,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     other columns are passed on; columns named n_lines or n_removed are replaced.
     """
     lines = _lines(docs, doc_id, text)
-    groups = settle(line_groups(lines.select("id", "line")), "groups")
+    groups = settle(line_groups(lines.select("id", "line"), threshold), "groups")
     places = settle(lines.select("doc", "tie", "pos", "id"), "lines")
     named = places.join(groups, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id")).select("doc", "tie", "pos", "label")
     named = settle(named, "named")

@@ -154,3 +154,15 @@ def test_every_character_counts(spark):
         first = x not in sets or root(x) not in seen
         assert (i in kept) == first, (i, x)
         seen.add(root(x) if x in sets else None)
+
+
+def test_threshold_reaches_the_links(spark):
+    for threshold in (0.3, 0.5, 0.8, 0.9, 1.0):
+        bands, rows = fuzzy_lines.banding(threshold)
+        assert (1 - threshold**rows) ** bands <= 0.002
+    word = "abcdefghijklmnopqrstuvwxyz0123456789"
+    near = word + "!" * 3
+    similar = len(every_shingle(word) & every_shingle(near)) / len(every_shingle(word) | every_shingle(near))
+    assert 0.8 < similar < 0.95
+    docs = spark.createDataFrame([(1, word), (2, near)], "doc_id long, text string")
+    assert [sum(r.n_removed for r in fuzzy_lines.drop_repeats(docs, threshold=t).collect()) for t in (0.8, 0.95)] == [1, 0]
