@@ -175,6 +175,16 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, pivots: int = PIVOTS
     return near.mapInArrow(_links(max_bits), "a long, b long")
 
 
+def _grouped(prints: DataFrame, max_bits: int) -> DataFrame:
+    """``prints`` (id, fp) with component_id, the smallest id that links of at most ``max_bits`` bits reach."""
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    reached = components(near_links(nodes.select("fp"), max_bits))
+    label = F.coalesce("component", "fp").alias("label")
+    nodes = settle(nodes.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", label), "labels")
+    best = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
+    return prints.join(nodes.join(best, "label").select("fp", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -183,22 +193,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     zero and link like any other; repeated rows stay repeated; a null doc_id stays null and never is a
     component_id, which is null only where no member has an id. Other columns are not read.
     """
-    prints = settle(fingerprints(docs, doc_id, text), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    reached = components(near_links(nodes.select("fp"), max_bits))
-    label = F.coalesce("component", "fp").alias("label")
-    nodes = settle(nodes.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", label), "labels")
-    best = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = nodes.join(best, "label").select("fp", "component_id")
-    return prints.join(ids, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = _grouped(settle(fingerprints(docs, doc_id, text), "prints"), max_bits)
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` with one document of each group: the smallest id, repeated rows once.
 
-    All columns stay. Documents with a null id are told apart by their text.
+    All columns stay. Documents that share an id, or have none, are told apart by their text.
     """
-    keyed = docs.withColumn("__llm_key", key_of(F.col(doc_id), F.col(text)))
-    found = near_duplicates(keyed, "__llm_key", text)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__llm_key")).distinct()
-    return keyed.join(gone, "__llm_key", "left_anti").dropDuplicates(["__llm_key"]).drop("__llm_key")
+    keyed = docs.withColumns({"__llm_key": key_of(F.col(doc_id), F.col(text)), "__llm_tie": F.xxhash64(F.col(text))})
+    rows = keyed.select(F.struct("__llm_key", "__llm_tie").alias("id"), F.col(text).alias("text"))
+    prints = settle(rows.mapInArrow(_fingerprints, "id struct<__llm_key: long, __llm_tie: long>, fp long"), "prints")
+    gone = _grouped(prints, MAX_BITS).where("id <> component_id").select("id.*").distinct()
+    names = ["__llm_key", "__llm_tie"]
+    return keyed.join(gone, names, "left_anti").dropDuplicates(names).drop(*names)

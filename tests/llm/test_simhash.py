@@ -114,3 +114,12 @@ def test_one_of_each_group_stays(spark):
     assert len(set(slow_components(list(range(len(rows))), prints))) == len(rows)
     all_prints = [slow_print(t) for _, t in inputs]
     assert len(rows) == len(set(slow_components(list(range(len(inputs))), all_prints)))
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rng = random.Random(8)
+    one, two, three = (" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(200)) for _ in range(3))
+    # Id 2 is a copy of 1 in one row and a text of its own in two others.
+    inputs = [(1, one), (2, one), (2, two), (2, three), (3, three), (3, three)]
+    kept = simhash_pivots.keep_one(spark.createDataFrame(inputs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, one), (2, two), (2, three)])
