@@ -115,7 +115,8 @@ def _linked(place: np.ndarray, side: np.ndarray, fp: np.ndarray, table: np.ndarr
         near = rows[(side[rows] == 0) | (side[rows] != side[rows + step])]
         for k in range(1, table.shape[1]):
             near = near[np.abs(table[near, k] - table[near + step, k]) <= max_bits]
-        near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= max_bits]
+        # Of a negative number bitwise_count takes the absolute value, so bits are counted unsigned.
+        near = near[np.bitwise_count((fp[near] ^ fp[near + step]).view(np.uint64)) <= max_bits]
         if len(near):
             forest.join(near, near + step)
     return forest.links
