@@ -4,5 +4,8 @@ import sys
 
 from pyspark import cloudpickle
 
+import keepsake.sources.storage
+
 # Task functions travel by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(keepsake.sources.storage)

@@ -17,6 +17,9 @@ from keepsake.llm import (
     phrase_dedup,
     rp_forest,
     simhash_pivots,
+    spelling_variants,
+    token_shards,
+    whitening,
 )
 from keepsake.llm.common import held_out, table
 
@@ -67,9 +70,21 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(token_shards.TOKENIZER))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_rp_forest, op2_indexed_quality, op3_kd_shards, op4_pareto_mix, op5_pack_sequences, op6_phrase_dedup, op7_fuzzy_lines,
-    op8_compression_toxicity, op9_simhash_pivots, op10_decision_list)}
+    op8_compression_toxicity, op9_simhash_pivots, op10_decision_list, op11_token_shards, op12_spelling_variants, op13_whitening)}
 
 ORACLES: dict[str, str] = {
     "op1_rp_forest": """
@@ -90,4 +105,47 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
        least(e.vec_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = e.vec_id), e.vec_id)) AS component_id,
        least(e.vec_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = e.vec_id), e.vec_id)) = e.vec_id AS kept
 FROM embeddings e""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS t
+),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents
+),
+counted AS MATERIALIZED (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT run, k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS bytes, t FROM counted, crc_table
+),
+checked AS (
+  SELECT run, k, xor(list_reduce(range(1, length(bytes), 2),
+    lambda c, i: xor(t[1 + xor(c, ('0x' || substr(bytes, i, 2))::BIGINT) % 256], c // 256), 4294967295), 4294967295) AS h
+  FROM hashed
+),
+slipped AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, k FROM checked
+),
+words AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+-- levenshtein counts bytes, so each letter beyond a-z becomes one other ASCII character.
+plain AS MATERIALIZED (
+  SELECT word, n, translate(word, (SELECT string_agg(chr(i::INT), '' ORDER BY i) FROM range(192, 256) r(i)),
+    (SELECT string_agg(chr(i::INT), '' ORDER BY i) FROM range(33, 97) r(i))) AS p FROM words
+),
+near AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM plain a JOIN plain b
+  ON length(b.p) BETWEEN length(a.p) - 1 AND length(a.p) + 1 AND a.word <> b.word AND levenshtein(a.p, b.p) = 1
+),
+best AS (SELECT word, count(*) AS n_near, min({'less': -other_n, 'other': encode(other)}) AS b FROM near GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 5 * w.n THEN decode(b.other) END AS form,
+         CASE WHEN -b.less >= 5 * w.n THEN (-b.less)::BIGINT END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+),
+steps AS (
+  SELECT word, word AS root, 0 AS step FROM forms
+  UNION ALL
+  SELECT s.word, f.form, s.step + 1 FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL
+),
+roots AS (SELECT word, arg_max(root, step) AS root FROM steps GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)""",
 }
