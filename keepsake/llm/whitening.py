@@ -162,23 +162,23 @@ class Whitening:
 
 
 def fit(vectors: DataFrame, vector: str = "embedding", components: int = COMPONENTS) -> Whitening | None:
-    """Components of the distinct integer vectors floor(64 c), None where there is no vector.
+    """Components of the distinct integer vectors floor(64 c), None where no vector has an entry.
 
     Vectors that are null or hold null, non-finite or (beyond 2^56) unbounded entries take no part. A vector
     shorter than the longest goes on with zeros. Copies count once. Directions without variance give no component.
     """
     rows = vectors.select(F.col(vector).alias("v")).where(usable(F.col("v")))
     size = rows.agg(F.max(F.size("v")).alias("width"), F.max(F.coalesce(F.array_max(F.transform("v", lambda c: F.abs(c.cast("double")))), F.lit(0.0))).alias("largest")).first()
-    if size.width is None:
+    if not size.width:
         return None
     width, kind = size.width, "<i4" if size.largest < 2.0**24 else "<i8"
     # Equal vectors meet in each task before they are shuffled, so copies cost one row a task.
     distinct = settle(rows.mapInArrow(_distinct(width, kind), "x binary").distinct(), "distinct")
     summed = distinct.mapInArrow(_sums(width, kind), "dim int, total string, n long").groupBy("dim").agg(
         F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("n").alias("n")).orderBy("dim").collect()
-    n, sums = (summed[0].n if summed else distinct.count()), [int(r.total) for r in summed]
+    n, sums = summed[0].n, [int(r.total) for r in summed]
     factors: list[np.ndarray] = []
-    while width:
+    while True:
         used = list(factors)
         gram, _ = _gram(distinct, lambda x: _orthogonal(_deviations(x, n, sums), n, used), width, kind, width)
         if not factors:
@@ -187,8 +187,8 @@ def fit(vectors: DataFrame, vector: str = "embedding", components: int = COMPONE
         if variance == 0 or len(factors) == MOST_PASSES or (factors and np.abs(gram @ gram - gram).max() < 1e-8):
             break
         factors.append(cholesky(gram, n, shifted=not factors))
-    if not width or variance == 0:
-        return Whitening(width, n, sums, np.zeros((width, 0)), np.zeros(0), 0.0, 0.0, len(factors))
+    if variance == 0:
+        return Whitening(width, n, sums, np.zeros((width, 0)), np.zeros(0), 0.0, 0.0, 0)
     whole = np.eye(width)
     for r in factors:
         whole = r @ whole
