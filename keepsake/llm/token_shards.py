@@ -11,8 +11,11 @@ position without reading the rest of the file.
 
 from __future__ import annotations
 
+import array
 import json
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from keepsake.llm.common import byte_texts
 from keepsake.llm.packing import END_ID, TOKENIZER, WordIds
-from keepsake.session import fresh_path, settle
+from keepsake.session import fresh_path
 from keepsake.sources.storage import open_path, qualified
 
 __all__ = ["EliasFano", "Shard", "TOKENIZER", "read", "write"]
@@ -32,11 +35,12 @@ __all__ = ["EliasFano", "Shard", "TOKENIZER", "read", "write"]
 MAGIC = b"KEEPIDS1"
 #: One select sample for so many values: what has to be scanned to find one of them.
 STEP = 256
-#: Ids in a file, give or take a document; a larger number suits larger corpora.
-SHARD_IDS = 1 << 22
+#: Bytes of text whose ids go to one file, give or take chance; a larger number suits larger corpora.
+SHARD_BYTES = 1 << 24
 #: Files whose offsets are summed up in one group.
 _BLOCK_SHARDS = 1 << 10
 _IDS_AT_ONCE = 1 << 20
+_KNOWN_WORDS = 500_000
 #: id width, documents, documents without id, ids, least doc id, then (low width, bits of high) of ends and of doc ids, and a checksum of the index
 _FOOTER = "<QQQQqQQQQI"
 _FOOTER_SIZE = struct.calcsize(_FOOTER)
@@ -209,20 +213,21 @@ class _Writer:
 
     def __init__(self, stream, width: int) -> None:
         self.stream, self.width, self.n_ids, self.n_null = stream, width, 0, 0
-        self.lengths: list[np.ndarray] = []
-        self.docs: list[np.ndarray] = []
+        self.lengths, self.docs = array.array("q"), array.array("q")
         stream.write(MAGIC)
 
-    def add(self, docs: pa.Array, counts: np.ndarray, ids: pa.Array) -> None:
-        for data in ids:
-            self.stream.write(data.as_buffer())
-        self.lengths.append(counts)
-        self.n_ids += int(counts.sum())
-        self.n_null += docs.null_count
-        self.docs.append(docs.drop_null().to_numpy())
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        """Documents come in ascending order of their id, those without one first."""
+        self.stream.write((ids if self.width == 4 else ids.astype(f"<u{self.width}")).tobytes())
+        self.lengths.append(len(ids))
+        self.n_ids += len(ids)
+        if doc is None:
+            self.n_null += 1
+        else:
+            self.docs.append(doc)
 
     def close(self) -> int:
-        lengths, docs = np.concatenate(self.lengths), np.concatenate(self.docs)
+        lengths, docs = np.array(self.lengths, np.int64), np.array(self.docs, np.int64)
         least = int(docs[0]) if len(docs) else 0
         ends, ends_low, ends_high = EliasFano.encode(np.cumsum(lengths))
         found, docs_low, docs_high = EliasFano.encode(docs.view(np.uint64) - np.array([least]).view(np.uint64))
@@ -233,32 +238,42 @@ class _Writer:
         return len(lengths)
 
 
-def _encoded(path: str, width: int, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(path)
-        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("ids", pa.large_binary())])
-        last = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            docs, ties, texts = batch.column(0), batch.column(1), byte_texts(batch.column(2))
-            at = 0
-            while at < len(texts):
-                start, held, out = at, 0, []
-                while at < len(texts) and held < _IDS_AT_ONCE:
-                    ids = np.frombuffer(encoder.encode(texts[at] or b"") + last, "<u4")
-                    out.append(ids if width == 4 else ids.astype(f"<u{width}"))
-                    held += len(ids)
-                    at += 1
-                yield pa.RecordBatch.from_arrays([docs.slice(start, at - start), ties.slice(start, at - start), pa.array([len(x) for x in out], pa.int64()),
-                                                  pa.array([x.tobytes() for x in out], pa.large_binary())], schema=schema)
-
-    return run
+class _Ids(WordIds):
+    """Words of plain ASCII letters go to the merges as they are, marks after them are looked up by themselves."""
+
+    _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.number = self.ids.tolist()
+
+    @classmethod
+    def of(cls, path: str) -> _Ids:
+        """The encoder of this worker process: words met in one task are known in the next."""
+        kept = sys.modules.setdefault("_keepsake_encoders", types.ModuleType("_keepsake_encoders")).__dict__
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def __missing__(self, word: bytes) -> bytes:
+        bare = word.rstrip(self._MARKS)
+        if not (bare.isalpha() and bare.islower()):
+            return super().__missing__(word)
+        if len(bare) < len(word):
+            return self[bare] + self[word[len(bare):]]
+        if len(self) >= _KNOWN_WORDS:
+            self.clear()
+        number = self.number
+        self[word] = found = array.array("I", [number[i] for i in self.merge(word + b"\xff")]).tobytes()
+        return found
 
 
-def _written(folder: str, before: str, width: int):
+def _written(folder: str, before: str, tokenizer: str, width: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, writer, path = TaskContext.get().partitionId(), None, None
+        shard, encoder, writer, path = TaskContext.get().partitionId(), None, None, None
+        last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             if not len(batch):
                 continue
@@ -267,8 +282,9 @@ def _written(folder: str, before: str, width: int):
                 path = f"{folder}/ids-{shard:08d}-{uuid.uuid4().hex[:12]}.kids"
                 system, inner = open_path(path, before)
                 system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-                writer = _Writer(system.open_output_stream(inner), width)
-            writer.add(batch.column(0), batch.column(1).to_numpy(), batch.column(2))
+                encoder, writer = _Ids.of(tokenizer), _Writer(system.open_output_stream(inner), width)
+            for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
+                writer.add(doc, np.frombuffer(encoder.encode(text or b"") + last, "<u4"))
         if writer is not None:
             n_docs = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([n_docs], pa.int64()), pa.array([writer.n_ids], pa.int64())],
@@ -277,13 +293,14 @@ def _written(folder: str, before: str, width: int):
     return run
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_IDS, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int = SHARD_BYTES, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every text, end it with ``end_id`` and write the ids in ascending order of doc_id below ``folder``.
 
     Returns the manifest (shard, path, n_docs, n_ids), one row per file, kept as Parquet in
     ``folder/manifest``; only files that it names count, so an attempt that was lost leaves no trace in
-    the result. Texts are encoded once; ids, in as few bytes as the vocabulary allows, are dealt out
-    by ranges of doc_id and go to their file one batch at a time.
+    the result. Texts are dealt out by ranges of doc_id once; the task that has them in order encodes them
+    and writes ids, in as few bytes as the vocabulary allows, document by document. It holds lengths and doc
+    ids only.
 
     Null ids come first. A null text is empty: its document is the end id alone. Rows that share an id are
     ordered by a hash of their text; repeated rows all stay, and however many rows share an id, they spread
@@ -294,14 +311,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_I
         known = json.load(file)
     largest = max([end_id, *known["model"]["vocab"].values(), *(t["id"] for t in known.get("added_tokens", []))])
     width = 2 if largest < 1 << 16 else 4
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
-    encoded = settle(rows.mapInArrow(_encoded(tokenizer, width, end_id), "doc_id long, tie long, n long, ids binary"), "encoded")
-    shards = max(1, -(-(encoded.agg(F.sum("n")).first()[0] or 0) // shard_ids))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), "tie", "row"]
     # Equal rows hold equal ids, so any order among them is the same; the row number deals them out.
-    dealt = encoded.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), *order).sortWithinPartitions(*order)
     before = qualified(spark, [folder])[folder.rstrip("/")]
-    written = dealt.select("doc_id", "n", "ids").mapInArrow(_written(folder.rstrip("/"), before, width), MANIFEST)
+    written = dealt.select("doc_id", "text").mapInArrow(_written(folder.rstrip("/"), before, tokenizer, width, end_id), MANIFEST)
     written.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -351,8 +367,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return spread.mapInArrow(_read(before), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, shard_ids: int = SHARD_IDS) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``write`` into a fresh folder of the workspace, and ``read`` of what lies there."""
     folder = fresh_path(docs.sparkSession, "token-shards")
-    write(docs, tokenizer, folder, shard_ids)
+    write(docs, tokenizer, folder, shard_bytes)
     return read(docs.sparkSession, folder)

@@ -66,8 +66,8 @@ def test_the_table(spark, sf_dir):
     assert sorted(map(tuple, got.collect())) == sorted(slow(inputs))
 
 
-@pytest.mark.parametrize("shard_ids", [1, 500, 1 << 22])
-def test_odd_documents(spark, monkeypatch, shard_ids):
+@pytest.mark.parametrize("shard_bytes", [1000, 1 << 22])
+def test_odd_documents(spark, monkeypatch, shard_bytes):
     monkeypatch.setattr(token_shards, "_IDS_AT_ONCE", 700)
     monkeypatch.setattr(token_shards, "_BLOCK_SHARDS", 2)
     rng = random.Random(3)
@@ -75,7 +75,7 @@ def test_odd_documents(spark, monkeypatch, shard_ids):
     inputs = [*((rng.randint(-2**62, 2**62), t) for t in texts), (5, None), (6, ""), (7, " \n\t "), (8, "long word " * 3000), (-1, "ends here<|endoftext|>")]
     inputs += [(2**63 - 1, "largest"), (-2**63, "least")]
     df = spark.createDataFrame([(*r, 1, "x", "y") for r in inputs], SCHEMA)
-    got = token_shards.round_trip(df, PATH, shard_ids).collect()
+    got = token_shards.round_trip(df, PATH, shard_bytes).collect()
     assert sorted(map(tuple, got)) == sorted(slow(inputs))
 
 
@@ -84,7 +84,7 @@ def test_rows_that_share_an_id(spark):
     inputs = [(None, "b b b"), (None, "a"), (None, None), (3, "same text here"), (3, "other"), (1, "first")] + [(2, "copy of copies")] * 400
     df = spark.createDataFrame([(*r, 1, "x", "y") for r in inputs], SCHEMA)
     folder = token_shards.fresh_path(spark, "test-shards")
-    manifest = token_shards.write(df, PATH, folder, 200).collect()
+    manifest = token_shards.write(df, PATH, folder, 1000).collect()
     got = sorted(token_shards.read(spark, folder).collect(), key=lambda r: r.start)
     tokenizer = Tokenizer.from_file(PATH)
     want = sorted((d is not None, d or 0, *(lambda x: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())))(tokenizer.encode(t or "", add_special_tokens=False).ids + [2])) for d, t in inputs)
