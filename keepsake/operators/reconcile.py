@@ -76,12 +76,15 @@ def _with_nulls(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StructType):
         parts = [_with_nulls(column[field.name], field.dataType).alias(f"f{i}") for i, field in enumerate(kind.fields)]
         return F.struct(column.isNull().alias("none"), *parts)
-    return F.struct(column.isNull().alias("none"), column.alias("value"))
+    # A column that was widened between two copies hashes as before.
+    wide = "bigint" if isinstance(kind, T.IntegralType) else "double" if isinstance(kind, T.FloatType) else None
+    return F.struct(column.isNull().alias("none"), (column.cast(wide) if wide else column).alias("value"))
 
 
 def row_hash(df: DataFrame) -> Column:
-    """64-bit hash of a whole row: of its values and of where its nulls are, at any depth."""
-    return F.xxhash64(*[_with_nulls(F.col(f"`{field.name}`"), field.dataType) for field in df.schema.fields])
+    """64-bit hash of a whole row: of its values and of where its nulls are, at any depth. The order of columns does not matter."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    return F.xxhash64(*[_with_nulls(F.col(f"`{field.name}`"), field.dataType) for field in fields])
 
 
 def checksum_of(df: DataFrame) -> Column:

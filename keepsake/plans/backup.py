@@ -7,24 +7,24 @@ import posixpath
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keepsake import __name__ as ENGINE
+from keepsake.functions.marks import mark_fits, mark_text, mark_value
 from keepsake.functions.names import folder_timestamp, new_backup_folder
 from keepsake.functions.patterns import glob_regex, parse_list
 from keepsake.functions.periods import age_days, as_of_column
 from keepsake.operators.reconcile import checksum_of, rows_after
 from keepsake.operators.retention import simple_retention, without_needed
 from keepsake.options import BackupOptions
-from keepsake.plans.verify import COUNTS, count_tables, per_table, verify_copy
+from keepsake.plans.verify import COUNTS, count_frames, count_tables, per_table, verify_chain, verify_copy
 from keepsake.schemas import LOG, TABLE_METADATA
 from keepsake.session import settle
 from keepsake.sources import manifests
 from keepsake.sources.storage import (
-    CATALOG_PREFIX, DriverFiles, delete_paths, list_catalog_tables, list_tables, list_tree, load_table, partition_columns,
-    table_sizes, top_folders)
+    CATALOG_PREFIX, delete_paths, list_catalog_tables, list_tables, list_tree, load_named, table_sizes, top_folders, with_names, with_types)
 
 LAYOUT = "%Y-%m-%d %H:%M:%S"
 
@@ -85,35 +85,49 @@ def parent_backup(spark: SparkSession, destination: str, source_name: str, mode:
 
 @dataclass
 class _Copy:
-    """What to copy of one table: all its rows, or those between two marks."""
+    """What to copy of one table: all its rows, or those past a mark; and the mark that the copied rows reach."""
 
     rows: DataFrame
+    kinds: dict[str, T.DataType]
     kind: str = "whole"
     low: str | None = None
-    high: str | None = None
+    reached: Column | None = None
 
 
-def _copy_plan(spark: SparkSession, name: str, path: str, options: BackupOptions, old_mark: str | None, log: RunLog) -> _Copy:
-    """Filters reach the file scan. A filter that does not apply to a table it is meant for raises."""
-    table = load_table(spark, path, options.fmt)
+def _source(spark: SparkSession, name: str, path: str, options: BackupOptions) -> tuple[DataFrame, dict[str, T.DataType]]:
+    """The table with the partition filter, typed, and its partition columns. A filter that does not apply to a
+    table it is meant for raises; filters reach the file scan."""
+    named, kinds = load_named(spark, path, options.fmt)
+    table = with_types(named, kinds)
     if options.partition_filter and (not options.partition_filter_tables or name in options.partition_filter_tables):
         table = table.where(options.partition_filter)
+    return table, kinds
+
+
+def _copy_plan(spark: SparkSession, name: str, path: str, options: BackupOptions, old_mark: str | None, log: RunLog) -> _Copy:
+    table, kinds = _source(spark, name, path, options)
     column = options.high_water_columns.get(name)
     if column is None:
-        return _Copy(table)
+        return _Copy(table, kinds)
     kind = table.schema[column].dataType
-    # The mark is taken before the copy, and the copy ends at it, so rows written meanwhile wait
-    # for the next run.
-    old = F.lit(old_mark).cast(kind)
-    newest, unmarked = table.agg(F.greatest(F.max(column), old).cast("string"), F.count_if(F.col(column).isNull())).first()
-    if newest is None:
-        return _Copy(table)
-    if old_mark is not None and unmarked:
-        log.add(f"{name}: {unmarked} rows have no {column}, copying the whole table", "WARNING")
-    upto = F.col(column) <= F.lit(newest).cast(kind)
-    if old_mark is None or unmarked:
-        return _Copy(table.where(upto | F.col(column).isNull()), "whole", None, newest)
-    return _Copy(rows_after(table, column, old).where(upto), "partial", old_mark, newest)
+    # The mark is the largest value among the very rows that are written, observed as they are: rows that
+    # come later are past it, and nothing is read twice.
+    reached = mark_text(F.max(F.col(column).cast(kind)), kind)
+    if old_mark is not None and not mark_fits(old_mark, kind):
+        log.add(f"{name}: the mark {old_mark} does not fit {column} of type {kind.simpleString()}, copying the whole table", "WARNING")
+    elif old_mark is not None and not table.where(F.col(column).isNull()).isEmpty():
+        log.add(f"{name}: some rows have no {column}, copying the whole table", "WARNING")
+    elif old_mark is not None:
+        return _Copy(rows_after(table, column, mark_value(old_mark)), kinds, "partial", old_mark, reached)
+    return _Copy(table, kinds, reached=reached)
+
+
+def _up_to(spark: SparkSession, name: str, path: str, options: BackupOptions, mark: str | None) -> DataFrame:
+    """Rows of the source as it is now that a copy reaching ``mark`` stands for."""
+    table, kinds = _source(spark, name, path, options)
+    column = F.col(options.high_water_columns[name])
+    reached = column.isNull() if mark is None else column.isNull() | (column <= mark_value(mark))
+    return with_names(table.where(reached), kinds)
 
 
 def backup(spark: SparkSession, source: str, options: BackupOptions, at: dt.datetime | None = None,
@@ -148,22 +162,30 @@ def backup(spark: SparkSession, source: str, options: BackupOptions, at: dt.date
         old_mark = old_marks.get(name) if name in earlier else None
         plan = _copy_plan(spark, name, tables[name], options, old_mark, log)
         # Rows and checksum of the source are taken from the very rows that are written.
-        seen = Observation()
-        wanted = [F.count(F.lit(1)).alias("rows")] + ([checksum_of(plan.rows).alias("checksum")] if options.content_check else [])
-        writer = plan.rows.observe(seen, *wanted).write.format(options.fmt).mode("overwrite")
+        seen, rows = Observation(), with_names(plan.rows, plan.kinds)
+        wanted = [F.count(F.lit(1)).alias("rows")] + ([plan.reached.alias("mark")] if plan.reached is not None else [])
+        if options.content_check:
+            wanted.append(checksum_of(rows).alias("checksum"))
+        writer = rows.observe(seen, *wanted).write.format(options.fmt).mode("overwrite")
         if options.compress:
             writer = writer.option("compression", "snappy")
-        layout = options.partition_columns.get(name) or (partition_columns(spark, tables[name]) if options.fmt == "parquet" else [])
+        layout = options.partition_columns.get(name) or list(plan.kinds)
         if layout:
             writer = writer.partitionBy(*layout)
         writer.save(f"{path}/{name}")
         # A plan that Spark knows to be empty runs no job and reports nothing.
         found = seen.get
-        rows = found.get("rows", 0)
-        total = rows + (earlier[name].total_rows if plan.kind == "partial" else 0)
-        schemas[name] = plan.rows.schema
+        count = found.get("rows", 0)
         checksum = found.get("checksum", "0") if options.content_check else None
-        return {"kind": plan.kind, "low": plan.low, "high": plan.high, "rows": rows, "total_rows": total, "checksum": checksum}
+        high = found.get("mark")
+        total, total_checksum = count, checksum
+        if plan.kind == "partial":
+            before = earlier[name]
+            total, high = count + before.total_rows, high or plan.low
+            total_checksum = str(int(checksum) + int(before.total_checksum)) if checksum and before.total_checksum else None
+        schemas[name] = T.StructType([T.StructField(f.name, plan.kinds.get(f.name, f.dataType), f.nullable) for f in rows.schema.fields])
+        return {"kind": plan.kind, "low": plan.low, "high": high, "rows": count, "total_rows": total, "checksum": checksum,
+                "total_checksum": total_checksum, "layout": layout}
 
     results = per_table(spark, sorted(tables), copy, options.parallel_tables)
     done = [r for r in results if r["error"] is None]
@@ -187,10 +209,15 @@ def backup(spark: SparkSession, source: str, options: BackupOptions, at: dt.date
     if options.verify and done:
         written = spark.createDataFrame([(r["table_name"], r["rows"], r["checksum"], None) for r in done], COUNTS)
         # Partitioned copies get their column order from the files, so their schema is looked up.
-        known = {n: x for n, x in schemas.items() if options.fmt == "parquet" and not partition_columns(spark, f"{path}/{n}")}
+        known = {r["table_name"]: schemas[r["table_name"]] for r in done if options.fmt == "parquet" and not r["layout"]}
         copied = count_tables(spark, {r["table_name"]: [f"{path}/{r['table_name']}"] for r in done}, options.fmt, options.parallel_tables,
                               options.content_check, known)
-        passed = write_verification(spark, verify_copy(written, copied), path)
+        # A chain is compared with the source, not with what it was asked to copy.
+        grown = [r for r in done if r["kind"] == "partial"]
+        chains = spark.createDataFrame([(r["table_name"], r["total_rows"], r["total_checksum"], None) for r in grown], COUNTS)
+        sources = count_frames(spark, {r["table_name"]: lambda r=r: _up_to(spark, r["table_name"], tables[r["table_name"]], options, r["high"]) for r in grown},
+                               options.parallel_tables, options.content_check)
+        passed = write_verification(spark, verify_chain(verify_copy(written, copied), chains, sources), path)
         log.add(f"verification {'passed' if passed else 'failed'}", "INFO" if passed else "ERROR")
 
     end = start + (dt.datetime.now() - began)
@@ -207,8 +234,8 @@ def backup(spark: SparkSession, source: str, options: BackupOptions, at: dt.date
         "high_water_marks": {name: mark for name, mark in old_marks.items() if name in {r["table_name"] for r in failed}}
         | {r["table_name"]: r["high"] for r in done if r["high"]},
         "failed_tables": [r["table_name"] for r in failed],
-        "copies": [tuple(r[k] for k in ("table_name", "kind", "low", "high", "rows", "total_rows", "checksum")) for r in done]
-        + [(r["table_name"], "missing", None, old_marks[r["table_name"]], 0, earlier[r["table_name"]].total_rows, None)
+        "copies": [tuple(r[k] for k in ("table_name", "kind", "low", "high", "rows", "total_rows", "checksum", "total_checksum")) for r in done]
+        + [(r["table_name"], "missing", None, old_marks[r["table_name"]], 0, earlier[r["table_name"]].total_rows, None, earlier[r["table_name"]].total_checksum)
            for r in failed if r["table_name"] in old_marks and r["table_name"] in earlier],
     })
     if options.retention_days > 0:

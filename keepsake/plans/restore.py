@@ -17,7 +17,7 @@ from keepsake.plans.discover import discover
 from keepsake.plans.verify import COUNTS, backup_integrity, count_tables, per_table, read_parts, verify_copy
 from keepsake.schemas import TABLE_METADATA
 from keepsake.sources import manifests
-from keepsake.sources.storage import DriverFiles, list_tables, partition_columns
+from keepsake.sources.storage import DriverFiles, list_tables
 
 
 def chosen_tables(spark: SparkSession, options: RestoreOptions) -> list[str]:
@@ -97,8 +97,8 @@ def restore(spark: SparkSession, options: RestoreOptions) -> RunResult:
         there = files.exists(final)
         if there and not options.overwrite:
             return {"skipped": True}
-        writer = read_parts(spark, parts[name], options.fmt).write.format(options.fmt).mode("overwrite")
-        layout = partition_columns(spark, parts[name][0]) if options.fmt == "parquet" else []
+        rows, layout = read_parts(spark, parts[name], options.fmt)
+        writer = rows.write.format(options.fmt).mode("overwrite")
         (writer.partitionBy(*layout) if layout else writer).save(f"{staging}/{name}")
         old = f"{target}/.old-{run}-{name}"
         if there:
@@ -126,11 +126,12 @@ def restore(spark: SparkSession, options: RestoreOptions) -> RunResult:
     if options.verify_after and done:
         # What the manifest promises; parts are counted only for backups whose manifest does not say.
         said = manifests.copies_of(manifests.read_manifest(spark, source))
-        promised = [(n, said[n].total_rows, None, None) for n in done if n in said]
+        promised = [(n, said[n].total_rows, said[n].total_checksum, None) for n in done if n in said]
         expected = spark.createDataFrame(promised, COUNTS)
         if len(promised) < len(done):
             expected = expected.union(count_tables(spark, {n: parts[n] for n in done if n not in said}, options.fmt, options.parallel_tables))
-        actual = count_tables(spark, {n: [f"{target}/{n}"] for n in done}, options.fmt, options.parallel_tables)
+        content = any(checksum is not None for _, _, checksum, _ in promised)
+        actual = count_tables(spark, {n: [f"{target}/{n}"] for n in done}, options.fmt, options.parallel_tables, content)
         passed = verify_copy(expected, actual).where("NOT verified").isEmpty()
     if options.include_logs and done:
         restore_metadata(spark, source, target, done)
@@ -142,11 +143,15 @@ def restore(spark: SparkSession, options: RestoreOptions) -> RunResult:
 
 
 def restore_metadata(spark: SparkSession, source: str, target: str, tables: list[str]) -> None:
-    """Add the schema and origin of the restored tables, where the backup has them, to the target's table metadata."""
+    """Put the schema and origin of the restored tables, where the backup has them, into the target's table metadata."""
     if not DriverFiles(spark).exists(f"{source}/_table_metadata"):
         return
-    known = spark.read.schema(TABLE_METADATA).json(f"{source}/_table_metadata")
-    known.where(F.col("table_name").isin(tables)).coalesce(1).write.mode("append").json(f"{target}/_table_metadata")
+    rows = spark.read.schema(TABLE_METADATA).json(f"{source}/_table_metadata").where(F.col("table_name").isin(tables)).collect()
+    if DriverFiles(spark).exists(f"{target}/_table_metadata"):
+        # One row per table: what was restored before is replaced.
+        fresh = {row.table_name for row in rows}
+        rows += [row for row in spark.read.schema(TABLE_METADATA).json(f"{target}/_table_metadata").collect() if row.table_name not in fresh]
+    spark.createDataFrame(rows, TABLE_METADATA).coalesce(1).write.mode("overwrite").json(f"{target}/_table_metadata")
 
 
 def sampled_restore_test(spark: SparkSession, catalog: DataFrame, percent: float, seed: str, fmt: str = "parquet",

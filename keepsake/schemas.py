@@ -8,7 +8,7 @@ MANIFEST = (
     "end_time string, duration_seconds double, fabric_version string, verification_passed boolean, "
     "backup_mode string, parent_folder string, chain array<string>, high_water_marks map<string,string>, "
     "failed_tables array<string>, "
-    "copies array<struct<table_name:string,kind:string,low:string,high:string,rows:bigint,total_rows:bigint,checksum:string>>"
+    "copies array<struct<table_name:string,kind:string,low:string,high:string,rows:bigint,total_rows:bigint,checksum:string,total_checksum:string>>"
 )
 
 TABLE_METADATA = "table_name string, schema_json string, format string, source_path string"

@@ -75,17 +75,42 @@ def load_table(spark: SparkSession, path: str, fmt: str, schema: T.StructType |
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def partition_columns(spark: SparkSession, path: str) -> list[str]:
-    """Partition columns of a table folder, read off the first ``name=value`` folder of each depth."""
-    if path.startswith(CATALOG_PREFIX):
-        return []
-    files, columns = DriverFiles(spark), []
-    while True:
-        nested = [name for name, is_folder in files.entries(path) if is_folder and "=" in name and not name.startswith(("_", "."))]
-        if not nested:
-            return columns
-        columns.append(nested[0].split("=", 1)[0])
-        path = f"{path}/{nested[0]}"
+def partition_types(table: DataFrame) -> dict[str, T.DataType]:
+    """Partition columns of a table loaded from files and the types Spark gives them, from all of its files."""
+    plan = table._jdf.queryExecution().analyzed()
+    try:
+        names = list(plan.relation().partitionSchema().fieldNames())
+    except Exception:
+        # Not a relation over files, such as a view.
+        return {}
+    return {name: table.schema[name].dataType for name in names}
+
+
+def load_named(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None = None) -> tuple[DataFrame, dict[str, T.DataType]]:
+    """A table whose partition values are the text of its folder names, and the types Spark would give them.
+
+    Types are guesses that depend on which folders there are: ``m=01`` alone is the number 1, next to ``m=A1`` it
+    is a text. As text, values are written back as the same folder names.
+    """
+    table = load_table(spark, path, fmt, schema)
+    kinds = {} if path.startswith(CATALOG_PREFIX) else partition_types(table)
+    if all(isinstance(kind, T.StringType) for kind in kinds.values()) or fmt == "delta":
+        return table, kinds
+    named = T.StructType([T.StructField(f.name, T.StringType()) if f.name in kinds else f for f in table.schema.fields])
+    return load_table(spark, path, fmt, named), kinds
+
+
+_NAME = "__folder_name_"
+
+
+def with_types(table: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:
+    """A table of ``load_named`` with typed partition columns, for conditions; ``with_names`` takes it back."""
+    kept = {f"{_NAME}{c}": F.col(f"`{c}`") for c in kinds}
+    return table.withColumns(kept).withColumns({c: F.col(f"`{c}`").cast(kind) for c, kind in kinds.items()}) if kinds else table
+
+
+def with_names(table: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:
+    return table.select(*[F.col(f"`{_NAME}{c}`").alias(c) if c in kinds else F.col(f"`{c}`") for c in table.columns if not c.startswith(_NAME)])
 
 
 def list_catalog_tables(spark: SparkSession, database: str | None = None) -> list[str]:

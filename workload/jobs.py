@@ -157,6 +157,97 @@ def incremental_verified(spark, sf_dir):
     return spark.read.schema("table_name string, source_rows bigint, backup_rows bigint, verified boolean").json(f"{done.path}/_verification")
 
 
+def incremental_restored_zones(spark, sf_dir):
+    """Instants as marks: a full backup and two increments, each run in another time zone, put together again."""
+    base = fresh_path(spark, "zones")
+    micros = F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint") * 86_400_000_000
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("moment", F.timestamp_micros(micros + F.col("l_linenumber").cast("bigint") * 1_800_000_000))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    steps = [("UTC", "1996-01-01"), ("America/New_York", "1998-01-01"), ("Asia/Tokyo", "2999-01-01")]
+    try:
+        before = None
+        for day, (name, until) in enumerate(steps):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            some = lines.where(F.col("l_shipdate") < F.lit(until).cast("timestamp_ntz"))
+            if before:
+                some = some.where(F.col("l_shipdate") >= F.lit(before).cast("timestamp_ntz"))
+            some.write.mode("append").parquet(f"{base}/lake/lineitem")
+            before = until
+            done = jobs.backup(spark, f"{base}/lake", BackupOptions("test lake", f"{base}/backups", mode="incremental", content_check=True, retention_days=0,
+                                                                    high_water_columns={"lineitem": "moment"}), at=AT + dt.timedelta(days=day))
+        back = restore(spark, RestoreOptions(done.path, f"{base}/restored"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    rows = spark.read.parquet(f"{base}/restored/lineitem")
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"),
+        F.sum(F.unix_micros("moment").cast("decimal(38,0)") / F.lit(1_800_000_000)).cast("bigint").alias("half_hours")).withColumn(
+        "verified", F.lit(done.verification_passed and back.verification_passed))
+
+
+def increment_with_late_rows(spark, sf_dir):
+    """Rows that arrive below the mark are in no increment: verification compares the whole chain with the source and says so."""
+    base = fresh_path(spark, "late")
+    lines, lake = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), f"{base}/lake"
+    mark, late = F.lit(SPLIT).cast("timestamp_ntz"), F.col("l_linenumber") == 2
+    lines.where((F.col("l_shipdate") <= mark) & ~late).write.parquet(f"{lake}/lineitem")
+    spark.read.parquet(f"{sf_dir}/region.parquet").write.parquet(f"{lake}/region")
+    options = {"mode": "incremental", **_MARKS}
+    jobs.backup(spark, lake, BackupOptions("test lake", f"{base}/backups", verify=False, **options), at=AT)
+    lines.where((F.col("l_shipdate") > mark) | late).write.mode("append").parquet(f"{lake}/lineitem")
+    done = jobs.backup(spark, lake, BackupOptions("test lake", f"{base}/backups", **options), at=AT + dt.timedelta(days=1))
+    return spark.read.schema("table_name string, source_rows bigint, total_rows bigint, source_total_rows bigint, verified boolean").json(f"{done.path}/_verification")
+
+
+def partitions_restored(spark, sf_dir):
+    """Folder names of a partitioned table after backup, increment and restore, with their rows: 01 stays 01, also beside Q01."""
+    base = fresh_path(spark, "layout")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    month = F.date_format("o_orderdate", "MM")
+    split = F.lit("1997-01-01").cast("timestamp_ntz")
+    options = {"mode": "incremental", "content_check": True, "high_water_columns": {"orders": "o_orderdate"}, "retention_days": 0}
+    for day, (some, name) in enumerate([(F.col("o_orderdate") < split, month), (F.col("o_orderdate") >= split, F.concat(F.lit("Q"), month))]):
+        orders.where(some).withColumn("m", name).write.mode("append").partitionBy("m").parquet(f"{base}/lake/orders")
+        done = jobs.backup(spark, f"{base}/lake", BackupOptions("test lake", f"{base}/backups", **options), at=AT + dt.timedelta(days=day))
+    back = restore(spark, RestoreOptions(done.path, f"{base}/restored"))
+    rows = spark.read.parquet(f"{base}/restored/orders").select("*", F.regexp_extract("_metadata.file_path", "/(m=[^/]+)/", 1).alias("folder"))
+    return rows.groupBy("folder", "m").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").cast("bigint").alias("keys")).withColumn(
+        "verified", F.lit(done.verification_passed and back.verification_passed))
+
+
+def restored_over(spark, sf_dir):
+    """A restore over tables that are there already, with other rows and columns; another table of the target stays."""
+    base = fresh_path(spark, "over")
+    done = _backup(spark, sf_dir, f"{base}/backups", verify=False, table_filter="orders,customer", retention_days=0)
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").write.parquet(f"{base}/restored/orders")
+    spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 2 = 0").write.parquet(f"{base}/restored/customer")
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").write.parquet(f"{base}/restored/supplier")
+    back = restore(spark, RestoreOptions(done.path, f"{base}/restored"))
+    found = {name: f"{base}/restored/{name}" for name in list_tables(spark, f"{base}/restored")}
+    sums = _union([portable_checksum(spark.read.parquet(path)).select(F.lit(name).alias("table_name"), "rows", "checksum") for name, path in sorted(found.items())])
+    return sums.withColumn("restored", F.col("table_name").isin(back.tables))
+
+
+def restored_without_manifest(spark, sf_dir):
+    """A folder of tables that nobody wrote a manifest for: its visible folders are what is restored."""
+    base = fresh_path(spark, "plain")
+    for name in ("orders", "nation", "events"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{base}/copy/{name}")
+    spark.range(1).write.parquet(f"{base}/copy/_hidden")
+    back = restore(spark, RestoreOptions(f"{base}/copy", f"{base}/restored"))
+    sums = _union([portable_checksum(spark.read.parquet(f"{base}/restored/{name}")).select(F.lit(name).alias("table_name"), "rows", "checksum") for name in sorted(back.tables)])
+    return sums.withColumn("verified", F.lit(back.verification_passed))
+
+
+def flushed_log_read_back(spark, sf_dir):
+    """The log of one run in its own backup folder: a later run does not add to it. Tables it names, with their rows."""
+    location = fresh_path(spark, "flushed")
+    done = [jobs.backup(spark, sf_dir, BackupOptions("test lake", location, verify=False, table_filter=tables, retention_days=0), at=AT + dt.timedelta(days=day))
+            for day, tables in enumerate(("nation,region,orders", "supplier"))]
+    log = spark.read.parquet(f"{done[0].path}/_logs").where("message LIKE '%: copied'").select(F.regexp_replace("message", ": copied$", "").alias("table_name"), "level")
+    return log.join(_counts(spark, list_tables(spark, done[0].path)), "table_name")
+
+
 def _left_in(spark, location):
     """Rows of every table of every backup folder of a location, as read back."""
     found = []
@@ -284,6 +375,12 @@ QUERIES = {
     "backups_compared": backups_compared,
     "lakehouses_swept": lakehouses_swept,
     "restore_tested": restore_tested,
+    "incremental_restored_zones": incremental_restored_zones,
+    "increment_with_late_rows": increment_with_late_rows,
+    "partitions_restored": partitions_restored,
+    "restored_over": restored_over,
+    "restored_without_manifest": restored_without_manifest,
+    "flushed_log_read_back": flushed_log_read_back,
 }
 
 
@@ -361,4 +458,14 @@ UNION ALL SELECT 'events', 'only_in_second', count(*) FROM events UNION ALL SELE
 UNION ALL SELECT 'region', count(*), 'b', 'success' FROM region UNION ALL SELECT 'nation', count(*), 'b', 'success' FROM nation""",
     "restore_tested": "SELECT folder_name, true AS valid, count(*) AS tables, CAST(sum(rows) AS BIGINT) AS rows FROM ("
     + " UNION ALL ".join(map(_held, _FOLDERS)) + ") GROUP BY folder_name",
+    "incremental_restored_zones": """SELECT l_returnflag, l_linestatus, count(*) AS rows, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents,
+  CAST(sum(epoch_us(date_trunc('day', l_shipdate)) // 1800000000 + l_linenumber) AS BIGINT) AS half_hours, true AS verified FROM lineitem GROUP BY ALL""",
+    "increment_with_late_rows": f"""SELECT 'lineitem' AS table_name, count(*) FILTER (l_shipdate > TIMESTAMP '{SPLIT}') AS source_rows,
+  count(*) FILTER (l_shipdate > TIMESTAMP '{SPLIT}' OR l_linenumber <> 2) AS total_rows, count(*) AS source_total_rows, false AS verified FROM lineitem
+UNION ALL SELECT 'region', count(*), NULL, NULL, true FROM region""",
+    "partitions_restored": """WITH named AS (SELECT CASE WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN '' ELSE 'Q' END || strftime(o_orderdate, '%m') AS m, o_orderkey FROM orders)
+SELECT 'm=' || m AS folder, m, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys, true AS verified FROM named GROUP BY m""",
+    "restored_over": "\nUNION ALL\n".join(f"SELECT *, {str(t != 'supplier').lower()} AS restored FROM ({_checksum_sql(t)})" for t in ("orders", "customer", "supplier")),
+    "restored_without_manifest": "\nUNION ALL\n".join(f"SELECT *, true AS verified FROM ({_checksum_sql(t)})" for t in ("orders", "nation", "events")),
+    "flushed_log_read_back": "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, 'INFO' AS level, count(*) AS rows FROM {t}" for t in ("nation", "region", "orders")),
 }
