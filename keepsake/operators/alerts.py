@@ -88,15 +88,24 @@ def match_rules(events: DataFrame, fields: dict[str, tuple[Column, Column]], rul
     return offers.join(known, "field").where(here & met).drop("environments", "conditions", "_offered")
 
 
-def throttle_by_rule(hits: DataFrame, order: list[str]) -> DataFrame:
-    """At most ``throttle_most`` hits per rule and window of ``throttle_seconds``, the earliest; all where a rule states neither."""
+def largest_limit(rules: DataFrame) -> int:
+    """The largest ``throttle_most`` of the rules, which have the size of their configuration file; 0 without any."""
+    return rules.agg(F.max("throttle_most")).first()[0] or 0
+
+
+def throttle_by_rule(hits: DataFrame, order: list[str], largest: int) -> DataFrame:
+    """At most ``throttle_most`` hits per rule and window of ``throttle_seconds``, the earliest; all where a rule states neither.
+
+    ``largest`` is the largest limit of any rule. As a number in the plan it lets Spark keep that many rows per
+    group in each task before the shuffle; each rule's own limit then holds on what is left.
+    """
     width = F.col("throttle_seconds") * 1_000_000
     start = F.when(width.isNotNull(), periods.epoch_us(F.col("ts")) - F.pmod(periods.epoch_us(F.col("ts")), width)).otherwise(periods.epoch_us(F.col("ts")))
     numbered = hits.withColumn("_start", start)
     # Rules without a limit never enter the window.
     limited = numbered.where("throttle_seconds IS NOT NULL AND throttle_most IS NOT NULL")
     group = W.partitionBy("rule_name", "_start").orderBy(*order)
-    kept = limited.withColumn("_rn", F.row_number().over(group)).where("_rn <= throttle_most").drop("_rn")
+    kept = limited.withColumn("_rn", F.row_number().over(group)).where(F.col("_rn") <= F.lit(largest)).where("_rn <= throttle_most").drop("_rn")
     return kept.unionByName(numbered.where("throttle_seconds IS NULL OR throttle_most IS NULL")).drop("_start")
 
 
@@ -111,26 +120,36 @@ def throttle(alerts: DataFrame, rule: str, order: list[str], interval: str = "15
     return windowed.withColumn("_rn", F.row_number().over(group)).where(F.col("_rn") <= most).drop("_rn")
 
 
-def _bin(ts: Column, seconds: int) -> Column:
-    return F.floor(periods.epoch_us(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+def _bin(ts: Column, seconds: Column) -> Column:
+    return F.floor(periods.epoch_us(ts) / (seconds * 1_000_000)).cast("bigint")
 
 
 def escalate(opened: DataFrame, closed: DataFrame, key: str, delay_seconds: int = 1800) -> DataFrame:
-    """Opened alerts without a closing event of the same key in [ts, ts + delay].
+    """Opened alerts without a closing event of the same key in [ts, ts + delay]."""
+    stated = opened.withColumn("escalate_seconds", F.lit(delay_seconds).cast("bigint"))
+    return escalate_by_rule(stated, closed, key, [delay_seconds]).drop("escalate_seconds")
+
+
+def escalate_by_rule(opened: DataFrame, closed: DataFrame, key: str, delays: list[int]) -> DataFrame:
+    """Opened alerts without a closing event of the same key within their own ``escalate_seconds``; those without never escalate.
 
-    Time is cut into bins as long as the delay: a closing event counts if it is the bin's last one
-    and not earlier, or the next bin's first one and in time. So closings are reduced to first and
-    last per key and bin before the join, and no pair of one key's events is ever formed.
+    ``delays`` are the different delays that rules state. Time is cut into bins as long as the delay: a closing
+    event counts if it is the bin's last one and not earlier, or the next bin's first one and in time. So closings
+    are reduced to first and last per key, delay and bin before the join, all rules in one plan, and no pair of one
+    key's events is ever formed.
     """
-    here = F.struct(_bin(F.col("ts"), delay_seconds).alias("_bin"), F.col("ts").alias("_last"),
+    delay = F.col("_delay")
+    here = F.struct(_bin(F.col("ts"), delay).alias("_bin"), F.col("ts").alias("_last"),
                     F.lit(None).cast("timestamp_ntz").alias("_next"))
-    late = F.struct((_bin(F.col("ts"), delay_seconds) - 1).alias("_bin"), F.lit(None).cast("timestamp_ntz").alias("_last"),
+    late = F.struct((_bin(F.col("ts"), delay) - 1).alias("_bin"), F.lit(None).cast("timestamp_ntz").alias("_last"),
                     F.col("ts").alias("_next"))
+    known = F.array(*[F.lit(d).cast("bigint") for d in sorted(set(delays))]).cast("array<bigint>")
     ends = (
-        closed.select(key, F.inline(F.array(here, late)))
-        .groupBy(key, "_bin").agg(F.max("_last").alias("_last"), F.min("_next").alias("_next"))
+        closed.select(key, "ts", F.explode(known).alias("_delay")).select(key, "_delay", F.inline(F.array(here, late)))
+        .groupBy(key, "_delay", "_bin").agg(F.max("_last").alias("_last"), F.min("_next").alias("_next"))
     )
-    joined = opened.withColumn("_bin", _bin(F.col("ts"), delay_seconds)).join(ends, [key, "_bin"], "left")
-    in_time = F.timestamp_add("SECOND", F.lit(delay_seconds), F.col("ts")) >= F.col("_next")
+    stated = opened.where("escalate_seconds IS NOT NULL").withColumn("_delay", F.col("escalate_seconds").cast("bigint"))
+    joined = stated.withColumn("_bin", _bin(F.col("ts"), delay)).join(ends, [key, "_delay", "_bin"], "left")
+    in_time = F.timestamp_add("SECOND", F.col("_delay").cast("int"), F.col("ts")) >= F.col("_next")
     resolved = F.coalesce(F.col("_last") >= F.col("ts"), F.lit(False)) | F.coalesce(in_time, F.lit(False))
-    return joined.where(~resolved).drop("_bin", "_last", "_next")
+    return joined.where(~resolved).drop("_bin", "_last", "_next", "_delay")

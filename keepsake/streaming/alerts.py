@@ -26,16 +26,33 @@ def throttled(alerts: DataFrame, rule: str, identity: str, interval_seconds: int
 
     ``identity`` is a bigint that decides between equal times.
     """
-    width = interval_seconds * 1_000_000
+    stated = alerts.select(F.col(rule).alias("rule_name"), "ts", identity, F.lit(interval_seconds).cast("bigint").alias("throttle_seconds"),
+                           F.lit(most).alias("throttle_most"))
+    return _limited(stated, identity, windows_in_block).withColumnRenamed("rule_name", rule)
 
+
+def throttled_by_rule(hits: DataFrame, identity: str, windows_in_block: int = 96) -> DataFrame:
+    """Hits of ``match_rules`` on a stream, each rule with its own window and limit: ``rule_name, window_start, ts, identity``.
+
+    Limited rules give their first hits once a window has closed; hits of rules without a limit pass at once,
+    without window_start.
+    """
+    stated = F.col("throttle_seconds").isNotNull() & F.col("throttle_most").isNotNull()
+    free = hits.where(~stated).select("rule_name", F.lit(None).cast("timestamp_ntz").alias("window_start"), "ts", F.col(identity).cast("bigint").alias(identity))
+    return _limited(hits.where(stated), identity, windows_in_block).unionByName(free)
+
+
+def _limited(alerts: DataFrame, identity: str, windows_in_block: int) -> DataFrame:
     def earliest(batches):
         # Rows beyond the first few of their own batch cannot be among the first few of the window.
         for batch in batches:
-            yield batch.sort_values(["us", "id"]).groupby(["rule", "start"], dropna=False, sort=False).head(most)
+            batch = batch.sort_values(["us", "id"])
+            yield batch[batch.groupby(["rule", "start"], dropna=False, sort=False).cumcount() < batch["most"]]
 
     def merge(key, batches, state):
         import pandas as pd
 
+        rule, width, most = key[0], int(key[1]), int(key[2])
         windows = {}
         held = zip(*state.get) if state.exists else []
         for row in held:
@@ -54,17 +71,17 @@ def throttled(alerts: DataFrame, rule: str, identity: str, interval_seconds: int
             state.remove()
         if closed:
             starts, times, ids = zip(*closed)
-            yield pd.DataFrame({"rule": key[0], "start": starts, "us": times, "id": ids})
+            yield pd.DataFrame({"rule": rule, "start": starts, "us": times, "id": ids})
 
-    us = epoch_us(F.col("ts"))
-    rows = alerts.select(F.col(rule).alias("rule"), (us - F.pmod(us, F.lit(width))).alias("start"), us.alias("us"),
-                         F.col(identity).cast("bigint").alias("id"))
+    us, width = epoch_us(F.col("ts")), F.col("throttle_seconds").cast("bigint") * 1_000_000
+    rows = alerts.select(F.col("rule_name").alias("rule"), width.alias("width"), F.col("throttle_most").cast("bigint").alias("most"),
+                         (us - F.pmod(us, width)).alias("start"), us.alias("us"), F.col(identity).cast("bigint").alias("id"))
     reduced = _watermarked(rows.mapInPandas(earliest, rows.schema))
-    block = F.floor(F.col("start") / F.lit(width * windows_in_block)).cast("bigint")
-    kept = reduced.withColumn("block", block).groupBy("rule", "block").applyInPandasWithState(
+    block = F.floor(F.col("start") / (F.col("width") * windows_in_block)).cast("bigint")
+    kept = reduced.withColumn("block", block).groupBy("rule", "width", "most", "block").applyInPandasWithState(
         merge, "rule string, start bigint, us bigint, id bigint", "starts array<bigint>, us array<bigint>, ids array<bigint>",
         "append", GroupStateTimeout.EventTimeTimeout)
-    return kept.select(F.col("rule").alias(rule), from_epoch_us(F.col("start")).alias("window_start"),
+    return kept.select(F.col("rule").alias("rule_name"), from_epoch_us(F.col("start")).alias("window_start"),
                        from_epoch_us(F.col("us")).alias("ts"), F.col("id").alias(identity))
 
 

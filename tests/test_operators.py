@@ -244,3 +244,49 @@ def test_null_groups_are_groups(spark, monkeypatch, limit):
     assert sorted((x.folder_name, x.previous_bytes) for x in grown) == [("backup_1", None), ("backup_2", 10), ("backup_3", 10), ("backup_4", 10)]
     values = spark.sql("SELECT * FROM VALUES ('a', CAST(NULL AS double)), ('a', NULL), (NULL, 0.25D), (NULL, 0.75D) AS t(k, v)")
     assert {x.k: x.p for x in metrics.exact_percentile(values, ["k"], "v", 0.5, "p").collect()} == {"a": None, None: 0.5}
+
+
+def test_escalation_by_rule(spark):
+    """Each rule's own delay, against loops; boundaries of bins and of delays to the microsecond."""
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=rnd.choice([0, 60, 599, 600, 601, 1800, 3600, 5400, 7199, 7200, 9000]) + rnd.choice([0, 1]), microseconds=rnd.choice([0, 1])),
+             rnd.choice("ab"), rnd.choice(["open", "open", "close"]), rnd.choice([600, 1800, 7200, None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id bigint, ts timestamp_ntz, k string, what string, escalate_seconds bigint")
+    opened, closed = df.where("what = 'open'"), df.where("what = 'close'").select("k", "ts")
+    got = alerts.escalate_by_rule(opened, closed, "k", [600, 1800, 7200])
+    assert got.columns == ["k", "id", "ts", "what", "escalate_seconds"] or set(got.columns) == {"k", "id", "ts", "what", "escalate_seconds"}
+    assert sorted(r.id for r in got.collect()) == sorted(i for i, t, k, w, d in rows if w == "open" and d and not any(
+        w2 == "close" and k2 == k and t <= t2 <= t + dt.timedelta(seconds=d) for _, t2, k2, w2, _ in rows))
+    assert alerts.escalate_by_rule(opened.where("escalate_seconds IS NULL"), closed, "k", []).collect() == []
+
+
+def test_aggregations_by_name(spark):
+    rows = [(k, dt.datetime(2024, 1, 1, h), i, float(v)) for i, (k, h, v) in enumerate([("a", 1, 5), ("a", 3, 2), ("a", 3, 9), ("a", 2, 100), ("b", 1, 7)])]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id bigint, value double")
+    want = {"average": 29.0, "sum": 116.0, "count": 4.0, "minimum": 2.0, "maximum": 100.0, "latest": 9.0, "percentile_50": 7.0, "percentile_95": 86.35}
+    for name, value in want.items():
+        got = {r.k: r.value for r in metrics.aggregated(df, ["k"], "value", name, ["ts", "id"]).collect()}
+        assert got["a"] == pytest.approx(value) and got["b"] == (1.0 if name == "count" else 7.0), name
+    for bad in ("median", "percentile_", "percentile_101"):
+        with pytest.raises(ValueError):
+            metrics.aggregated(df, ["k"], "value", bad, ["ts"])
+
+
+def test_forecast_interval(spark):
+    """Tabulated quantiles of Student's distribution, and the prediction interval of a line from its textbook formula."""
+    table = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 8: 2.306, 10: 2.228, 30: 2.042, 1000: 1.962}
+    rows = spark.createDataFrame([(float(n),) for n in table], "n double").select("n", metrics.student_quantile(F.col("n"), 1.959964).alias("t")).collect()
+    for r in rows:
+        assert r.t == pytest.approx(table[int(r.n)], rel=2.5e-3 if r.n == 3 else 1e-3), r.n
+    xs, ys = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10], [2.1, 3.9, 6.2, 7.8, 10.1, 12.2, 13.8, 16.1, 18.0, 20.2]
+    got = metrics.forecast(spark.createDataFrame([("s", x, y) for x, y in zip(xs, ys)] + [("t", 1, 1.0), ("t", 2, 2.0)], "k string, day_number bigint, v double"),
+                           ["k"], "v", horizon_days=5, z=1.959964).collect()
+    row = next(r for r in got if r.k == "s")
+    n, mx, my = 10, sum(xs) / 10, sum(ys) / 10
+    sxx = sum((x - mx) ** 2 for x in xs)
+    slope = sum((x - mx) * (y - my) for x, y in zip(xs, ys)) / sxx
+    rest = sum((y - my - slope * (x - mx)) ** 2 for x, y in zip(xs, ys)) / (n - 2)
+    half = 2.306 * (rest * (1 + 1 / n + (15 - mx) ** 2 / sxx)) ** 0.5
+    assert row.forecast == pytest.approx(my + slope * (15 - mx)) and row.upper - row.forecast == pytest.approx(half, rel=1e-3)
+    assert next(r for r in got if r.k == "t").upper is None

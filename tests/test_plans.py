@@ -22,7 +22,7 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "o_custkey" not in text
 
 
-@pytest.mark.parametrize("name", ["alerts_throttled", "newest_backups"])
+@pytest.mark.parametrize("name", ["alerts_throttled", "newest_backups", "structured_alerts"])
 def test_top_rows_are_limited_before_the_shuffle(spark, sf_dir, name):
     text = plan(entry.queries()[name](spark, sf_dir))
     assert text.count("WindowGroupLimit") >= 2

@@ -55,6 +55,41 @@ def test_throttle_equals_batch(spark, folder):
     assert got == sorted(r.execution_id for r in kept.collect())
 
 
+def test_throttle_by_rule_equals_batch(spark, folder):
+    """Windows of an hour and of ten minutes, limits of two and one, and a rule without either."""
+    rows = events(seed=8)
+    limits = F.create_map(F.lit("error"), F.struct(F.lit(3600).cast("bigint"), F.lit(2)), F.lit("purchase"), F.struct(F.lit(600).cast("bigint"), F.lit(1)))
+
+    def stated(df):
+        own = limits[F.col("rule_name")]
+        return df.withColumns({"throttle_seconds": own["col1"], "throttle_most": own["col2"]})
+
+    stream = stated(write(spark, rows, folder, 4))
+    got = drain(alerts.throttled_by_rule(stream, "execution_id"), "r").collect()
+    kept = batch.throttle_by_rule(stated(spark.createDataFrame(rows, SCHEMA).where("environment <> 'end'")), ["ts", "execution_id"], 2).collect()
+    assert sorted(r.execution_id for r in got) == sorted(r.execution_id for r in kept)
+    assert {r.rule_name for r in got if r.window_start is None} == {"view"}
+    slow = {}
+    for i, t, env, rule, *_ in sorted(rows[:-2], key=lambda r: (r[1], r[0])):
+        width = {"error": 3600, "purchase": 600, "view": None}[rule]
+        slow.setdefault((rule, (t - BASE) // dt.timedelta(seconds=width) if width else i), []).append(i)
+    assert sorted(r.execution_id for r in kept) == sorted(i for (rule, _), ids in slow.items() for i in ids[:{"error": 2}.get(rule, 1)])
+
+
+def test_the_error_of_the_percentile_is_bounded(spark, folder):
+    """Ranks are off by at most n / precision, over many batches; exact when a window has fewer runs than that."""
+    rnd = random.Random(9)
+    rows = [(i, BASE + dt.timedelta(seconds=i), "a", "view", "Success", round(rnd.lognormvariate(2, 1.5), 3), 0) for i in range(20_000)]
+    rows.append((20_000, BASE + dt.timedelta(days=9), "end", "view", "Success", 1.0, 0))
+    values = sorted(r[5] for r in rows[:-1])
+    stream = write(spark, rows, folder, 6)
+    for precision, most in ((40, 20_000 / 40), (100_000, 0)):
+        row, = drain(metrics.tumbling_metrics(stream, ["environment"], precision=precision), f"p{precision}").where("environment = 'a'").collect()
+        wanted = -(-95 * len(values) // 100)
+        low, high = sum(v < row.p95_min for v in values) + 1, sum(v <= row.p95_min for v in values)
+        assert max(low - wanted, wanted - high, 0) <= most, (precision, low, high, wanted)
+
+
 def test_escalation_equals_batch(spark, folder):
     rows = events(seed=5)
     stream = write(spark, rows, folder, 4)

@@ -123,7 +123,46 @@ def structured_alerts(spark, sf_dir):
     """Rules in object form with several conditions each, throttled as each rule says."""
     runs = run_log(spark, sf_dir).withColumnRenamed("rule_name", "kind")
     hits = alerts.match_rules(runs, object_fields(), config.alert_rules(_documents(spark, OBJECT_RULES)))
-    return alerts.throttle_by_rule(hits, ["ts", "execution_id"]).select("execution_id", "ts", "environment", "rule_name", "severity")
+    largest = alerts.largest_limit(config.alert_rules(_documents(spark, OBJECT_RULES)))
+    return alerts.throttle_by_rule(hits, ["ts", "execution_id"], largest).select("execution_id", "ts", "environment", "rule_name", "severity")
+
+
+def throttled_rules(spark):
+    """Two rules of the configuration with windows and limits of their own, and one without."""
+    limits = {"Pipeline Execution Failure": ("PT15M", 3), "Storage Space Warning": ("PT1H", 2), "Backup Duration Anomaly": None}
+    rules = [{**rule, "throttling": limits[rule["name"]] and dict(zip(("interval", "maxAlertsPerInterval"), limits[rule["name"]]))}
+             for rule in OBJECT_RULES if rule["name"] in limits]
+    return config.alert_rules(_documents(spark, rules))
+
+
+def escalated_by_rule(spark, sf_dir):
+    """Hits of three rules that escalate after half an hour, after two hours, and never, unless a purchase of their environment closes them."""
+    after = {"Pipeline Execution Failure": "PT30M", "Storage Space Warning": "PT2H", "Data Quality Issues": None}
+    rules = config.alert_rules(_documents(spark, [{**rule, "escalation": {"enabled": after[rule["name"]] is not None, "escalateAfter": after[rule["name"]] or "PT5M"}}
+                                                  for rule in OBJECT_RULES if rule["name"] in after]))
+    runs = run_log(spark, sf_dir).withColumnRenamed("rule_name", "kind")
+    hits = alerts.match_rules(runs, object_fields(), rules).select("execution_id", "environment", "ts", "rule_name", "escalate_seconds")
+    delays = [row.escalate_seconds for row in rules.where("escalate_seconds IS NOT NULL").select("escalate_seconds").distinct().collect()]
+    return alerts.escalate_by_rule(hits, runs.where("kind = 'purchase'").select("environment", "ts"), "environment", delays)
+
+
+# Metric definitions of the configuration file.
+ALL_METRIC_RULES = [
+    {"name": "pipeline_success_rate", "type": "percentage", "aggregation": "average", "timeWindow": "PT24H", "threshold": {"warning": 95, "critical": 90}},
+    {"name": "backup_duration", "type": "duration", "aggregation": "percentile_95", "timeWindow": "PT24H", "threshold": {"warning": "PT1H30M", "critical": "PT2H"}},
+    {"name": "circuit_breaker_trips", "type": "count", "aggregation": "sum", "timeWindow": "PT24H", "threshold": {"warning": 3, "critical": 5}},
+    {"name": "security_risk_score", "type": "score", "aggregation": "average", "timeWindow": "PT24H", "threshold": {"warning": 5.0, "critical": 8.0}},
+    {"name": "data_quality_score", "type": "percentage", "aggregation": "average", "timeWindow": "PT24H", "threshold": {"warning": 95, "critical": 90}},
+    {"name": "storage_utilization", "type": "percentage", "aggregation": "latest", "timeWindow": "PT1H", "threshold": {"warning": 80, "critical": 90}},
+    {"name": "retry_rate", "type": "percentage", "aggregation": "average", "timeWindow": "PT24H", "threshold": {"warning": 10, "critical": 20}},
+]
+
+
+def all_metrics_from_rules(spark, sf_dir):
+    """All seven metric definitions, each with its own window, aggregation and thresholds."""
+    values = {"security_risk_score": F.col("duration_min") / 50, "data_quality_score": F.col("duration_min") / 5,
+              "storage_utilization": F.round(F.col("duration_min") % 100, 2)}
+    return metrics.metrics_from_rules(run_log(spark, sf_dir), ENV, config.metric_rules(_documents(spark, ALL_METRIC_RULES)), values)
 
 
 def metrics_from_rules(spark, sf_dir):
@@ -240,6 +279,8 @@ QUERIES = {
     "alerts_raised": alerts_raised,
     "alerts_throttled": alerts_throttled,
     "alerts_escalated": alerts_escalated,
+    "escalated_by_rule": escalated_by_rule,
+    "all_metrics_from_rules": all_metrics_from_rules,
     "duration_anomalies": duration_anomalies,
     "size_growth": size_growth,
     "structured_alerts": structured_alerts,
@@ -313,6 +354,28 @@ UNION ALL SELECT execution_id, ts, environment, 'Storage Quota Alert', 'High' FR
   SELECT rule_name, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS window_start, ts, execution_id FROM runs),
 r AS (SELECT *, row_number() OVER (PARTITION BY rule_name, window_start ORDER BY ts, execution_id) AS rn FROM w)
 SELECT rule_name, window_start, ts, execution_id FROM r WHERE rn <= 3""",
+    "escalated_by_rule": f"""WITH {RUNS_SQL}, o AS (
+  SELECT execution_id, environment, ts, 'Pipeline Execution Failure' AS rule_name, 1800::BIGINT AS escalate_seconds FROM runs
+  WHERE rule_name IN ('click', 'error') AND status = 'Failed'
+  UNION ALL SELECT execution_id, environment, ts, 'Storage Space Warning', 7200 FROM runs WHERE round(duration_min % 100, 2) >= 85)
+SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM runs c WHERE c.rule_name = 'purchase' AND c.environment = o.environment
+  AND c.ts >= o.ts AND c.ts <= o.ts + to_seconds(escalate_seconds))""",
+    "all_metrics_from_rules": f"""WITH {RUNS_SQL}, d AS (
+  SELECT {_DAY} AS window_start, environment, avg(CASE WHEN status <> 'Failed' THEN 100.0::DOUBLE ELSE 0 END) AS ok,
+    avg(CASE WHEN retries > 0 THEN 100.0::DOUBLE ELSE 0 END) AS again, (count(*) FILTER (WHERE status = 'Failed'))::DOUBLE AS trips,
+    quantile_cont(duration_min * 60, 0.95) AS slow, avg(duration_min / 50) AS risk, avg(duration_min / 5) AS quality FROM runs GROUP BY ALL),
+h AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, environment,
+    arg_max(round(duration_min % 100, 2), (ts, execution_id)) AS used FROM runs GROUP BY ALL),
+v AS (SELECT window_start, environment, 'pipeline_success_rate' AS metric, ok AS value, 95::DOUBLE AS warning, 90::DOUBLE AS critical FROM d
+  UNION ALL SELECT window_start, environment, 'backup_duration', slow, 5400, 7200 FROM d
+  UNION ALL SELECT window_start, environment, 'circuit_breaker_trips', trips, 3, 5 FROM d
+  UNION ALL SELECT window_start, environment, 'security_risk_score', risk, 5, 8 FROM d
+  UNION ALL SELECT window_start, environment, 'data_quality_score', quality, 95, 90 FROM d
+  UNION ALL SELECT window_start, environment, 'storage_utilization', used, 80, 90 FROM h
+  UNION ALL SELECT window_start, environment, 'retry_rate', again, 10, 20 FROM d),
+r AS (SELECT window_start, environment, metric, round(value, 6) AS value, warning, critical FROM v)
+SELECT window_start, environment, metric, value, CASE WHEN warning > critical THEN CASE WHEN value <= critical THEN 'critical' WHEN value <= warning THEN 'warning' ELSE 'ok' END
+  WHEN value >= critical THEN 'critical' WHEN value >= warning THEN 'warning' ELSE 'ok' END AS severity FROM r""",
     "alerts_escalated": f"""WITH {RUNS_SQL}
 SELECT execution_id, environment, ts FROM runs o WHERE rule_name = 'error' AND NOT EXISTS (
   SELECT 1 FROM runs c WHERE c.rule_name = 'purchase' AND c.environment = o.environment
@@ -382,9 +445,12 @@ FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-08-01' GROUP BY ALL""",
     "capacity_forecast": f"""WITH {CATALOG_SQL}, d AS (
   SELECT source_lakehouse, date_diff('day', DATE '1995-01-01', CAST(ts AS DATE)) AS x,
     CAST(sum(size_bytes) AS BIGINT) / 1073741824.0::DOUBLE AS y FROM catalog GROUP BY ALL),
-f AS (SELECT source_lakehouse, count(*) AS days, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
-    regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, max(x) AS last FROM d GROUP BY ALL),
-g AS (SELECT *, intercept + slope * (last + 90) AS forecast, sqrt(greatest(syy - slope * sxy, 0) / nullif(days - 2, 0)) AS err FROM f)
+f AS (SELECT source_lakehouse, count(*) AS days, avg(x) AS mx, avg(y) AS my, sum(x::DOUBLE * x) - count(*) * avg(x) * avg(x) AS sxx,
+    sum(x * y) - count(*) * avg(x) * avg(y) AS sxy, sum(y * y) - count(*) * avg(y) * avg(y) AS syy, max(x) + 90 AS x0 FROM d GROUP BY ALL),
+t AS (SELECT *, sxy / sxx AS slope, my - sxy / sxx * mx AS intercept, (days - 2)::DOUBLE AS v, 1.96::DOUBLE AS z FROM f),
+g AS (SELECT *, intercept + slope * x0 AS forecast, sqrt(greatest(syy - sxy * sxy / sxx, 0) / v * (1 + 1.0::DOUBLE / days + (x0 - mx) * (x0 - mx) / sxx))
+    * (z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v**3)
+      + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / (92160 * v**4)) AS err FROM t WHERE days > 4)
 SELECT source_lakehouse, days, round(slope, 3) AS slope, round(intercept, 3) AS intercept, round(forecast, 3) AS forecast,
-  round(forecast - 1.96 * err, 3) AS lower, round(forecast + 1.96 * err, 3) AS upper FROM g""",
+  round(forecast - err, 3) AS lower, round(forecast + err, 3) AS upper FROM g""",
 }
