@@ -1,25 +1,33 @@
-"""Fuzzy line dedup by MinHash, in DataFrame operations only.
+"""Fuzzy line dedup by MinHash.
 
 A line's set holds its character shingles: the ``SHINGLE`` characters at every position of the whole
-line, in lower case with one blank for each gap; a shorter line is its only shingle. Signatures are minima
-of hashes of the shingles; lines meet where a band of their signatures agrees, and are linked where the exact Jaccard similarity of their sets reaches the threshold.
-Components of links keep their earliest line.
-
-Equal lines are one node from the start. Within a band's bucket lines are compared with one chosen line
-first, so a bucket costs as many pairs as it has lines. Lines that are still in different
-components afterwards are compared with each other inside the join that brings a bucket together, so
-that links come out of it but no pairs.
+line, in lower case with one blank for each gap; a shorter line is its only shingle. A signature holds the least
+hash of the shingles in each of ``bands`` x ``per band`` bins; a bin without one takes that of the next. Lines meet
+where a band of their signatures agrees, and are linked where the exact Jaccard similarity of their sets reaches
+the threshold. Components of links keep their earliest line.
+
+Signatures are computed where the documents are read, from each different line of a batch once, so no text is
+shuffled for them. Only lines that share a bucket with another line travel with their text, once for each different
+set of lines that some bucket brings together. Large buckets are dealt out as pairs of blocks. Links that span
+the groups of a bucket come out, never pairs.
+
+Cutting and hashing the shingles in generated code took 55 core seconds for 0.1 GB, all signatures 147, so the
+operator leaves DataFrame functions for this and for the comparison.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from keepsake.llm.common import SPACE_CHARS, SPACES, components, key_of
+from keepsake.llm.common import byte_texts, components, key_of
 from keepsake.session import settle
 
 SHINGLE = 8
@@ -27,65 +35,204 @@ THRESHOLD = 0.8
 #: Share of links just at the threshold that may share no bucket, and most minima in a band.
 MISSED = 0.002
 ROWS = 4
-#: Three minima come out of one 64-bit hash.
-_BITS = 21
-#: Rounds in which a bucket's lines meet one chosen line, before those left over meet each other.
-STAR_ROUNDS = 1
-#: Largest table that is broadcast, in rows of two numbers; beyond, the same join is shuffled.
-SMALL_ROWS = 2_000_000
+#: A bucket of more lines is compared as pairs of blocks of this size.
+BLOCK = 1024
+#: Characters whose shingles are hashed at once.
+_CHARACTERS_AT_ONCE = 1 << 20
+_NONE = np.uint64(2**64 - 1)
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def _normal(line: bytes) -> np.ndarray:
+    """Code points of the line in lower case, one blank for each gap."""
+    return np.frombuffer(b" ".join(line.split()).decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), np.uint32)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _shingles(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all shingles of all lines, how many each line has)."""
+    lengths = np.array([len(x) for x in lines], np.int64)
+    counts = np.maximum(lengths - SHINGLE, 0) + 1
+    # Blank places after each line, so that a short line is a shingle too and no shingle reaches the next line.
+    flat = np.zeros(int(lengths.sum()) + SHINGLE * len(lines), np.uint64)
+    starts = np.cumsum(lengths + SHINGLE) - (lengths + SHINGLE)
+    for at, line in zip(starts.tolist(), lines):
+        flat[at:at + len(line)] = line
+    places = np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    flat += np.uint64(1)
+    sums = np.zeros(len(flat) - SHINGLE + 1, np.uint64)
+    term = np.empty_like(sums)
+    for j in range(SHINGLE):
+        sums += np.multiply(flat[j:j + len(sums)], _FACTORS[j % len(_FACTORS)], out=term)
+    return _mixed(sums[places]), counts
 
 
-def _characters(line: Column) -> Column:
-    """The normalised line, four bytes a character, so that a character is found without reading those before it."""
-    return F.encode(F.regexp_replace(F.lower(F.btrim(line, F.lit(SPACE_CHARS))), SPACES, " "), "UTF-32")
+def _signatures(lines: list[np.ndarray], bins: int) -> np.ndarray:
+    """One row per line: the least shingle hash in each of ``bins`` equal ranges of another part of the hash."""
+    hashes, counts = _shingles(lines)
+    owner = np.repeat(np.arange(len(lines)), counts)
+    place = ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    found = np.full(len(lines) * bins, _NONE)
+    # The other half of the hash decides within a range.
+    np.minimum.at(found, owner * bins + place, hashes << np.uint64(32) | hashes >> np.uint64(32))
+    found = found.reshape(len(lines), bins)
+    for j in reversed(range(2 * bins)):
+        at, after = j % bins, (j + 1) % bins
+        empty = found[:, at] == _NONE
+        found[empty, at] = np.where(found[empty, after] == _NONE, _NONE, found[empty, after] + np.uint64(0x9E3779B97F4A7C15))
+    return found
 
 
-def _places(characters: Column) -> Column:
-    """Numbers of the shingles of a line, from 0."""
-    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.length(characters), 2) - SHINGLE, F.lit(0)))
+def _keys(signatures: np.ndarray, bands: int, per_band: int) -> np.ndarray:
+    """One 64-bit bucket number per line and band."""
+    out = np.empty((len(signatures), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(signatures), b + 1, np.uint64)
+        for r in range(per_band):
+            key = _mixed(key * _FACTORS[1] + signatures[:, b * per_band + r])
+        out[:, b] = key
+    return out
 
 
-def _shingle(characters: Column, place: Column) -> Column:
-    """64-bit hash of the shingle at a place."""
-    return F.xxhash64(F.substring(characters, 4 * place + 1, F.lit(4 * SHINGLE)))
+def _signed(lines: list[np.ndarray], bands: int, per_band: int) -> np.ndarray:
+    """Buckets of many lines, a bounded number of characters at a time."""
+    parts, at = [], 0
+    while at < len(lines):
+        start, held = at, 0
+        while at < len(lines) and held < _CHARACTERS_AT_ONCE:
+            held += len(lines[at]) + SHINGLE
+            at += 1
+        parts.append(_keys(_signatures(lines[start:at], bands * per_band), bands, per_band))
+    return np.concatenate(parts) if parts else np.zeros((0, bands), np.uint64)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast only after its rows have been counted."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+def _placed(bands: int, per_band: int):
+    """Rows of every line with a word: doc, tie, pos, id; the first of equal lines of a batch has its buckets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for from_row in range(0, len(whole), 1024):
+                batch = whole.slice(from_row, 1024)
+                rows, ids, fresh, first = [], [], [], {}
+                for i, text in enumerate(byte_texts(batch.column(2))):
+                    for pos, line in enumerate((text or b"").split(b"\n")):
+                        if not line.strip():
+                            continue
+                        number = xxhash.xxh64_intdigest(line, 42)
+                        if number not in first:
+                            first[number] = len(ids)
+                            fresh.append(_normal(line))
+                        rows.append((i, pos))
+                        ids.append(number)
+                keys = _signed(fresh, bands, per_band).view(np.int64)
+                has = np.zeros(len(ids), bool)
+                has[list(first.values())] = True
+                offsets = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
+                # A list whose first offset is null is null.
+                lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~has, False)), pa.array(keys.ravel()))
+                taken, places = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken)), batch.column(1).take(pa.array(taken)), pa.array(places.astype(np.int32)),
+                                                  pa.array(np.array(ids, np.uint64).view(np.int64)), lists], names=["doc", "tie", "pos", "id", "buckets"])
 
+    return run
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, tie, pos, line, id) of each line with a word; id is the hash of the whole line."""
-    # Beside the generator, a document's key and hash would be computed again for each of its lines.
-    whole = docs.select(key_of(F.col(doc_id), F.col(text)).alias("doc"), F.xxhash64(F.col(text)).alias("tie"), F.split(text, "\n").alias("lines"))
-    rows = whole.select("doc", "tie", F.posexplode("lines").alias("pos", "line"))
-    rows = rows.where(F.rlike("line", F.lit("[^ \\t-\\r]")))
-    return rows.select("doc", "tie", "pos", "line", F.xxhash64("line").alias("id"))
 
+class _Groups:
+    """Union-find over the lines of one bucket; keeps the links that joined two groups."""
 
-def _buckets(lines: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """(id, buckets): the bands of each different line's signature."""
-    count = bands * per_band
-    hashes = [F.xxhash64("s", F.lit(i)) for i in range(-(-count // 3))]
-    parts = [F.shiftrightunsigned(h, 1 + _BITS * k).bitwiseAND((1 << _BITS) - 1) for h in hashes for k in range(3)][:count]
-    # Each different line once; its shingles are cut and hashed in generated code.
-    once = lines.dropDuplicates(["id"]).select("id", _characters(F.col("line")).alias("c"))
-    every = once.select("id", "c", F.explode(_places(F.col("c"))).alias("i")).select("id", _shingle(F.col("c"), F.col("i")).alias("s"))
-    signed = every.groupBy("id").agg(*[F.min(p).alias(f"m{i}") for i, p in enumerate(parts)])
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * per_band + r}" for r in range(per_band)]) for b in range(bands)]
-    return signed.select("id", F.array(*keys).alias("buckets"))
+    def __init__(self, n: int) -> None:
+        self.parent, self.pivots = np.arange(n), []
+        self.links: list[tuple[int, int]] = []
 
+    def join(self, a: int, b: int) -> None:
+        one, two = self.parent[a], self.parent[b]
+        if one != two:
+            low, high = min(one, two), max(one, two)
+            self.parent[self.parent == high] = low
+            if high in self.pivots:
+                self.pivots.remove(high)
+            self.links.append((a, b))
 
-def _similar(x: Column, y: Column, threshold: float) -> Column:
-    shared = F.size(F.array_intersect(x, y))
-    return shared >= threshold * (F.size(x) + F.size(y) - shared)
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    hashes = np.sort(hashes)
+    return hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])]
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose sets are as similar as ``threshold``."""
-    one, two = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(one, "a").join(two, "b").where(_similar(F.col("x"), F.col("y"), threshold)).select("a", "b")
+
+def _linked(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that span the groups of lines whose sets (sorted hashes) are similar enough. A line is compared with
+    the first line of each group, then with all lines of the groups that this left apart."""
+    sizes = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        both = np.sort(np.concatenate(sets))
+        shared = int((both[1:] == both[:-1]).sum())
+        return [(0, 1)] if shared >= threshold * (len(both) - shared) else []
+    known = _distinct(np.concatenate(sets))
+    sets = [np.searchsorted(known, x) for x in sets]
+    flat = np.concatenate(sets)
+    starts = np.cumsum(sizes) - sizes
+    present = np.zeros(len(known), bool)
+    groups = _Groups(len(sets))
+    for i, own in enumerate(sets):
+        present[own] = True
+
+        def similar(shared, size):
+            return shared >= threshold * (size + sizes[i] - shared)
+
+        for p in list(groups.pivots):
+            if p in groups.pivots and similar(int(present[sets[p]].sum()), sizes[p]):
+                groups.join(p, i)
+        if i and (groups.parent[:i] != groups.parent[i]).any():
+            shared = np.add.reduceat(present[flat[:starts[i]]].astype(np.int64), starts[:i])
+            for j in np.flatnonzero(similar(shared, sizes[:i])).tolist():
+                groups.join(j, i)
+        if groups.parent[i] == i:
+            groups.pivots.append(i)
+        present[own] = False
+    return groups.links
+
+
+def _links(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+        # Whole places, compared when they hold enough characters; their lines are hashed together.
+        waiting: list[list[tuple[int, np.ndarray]]] = []
+        characters = 0
+
+        def done() -> pa.RecordBatch:
+            hashes, counts = _shingles([line for rows in waiting for _, line in rows])
+            ends, at, links = np.cumsum(counts).tolist(), 0, []
+            for rows in waiting:
+                bounds = [0 if not at else ends[at - 1], *ends[at:at + len(rows)]]
+                at += len(rows)
+                sets = [_distinct(hashes[x:y]) for x, y in zip(bounds, bounds[1:])]
+                links += [(rows[a][0], rows[b][0]) for a, b in _linked(sets, threshold)]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for at, number, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch.column(2))):
+                if at != place:
+                    if len(held) > 1:
+                        waiting.append(held)
+                    if characters >= _CHARACTERS_AT_ONCE and waiting:
+                        yield done()
+                        waiting, characters = [], 0
+                    place, held = at, []
+                held.append((number, _normal(line)))
+                characters += len(held[-1][1])
+        if len(held) > 1:
+            waiting.append(held)
+        if waiting:
+            yield done()
+
+    return run
 
 
 def banding(threshold: float) -> tuple[int, int]:
@@ -94,44 +241,30 @@ def banding(threshold: float) -> tuple[int, int]:
     return (1 if threshold >= 1 else math.ceil(math.log(MISSED) / math.log(1 - threshold**per_band))), per_band
 
 
-def line_groups(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, component) of the different lines that are linked; ``lines`` has id and line."""
-    bands, per_band = banding(threshold)
-    buckets = settle(_buckets(lines, bands, per_band), "buckets").select("id", F.explode("buckets").alias("bucket"))
-    shared = settle(buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket"), "shared")
-    members = settle(buckets.join(_small(shared), "bucket"), "members")
-    wanted = settle(members.select("id").distinct(), "wanted")
-    found = lines.join(_small(wanted), "id").dropDuplicates(["id"]).select("id", _characters(F.col("line")).alias("c"))
-    sets = settle(found.select("id", F.array_distinct(F.transform(_places(F.col("c")), lambda i: _shingle(F.col("c"), i))).alias("set")), "sets")
-    members = members.join(sets.select("id", F.size("set").alias("n")), "id")
-    labels, links = None, None
-    for number in range(STAR_ROUNDS + 1):
-        placed = members.withColumn("label", F.col("id"))
-        if labels is not None:
-            known = labels.select(F.col("node").alias("id"), "component")
-            placed = members.join(known, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        placed = settle(placed, "placed")
-        # One line of each bucket that is still in several components, another one in every round.
-        mixed = placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min(F.struct(F.xxhash64("id", F.lit(number)), "id", "label", "n")).alias("best"))
-        mixed = settle(mixed.where("l <> h").select("bucket", F.col("best.id").alias("other"), F.col("best.label").alias("other_label"), F.col("best.n").alias("other_n")), "mixed")
-        if mixed.isEmpty():
-            break
-        # Sets whose sizes differ too much cannot be similar enough.
-        sizes = F.least("n", "other_n") >= threshold * F.greatest("n", "other_n")
-        apart = (F.col("label") != F.col("other_label")) & sizes
-        if number < STAR_ROUNDS:
-            pairs = placed.join(mixed, "bucket").where(apart).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-            new = _verified(settle(pairs, "pairs"), sets, threshold)
-        else:
-            # The comparison is part of the join's condition: only links come out of it, never pairs.
-            left = settle(placed.join(mixed.select("bucket"), "bucket").join(sets, "id"), "left")
-            right = left.select(F.col("bucket").alias("other_bucket"), F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("set").alias("other_set"))
-            same = (F.col("bucket") == F.col("other_bucket")) & (F.col("id") < F.col("other")) & apart & _similar(F.col("set"), F.col("other_set"), threshold)
-            new = left.join(right, same).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-        new = settle(new, "verified")
-        links = new if links is None else links.union(new)
-        labels = settle(components(links), "labels")
-    return labels if labels is not None else members.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+def _texts(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
+    """(id, line) of some lines, each once."""
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).select(F.xxhash64("line").alias("id"), "line")
+    return lines.join(ids, "id").groupBy("id").agg(F.first("line").alias("line"))
+
+
+def line_groups(docs: DataFrame, text: str, lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component) of the different lines that are linked; ``lines`` are those of ``_placed``."""
+    keyed = lines.where("buckets IS NOT NULL").select("id", F.explode("buckets").alias("bucket"))
+    shared = settle(keyed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket"), "shared")
+    members = settle(keyed.join(shared, "bucket").distinct(), "members")
+    # Buckets that bring the same lines together are one; lines are told by 128 bits.
+    sums = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("id").alias("x"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
+    sets = settle(sums.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "sets")
+    members = settle(members.join(sets, "bucket"), "members")
+    texts = settle(_texts(docs, text, members.select("id").distinct()), "texts")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = members.select("bucket", "id", parts.alias("parts"), F.pmod(F.xxhash64("id", F.lit(1)), parts).cast("int").alias("own"))
+    # A block meets itself only where it has no other to meet.
+    other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("own")))
+    members = members.select("bucket", "id", "own", F.explode(other).alias("other"))
+    members = members.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "id")
+    met = members.join(texts, "id").select("place", "id", "line").repartition("place").sortWithinPartitions("place", "id")
+    return components(settle(met.mapInArrow(_links(threshold), "a long, b long"), "near"))
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -144,9 +277,10 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     that share an id are told apart by their text; of rows equal in both the first keeps its lines. All
     other columns are passed on; columns named n_lines or n_removed are replaced.
     """
-    lines = _lines(docs, doc_id, text)
-    groups = settle(line_groups(lines.select("id", "line"), threshold), "groups")
-    places = settle(lines.select("doc", "tie", "pos", "id"), "lines")
+    rows = docs.select(key_of(F.col(doc_id), F.col(text)).alias("doc"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
+    lines = settle(rows.mapInArrow(_placed(*banding(threshold)), "doc long, tie long, pos int, id long, buckets array<long>"), "lines")
+    groups = settle(line_groups(docs, text, lines, threshold), "groups")
+    places = lines.select("doc", "tie", "pos", "id")
     named = places.join(groups, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id")).select("doc", "tie", "pos", "label")
     named = settle(named, "named")
     first = named.groupBy("label").agg(F.min(F.struct("doc", "tie", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")

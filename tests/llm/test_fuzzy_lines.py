@@ -13,8 +13,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]")
 
 
 def sets_of(line):
-    words = re.split(r"[ \t-\r]+", line.strip(" \t\n\x0b\f\r").lower())
-    return frozenset(" ".join(words[i:i + 3])[:fuzzy_lines.SHINGLE] for i in range(len(words)))
+    """The definition: the characters at every position of the whole normalised line, a shorter line as one."""
+    bare = re.sub(r"[ \t-\r]+", " ", line.strip(" \t\n\x0b\f\r").lower())
+    return frozenset(bare[i:i + fuzzy_lines.SHINGLE] for i in range(max(len(bare) - fuzzy_lines.SHINGLE, 0) + 1))
 
 
 def all_pairs(lines, threshold=0.8):
@@ -86,10 +87,10 @@ def documents(n=120, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("rounds,small", [(1, 2_000_000), (0, 0), (3, 2_000_000)])
-def test_planted_lines(spark, monkeypatch, rounds, small):
-    monkeypatch.setattr(fuzzy_lines, "STAR_ROUNDS", rounds)
-    monkeypatch.setattr(fuzzy_lines, "SMALL_ROWS", small)
+@pytest.mark.parametrize("block,characters", [(1024, 1 << 20), (3, 300)])
+def test_planted_lines(spark, monkeypatch, block, characters):
+    monkeypatch.setattr(fuzzy_lines, "BLOCK", block)
+    monkeypatch.setattr(fuzzy_lines, "_CHARACTERS_AT_ONCE", characters)
     inputs = documents()
     rows = fuzzy_lines.drop_repeats(spark.createDataFrame([(*r, "l", "i", "d", "p") for r in inputs], SCHEMA)).collect()
     missed, gone = check(rows, inputs)
