@@ -445,12 +445,14 @@ FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-08-01' GROUP BY ALL""",
     "capacity_forecast": f"""WITH {CATALOG_SQL}, d AS (
   SELECT source_lakehouse, date_diff('day', DATE '1995-01-01', CAST(ts AS DATE)) AS x,
     CAST(sum(size_bytes) AS BIGINT) / 1073741824.0::DOUBLE AS y FROM catalog GROUP BY ALL),
-f AS (SELECT source_lakehouse, count(*) AS days, avg(x) AS mx, avg(y) AS my, sum(x::DOUBLE * x) - count(*) * avg(x) * avg(x) AS sxx,
-    sum(x * y) - count(*) * avg(x) * avg(y) AS sxy, sum(y * y) - count(*) * avg(y) * avg(y) AS syy, max(x) + 90 AS x0 FROM d GROUP BY ALL),
-t AS (SELECT *, sxy / sxx AS slope, my - sxy / sxx * mx AS intercept, (days - 2)::DOUBLE AS v, 1.96::DOUBLE AS z FROM f),
-g AS (SELECT *, intercept + slope * x0 AS forecast, sqrt(greatest(syy - sxy * sxy / sxx, 0) / v * (1 + 1.0::DOUBLE / days + (x0 - mx) * (x0 - mx) / sxx))
-    * (z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v**3)
-      + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / (92160 * v**4)) AS err FROM t WHERE days > 4)
+m AS (SELECT *, avg(x) OVER (PARTITION BY source_lakehouse) AS mx, avg(y) OVER (PARTITION BY source_lakehouse) AS my FROM d),
+f AS (SELECT source_lakehouse, count(*) AS days, min(mx) AS mx, min(my) AS my, nullif(sum((x - mx) * (x - mx)), 0) AS sxx,
+    sum((x - mx) * (y - my)) AS sxy, sum((y - my) * (y - my)) AS syy, max(x) + 90 AS x0 FROM m GROUP BY ALL),
+t AS (SELECT *, sxy / sxx AS slope, my - sxy / sxx * mx AS intercept, nullif(days - 2, 0)::DOUBLE AS v, 1.96::DOUBLE AS z, 0.9750021048517795::DOUBLE AS p FROM f),
+q AS (SELECT *, CASE WHEN v = 1 THEN tan(pi() * (p - 0.5)) WHEN v = 2 THEN (2 * p - 1) / sqrt(2 * p * (1 - p)) WHEN v > 2 THEN
+    z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v**3)
+      + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / (92160 * v**4) END AS student FROM t),
+g AS (SELECT *, intercept + slope * x0 AS forecast, student * sqrt(greatest(syy - sxy * sxy / sxx, 0) / v * (1 + 1.0::DOUBLE / days + (x0 - mx) * (x0 - mx) / sxx)) AS err FROM q)
 SELECT source_lakehouse, days, round(slope, 3) AS slope, round(intercept, 3) AS intercept, round(forecast, 3) AS forecast,
   round(forecast - err, 3) AS lower, round(forecast + err, 3) AS upper FROM g""",
 }
