@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +40,15 @@ def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _vocabulary(name: str) -> str:
+    """Where the tokenizer's file is; looked up when a query runs, so that the others need no vocabularies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary(packing.TOKENIZER))
 
 
 def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +77,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(token_shards.TOKENIZER))
+    return token_shards.round_trip(table(spark, sf_dir, "documents"), _vocabulary(token_shards.TOKENIZER))
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
