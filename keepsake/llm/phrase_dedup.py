@@ -30,6 +30,8 @@ LENGTH = 100
 GRAM = 24
 #: Different phrases with one trigger that one task puts in order; beyond, their strings are dealt out singly.
 PHRASES_AT_ONCE = 16_384
+#: The mark of a text that is removed whole; other marks are the first start, shifted, and the number of starts.
+WHOLE = -1
 #: String starts parsed at a time, and texts a parsing task remembers so as not to parse copies.
 _STARTS_AT_ONCE = 1 << 20
 _TEXTS_KEPT = 200_000
@@ -94,7 +96,26 @@ def _gathered(parts: Iterator[dict[str, np.ndarray]], rows: int = 50_000) -> Ite
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _gathered(_parsed(batches))
+    """Parsed rows, those marked ``sure`` that repeat a phrase of their own batch.
+
+    They are repeats wherever the phrase's first occurrence lies, so they are dealt by their place, and a
+    phrase that a third of all documents share sends one row a batch to its trigger's task.
+    """
+    for rows in _gathered(_parsed(batches), 200_000):
+        gram, phrase, doc, tie, spot = (c.to_numpy() for c in rows.columns)
+        order = np.lexsort((spot, tie, doc, phrase, gram))
+        again = _repeats(*(c[order] for c in (gram, phrase, doc, tie, spot)))[1]
+        sure = np.zeros(len(gram), bool)
+        sure[order] = again
+        yield _batch(gram=np.where(sure, doc + (spot >> 20), gram), phrase=np.where(sure, 0, phrase), doc=doc, tie=tie, spot=spot, sure=sure)
+
+
+def _repeats(gram: np.ndarray, phrase: np.ndarray, doc: np.ndarray, tie: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: which are the first of their phrase, and which occur elsewhere than that first."""
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (phrase[1:] != phrase[:-1])
+    start = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
+    return new, ~new & ~((doc == doc[start]) & (tie == tie[start]) & (spot == spot[start]))
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -119,22 +140,23 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (gram, phrase, doc, tie, spot): repeated phrases, and the first occurrence of each
-    phrase whose trigger has other phrases too (``kin``). Holds two rows between batches."""
+    """Rows sorted by (gram, phrase, doc, tie, spot): repeated phrases, without their trigger, and the first
+    occurrence of each phrase whose trigger has other phrases too (``kin``). Holds two rows between batches."""
     first: list[np.ndarray] | None = None
     waiting: list[np.ndarray] | None = None
     for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
+        sure = batch.column(5).to_numpy(zero_copy_only=False)
+        if sure.any():
+            doc, tie, spot = (batch.column(i).to_numpy()[sure] for i in (2, 3, 4))
+            yield _batch(gram=np.zeros(len(doc), np.int64), doc=doc, tie=tie, spot=spot, kin=np.zeros(len(doc), bool))
+        columns = [c.to_numpy()[~sure] for c in batch.columns[:5]]
         if not len(columns[0]):
             continue
         carried = int(first is not None)
         if carried:
             columns = [np.concatenate([f, c]) for f, c in zip(first, columns)]
         gram, phrase, doc, tie, spot = columns
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (phrase[1:] != phrase[:-1])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
-        again = ~new & ~((doc == doc[start]) & (tie == tie[start]) & (spot == spot[start]))
+        new, again = _repeats(gram, phrase, doc, tie, spot)
         heads = np.flatnonzero(new)
         same = gram[heads[1:]] == gram[heads[:-1]]
         kin = np.zeros(len(heads), bool)
@@ -144,7 +166,8 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kin[0] = False  # already given out
         given = heads[kin]
         rows = np.concatenate([np.flatnonzero(again), given])
-        yield _batch(gram=gram[rows], doc=doc[rows], tie=tie[rows], spot=spot[rows], kin=np.repeat([False, True], [int(again.sum()), len(given)]))
+        kind = np.repeat([False, True], [int(again.sum()), len(given)])
+        yield _batch(gram=np.where(kind, gram[rows], 0), doc=doc[rows], tie=tie[rows], spot=spot[rows], kin=kind)
         last = heads[-1]
         was_given = bool(kin[-1]) or (carried and waiting is None and len(heads) == 1)
         # A head counts as given out once another phrase of its trigger has been seen.
@@ -168,7 +191,7 @@ def _suffix_classes(text: np.ndarray) -> np.ndarray:
 
 
 def _later(doc: np.ndarray, tie: np.ndarray, first: np.ndarray, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first start, end) of runs of strings that also start earlier among these phrases."""
+    """(row, first start, number of starts) of runs of strings that also start earlier among these phrases."""
     lengths = np.array([len(s) for s in spans])
     starts = lengths - LENGTH + 1
     row = np.repeat(np.arange(len(spans)), starts)
@@ -185,7 +208,7 @@ def _later(doc: np.ndarray, tie: np.ndarray, first: np.ndarray, spans: list[byte
         return at, at, at
     breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(row[at]) != 0)) + 1
     heads, tails = at[np.concatenate([[0], breaks])], at[np.concatenate([breaks - 1, [len(at) - 1]])]
-    return row[heads], begin[heads], begin[tails] + LENGTH
+    return row[heads], begin[heads], tails - heads + 1
 
 
 def _ordered(limit: int):
@@ -201,8 +224,8 @@ def _ordered(limit: int):
             keep = np.flatnonzero(~same)
             spans = rows.column(4).take(pa.array(keep)).to_pylist()
             doc, tie, first = doc[keep], tie[keep], first[keep]
-            row, begin, end = _later(doc, tie, first, spans)
-            return _batch(doc=doc[row], tie=tie[row], begin=begin, end=end)
+            row, begin, starts = _later(doc, tie, first, spans)
+            return _batch(doc=doc[row], tie=tie[row], spot=begin << 8 | starts)
 
         for batch in batches:
             held.append(batch)
@@ -263,15 +286,16 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text, marks, copy in zip(byte_texts(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist()):
                 text = text or b""
                 edge = np.zeros(len(text) + 1, np.int64)
-                pairs = [(0, len(text))] if copy and len(text) >= LENGTH else [(m["begin"], m["end"]) for m in marks or []]
-                if pairs:
-                    at = np.array(pairs, np.int64)
-                    np.add.at(edge, at[:, 0], 1)
-                    np.add.at(edge, at[:, 1], -1)
+                at = np.array(marks or [], np.int64)
+                if copy and len(text) >= LENGTH or (at == WHOLE).any():
+                    edge[0], edge[-1] = 1, -1
+                elif len(at):
+                    np.add.at(edge, at >> 8, 1)
+                    np.add.at(edge, (at >> 8) + (at & 255) + LENGTH - 1, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in turn.reshape(-1, 2)])
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if pairs else text)
+                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if len(turn) else text)
                 sizes.append(len(text))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
                                              names=["doc_id", "n_bytes", "spans", "kept"])
@@ -287,19 +311,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first in the order of their text's hash; a repeated row is a copy of its first. Texts below 100 bytes stay.
     Columns not named are not read.
     """
-    key = key_of(F.col(doc_id), F.col(text))
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), key.alias("doc"), F.shiftrightunsigned(F.xxhash64(F.col(text)), 33).cast("int").alias("tie"),
-                       F.col(text).alias("text"))
-    names = settle(rows.select("doc", "tie", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two"), F.octet_length("text").alias("size")), "names")
+    key, tie = key_of(F.col(doc_id), F.col(text)), F.shiftrightunsigned(F.xxhash64(F.col(text)), 33).cast("int")
+    every_row = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), key.alias("doc"), tie.alias("tie"), F.col(text).alias("text"))
+    names = settle(every_row.select("doc", "tie", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two"), F.octet_length("text").alias("size")), "names")
+    # Only rows that share an id need the hash that orders them.
+    shared = settle(names.groupBy("doc").count().where("count > 1").select("doc", F.lit(True).alias("shared")), "shared")
+
+    def tied(some: DataFrame) -> DataFrame:
+        return some.join(shared, "doc", "left").withColumn("tie", F.when(F.col("shared"), F.col("tie")).otherwise(F.lit(0))).drop("shared")
+
+    rows, names = tied(every_row), tied(names)
     earliest = names.groupBy("one", "two").agg(F.min(F.struct("doc", "tie")).alias("least"))
     copies = names.join(earliest, ["one", "two"]).where((F.col("size") >= LENGTH) & (F.struct("doc", "tie") != F.col("least")))
-    copies = copies.select("doc", "tie", F.lit(0).cast("bigint").alias("begin"), F.col("size").cast("bigint").alias("end")).distinct()
+    copies = copies.select("doc", "tie", F.lit(WHOLE).cast("bigint").alias("spot")).distinct()
 
-    parsed = rows.select("doc", "tie", "text").mapInArrow(_parse, "gram long, phrase long, doc long, tie int, spot long")
+    parsed = rows.select("doc", "tie", "text").mapInArrow(_parse, "gram long, phrase long, doc long, tie int, spot long, sure boolean")
     parsed = parsed.repartition("gram").sortWithinPartitions("gram", "phrase", "doc", "tie", "spot")
     found = settle(parsed.mapInArrow(_sorted_out, "gram long, doc long, tie int, spot long, kin boolean"), "found")
-    first = F.shiftright("spot", 8)
-    whole = found.where("NOT kin").select("doc", "tie", first.alias("begin"), (first + F.col("spot").bitwiseAND(255) + LENGTH - 1).alias("end"))
+    whole = found.where("NOT kin").select("doc", "tie", "spot")
 
     kin = found.where("kin")
     hot = settle(kin.groupBy("gram").count().where(F.col("count") > phrases_at_once), "hot")
@@ -311,18 +340,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     spans = texts_of(rare).mapInArrow(_cut_out, "gram long, doc long, tie int, first long, span binary")
     spans = spans.repartition("gram").sortWithinPartitions("gram", "doc", "tie", "first")
-    marks.append(spans.mapInArrow(_ordered(phrases_at_once), "doc long, tie int, begin long, end long"))
+    marks.append(spans.mapInArrow(_ordered(phrases_at_once), "doc long, tie int, spot long"))
     if not hot.isEmpty():
         strings = settle(texts_of(kin.join(hot.select("gram"), "gram")).mapInArrow(_cut_single, "one long, two long, doc long, tie int, begin long"), "strings")
         least = strings.groupBy("one", "two").agg(F.min(F.struct("doc", "tie", "begin")).alias("least"))
         later = strings.join(least, ["one", "two"]).where(F.struct("doc", "tie", "begin") != F.col("least"))
-        marks.append(later.select("doc", "tie", "begin", (F.col("begin") + LENGTH).alias("end")))
+        marks.append(later.select("doc", "tie", F.shiftleft("begin", 8).bitwiseOR(F.lit(1)).alias("spot")))
     every = marks[0]
     for more in marks[1:]:
         every = every.union(more)
-    every = settle(every.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "end")).alias("marks")), "marks")
+    every = settle(every.groupBy("doc", "tie").agg(F.collect_list("spot").alias("marks")), "marks")
     again = F.lit(False)
-    if not names.groupBy("doc", "tie").count().where("count > 1").isEmpty():
+    if not shared.isEmpty():
         again = F.row_number().over(W.partitionBy("doc", "tie").orderBy("doc_id")) > 1
     whole_rows = rows.withColumn("again", again).join(every, ["doc", "tie"], "left")
     return whole_rows.select("doc_id", "text", "marks", "again").mapInArrow(
