@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,10 +14,19 @@ SLOT_ROWS = 100_000
 _HALF = 1 << 24
 
 
-def _text_code(column: Column) -> Column:
-    """A number that orders texts by their first six characters; null is before all."""
-    chars = [F.least(F.ascii(F.substring(column, i, 1)), F.lit(255)) * F.lit(256.0 ** (6 - i)) for i in range(1, 7)]
-    return F.coalesce(sum(chars[1:], chars[0]) + 1.0, F.lit(0.0))
+def _text_ranks(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the texts of a column replaced by their places among its different texts, from 1; null is 0.
+
+    The different texts are sorted in ranges over all tasks and numbered task by task.
+    """
+    place, task = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("__at", 33)
+    found = rows.select(F.col(name).alias("__value")).where("__value IS NOT NULL").distinct().orderBy("__value")
+    found = settle(found.withColumn("__at", F.monotonically_increasing_id()).select("__value", task.alias("__task"), place.alias("__place")), "values")
+    before = F.sum("count").over(W.orderBy("__task")) - F.col("count")  # a row a task
+    starts = found.groupBy("__task").count().select("__task", before.alias("__before"))
+    ranks = settle(found.join(starts, "__task").select("__value", (F.col("__before") + F.col("__place") + 1).cast("double").alias("__rank")), "ranks")
+    ranked = rows.join(ranks, F.col(name) == F.col("__value"), "left")
+    return ranked.withColumn(name, F.coalesce("__rank", F.lit(0.0))).drop("__value", "__rank")
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, doc_id: str = "doc_id",
@@ -25,7 +34,8 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Documents with equal texts are one point, so they share a shard. Points have as coordinates their
-    size, smallest id and smallest ``metadata``, each scaled to 0..1. A node for k shards is cut along its
+    size, smallest id and smallest ``metadata``, each scaled to 0..1; texts count by their place in the order
+    of all different texts of their column. A node for k shards is cut along its
     widest coordinate where its bytes stand k // 2 to the rest; a leaf is one shard, and the number of
     shards is given, or the total over ``target_bytes``. Bytes per shard (law ``bytes``) are equal up to
     the size of one text with its copies. Ties in a coordinate are cut by a hash of the text.
@@ -38,12 +48,17 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     dims = {"__size": F.log2(F.octet_length(body) + 8.0), "__id": F.col(doc_id).cast("double")}
     kinds = dict(docs.dtypes)
     for name in metadata:
-        dims[f"__{name}"] = _text_code(F.col(name)) if kinds[name] == "string" else F.col(name).cast("double")
+        dims[f"__{name}"] = F.col(name) if kinds[name] == "string" else F.col(name).cast("double")
     rows = settle(docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), (F.octet_length(body) + 8).cast("bigint").alias("size"),
         F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("h1"), F.xxhash64(body, F.lit(1)).alias("h2"),
-        *[F.coalesce(e, F.lit(0.0)).alias(n) for n, e in dims.items()]), "rows")
-    points = settle(rows.groupBy("h1", "h2").agg(F.sum("size").alias("weight"), *[F.min(n).alias(n) for n in dims]), "points")
+        *[e.alias(n) for n, e in dims.items()]), "rows")
+    measured = rows
+    for name in metadata:
+        if kinds[name] == "string":
+            measured = _text_ranks(measured, f"__{name}")
+    measured = measured.fillna(0.0, list(dims))
+    points = settle(measured.groupBy("h1", "h2").agg(F.sum("size").alias("weight"), *[F.min(n).alias(n) for n in dims]), "points")
     limits = points.agg(F.sum("weight").alias("all"), *[F.min(n).alias(f"lo{n}") for n in dims], *[F.max(n).alias(f"hi{n}") for n in dims]).first()
     total = limits["all"] or 0
     count = shards or max(1, -(-total // target_bytes))

@@ -61,6 +61,23 @@ def test_shards_of_odd_documents(odd, empty):
     assert len({r.shard for r in by_bytes}) >= 2
 
 
+def test_shards_cut_texts_at_any_character(spark):
+    for names in (["https://a.org/1", "https://a.org/2", "https://b.net/1", "https://b.net/2"], ["日本", "日本語", "本日", "漢字"]):
+        rows = [(None, f"{i:06d}", "l", names[i % 4], 1, 0, "p", "k") for i in range(400)]
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        shard_of = {r.text_crc32: r.shard for r in kd_shards.shard(docs, shards=4, metadata=("source",)).collect()}
+        by_name = [{shard_of[zlib.crc32(text.encode())] for _, text, _, source, *_ in rows if source == name} for name in names]
+        assert by_name == [{0}, {1}, {2}, {3}]
+
+
+def test_text_ranks_follow_the_order_of_all_texts(spark):
+    texts = [f"https://host/{i * 7919 % 1000:04d}" for i in range(1000)] + [None, "", "é", "z"]
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(texts * 2)], "t string, i int").repartition(7)
+    order = sorted({t.encode() for t in texts if t is not None})
+    for row, text in ((r, texts[r.i % len(texts)]) for r in kd_shards._text_ranks(rows, "t").collect()):
+        assert row.t == (0 if text is None else order.index(text.encode()) + 1)
+
+
 def test_shards_of_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = queries.op3_kd_shards(spark, sf_dir).collect()
