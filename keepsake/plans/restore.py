@@ -6,8 +6,9 @@ import datetime as dt
 import posixpath
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from keepsake.functions.patterns import parse_list
 from keepsake.operators.reconcile import compare_tables, sample_for_test
@@ -16,8 +17,9 @@ from keepsake.plans.backup import RunResult
 from keepsake.plans.discover import discover
 from keepsake.plans.verify import COUNTS, backup_integrity, count_tables, per_table, read_parts, verify_copy
 from keepsake.schemas import TABLE_METADATA
+from keepsake.session import settle
 from keepsake.sources import manifests
-from keepsake.sources.storage import DriverFiles, list_tables
+from keepsake.sources.storage import DriverFiles, is_data, list_below, list_tables, open_path, qualified, table_of
 
 
 def chosen_tables(spark: SparkSession, options: RestoreOptions) -> list[str]:
@@ -154,21 +156,94 @@ def restore_metadata(spark: SparkSession, source: str, target: str, tables: list
     spark.createDataFrame(rows, TABLE_METADATA).coalesce(1).write.mode("overwrite").json(f"{target}/_table_metadata")
 
 
-def sampled_restore_test(spark: SparkSession, catalog: DataFrame, percent: float, seed: str, fmt: str = "parquet",
-                         parallel: int = 4) -> DataFrame:
-    """Integrity check of a repeatable random share of the backups: every table of each loads and counts."""
-    paths = [row.full_path for row in sample_for_test(catalog, percent, seed).select("full_path").collect()]
+def _parts_of(tested: DataFrame, known: DataFrame) -> DataFrame:
+    """``table_parts`` of many backups at once: full_path, table_name, location, part_folder, error.
 
-    def check(path: str) -> dict:
-        manifest = manifests.read_manifest(spark, path)
-        names = manifest.tables if manifest is not None and manifest.tables is not None else sorted(list_tables(spark, path))
-        valid, counts = backup_integrity(spark, table_parts(spark, path, list(names)), fmt, 1)
-        return {"valid": valid, "tables": len(names), "rows": counts.agg(F.sum("rows")).first()[0]}
+    ``tested`` has location, folder_name, full_path, manifest and table_name; ``known`` all manifests of the locations.
+    """
+    def copy_of(manifest: Column) -> Column:
+        return F.get(F.filter(manifest["copies"], lambda c: c["table_name"] == F.col("table_name")), 0)
+
+    chain = F.coalesce(F.col("manifest.chain"), F.array().cast("array<string>"))
+    marked = F.coalesce(F.array_contains(F.map_keys("manifest.high_water_marks"), F.col("table_name")), F.lit(False))
+    own = tested.withColumns({"chain": chain, "copy": copy_of(F.col("manifest"))})
+    unsaid = F.col("copy").isNull() & (F.size("chain") > 0) & marked
+    first = own.select("full_path", "table_name", "location", F.col("folder_name").alias("part_folder"),
+                       F.when(unsaid, F.lit("the manifest does not say how the table was copied")).alias("error"))
+
+    partial = own.where("copy IS NOT NULL AND copy.kind <> 'whole'")
+    steps = partial.select("full_path", "table_name", "location", F.col("copy.low").alias("low"), F.posexplode_outer(F.reverse("chain")).alias("pos", "part_folder"))
+    below = known.select("location", F.col("folder_name").alias("part_folder"), F.col("manifest").alias("below"))
+    steps = steps.join(below, ["location", "part_folder"], "left").withColumn("before", copy_of(F.col("below")))
+    table = W.partitionBy("full_path", "table_name")
+    steps = steps.withColumn("last", F.min(F.when(F.col("before.kind") == "whole", F.col("pos"))).over(table))
+    steps = steps.where("last IS NULL OR pos <= last").where("below IS NULL OR before.kind <> 'missing'")
+    goes_on = F.coalesce(F.lag("before.low").over(table.orderBy("pos")), F.col("low")).eqNullSafe(F.col("before.high"))
+    problem = (F.when(F.col("part_folder").isNotNull() & F.col("below").isNull(), F.concat(F.lit("builds on a missing backup: "), "part_folder"))
+               .when(F.col("last").isNull(), F.lit("no whole copy of the table in its chain"))
+               .when(~goes_on, F.concat(F.lit("does not go on where it ends: "), "part_folder")))
+    return first.unionByName(steps.select("full_path", "table_name", "location", "part_folder", problem.alias("error")))
+
+
+def _read_files(before: dict[str, str]):
+    """Function for mapInPandas: reads every value of Parquet files, one batch of rows at a time."""
+
+    def read(batches):
+        import pandas as pd
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            found = []
+            for location, path in zip(batch["location"], batch["path"]):
+                rows, error = 0, None
+                try:
+                    system, inner = open_path(path, before[location])
+                    with system.open_input_file(inner) as file:
+                        for part in pq.ParquetFile(file).iter_batches(8192):
+                            rows += len(part)
+                except Exception as exc:
+                    error = f"{path}: {exc}"
+                found.append((rows, error))
+            yield batch.assign(rows=pd.Series([r for r, _ in found], dtype="int64"), error=pd.Series([e for _, e in found], dtype="object"))
+
+    return read
+
+
+def sampled_restore_test(spark: SparkSession, catalog: DataFrame, percent: float, seed: str) -> DataFrame:
+    """Restore test of a repeatable random share of Parquet backups: ``full_path, valid, tables, rows, error``.
+
+    Every table's parts are found as a restore finds them, and every value in their files is read. Which backups, parts
+    and files these are stays in DataFrames: the files of all sampled backups are read by one job, a file that several
+    chains share once, so the number of jobs does not grow with the sample. A backup without manifest has the tables
+    that its visible folders name. A part without files is an error; a backup without tables is valid.
+    """
+    locations = [row.location for row in catalog.select("location").distinct().collect()]
+    chosen = settle(sample_for_test(catalog, percent, seed).select("location", "folder_name", "full_path"), "sampled")
+    known = manifests.all_manifests(spark, locations, chosen.select("location", "folder_name", F.col("full_path").alias("path")))
+    own = settle(chosen.join(known, ["location", "folder_name"], "left"), "tested")
+
+    said = own.where("manifest.tables IS NOT NULL").withColumn("table_name", F.explode("manifest.tables"))
+    path = F.concat_ws("/", "location", "folder_name")
+    plain = own.where("manifest.tables IS NULL").select("location", "folder_name", path.alias("path"))
+    visible = list_below(plain, locations).select("location", "folder_name", table_of("path").alias("table_name")).distinct().where(
+        ~F.rlike("table_name", F.lit("^[_.]")))
+    tested = said.unionByName(own.where("manifest.tables IS NULL").join(visible, ["location", "folder_name"]))
+    parts = settle(_parts_of(tested, known), "parts")
 
-    results = per_table(spark, paths, check, parallel)
-    return spark.createDataFrame(
-        [(r["table_name"], r.get("valid", False), r.get("tables"), r.get("rows"), r["error"]) for r in results],
-        "full_path string, valid boolean, tables bigint, rows bigint, error string")
+    folders = parts.where("part_folder IS NOT NULL").select("location", F.col("part_folder").alias("folder_name"), "table_name").distinct()
+    files = list_below(folders.select("location", "folder_name", F.concat_ws("/", "location", "folder_name", "table_name").alias("path")), locations)
+    data = settle(files.where(is_data("path") | F.col("error").isNotNull()).select("location", "folder_name", table_of("path").alias("table_name"), "path", "error"), "files")
+    spread = data.where("error IS NULL").drop("error").repartition(spark.sparkContext.defaultParallelism * 4, "path")
+    read = spread.mapInPandas(_read_files(qualified(spark, locations)), "location string, folder_name string, table_name string, path string, rows bigint, error string")
+    unread = data.where("error IS NOT NULL").withColumn("rows", F.lit(0).cast("bigint"))
+    held = settle(read.unionByName(unread), "held").groupBy("location", F.col("folder_name").alias("part_folder"), "table_name").agg(
+        F.sum("rows").alias("rows"), F.min("error").alias("unread"))
+    whole = parts.join(held, ["location", "part_folder", "table_name"], "left")
+    nothing = F.when(F.col("rows").isNull(), F.concat(F.lit("no files of "), "table_name", F.lit(" in "), F.coalesce("part_folder", F.lit("its chain"))))
+    result = whole.groupBy("full_path").agg(F.count_distinct("table_name").alias("tables"), F.sum("rows").alias("rows"),
+                                            F.coalesce(F.min("error"), F.min("unread"), F.min(nothing)).alias("error"))
+    return chosen.select("full_path").join(result, "full_path", "left").select(
+        "full_path", F.col("error").isNull().alias("valid"), F.coalesce("tables", F.lit(0).cast("bigint")).alias("tables"), "rows", "error")
 
 
 def list_backups(spark: SparkSession, location: str, as_of: dt.datetime | str) -> DataFrame:

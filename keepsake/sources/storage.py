@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -205,9 +205,29 @@ def list_tree(spark: SparkSession, locations: list[str], deep: bool = True) -> D
     that cannot be read becomes a row with an error instead of a size of 0. A location that cannot be
     listed itself raises: it is not an empty one.
     """
-    before = qualified(spark, locations)
     roots = [(location.rstrip("/"), None, location.rstrip("/")) for location in locations]
-    frontier = spark.createDataFrame(roots, "location string, folder_name string, path string")
+    return _walk(spark.createDataFrame(roots, "location string, folder_name string, path string"), locations, deep)
+
+
+def list_below(folders: DataFrame, locations: list[str]) -> DataFrame:
+    """Every file below ``folders`` (location, folder_name, path), as ``list_tree`` finds them; a folder that cannot be read is a row with an error."""
+    return _walk(folders, locations, True).where("NOT is_dir OR error IS NOT NULL")
+
+
+def table_of(path: str) -> Column:
+    """The table folder that a path below ``location``/``folder_name`` lies in."""
+    return F.get(F.split(F.substr(path, F.length("location") + F.length("folder_name") + 3), "/"), 0)
+
+
+def is_data(path: str) -> Column:
+    """Whether no part of a path below its table is hidden, as readers see it: partition folders such as ``_a=1`` are not."""
+    parts = F.split(F.substr(path, F.length("location") + F.length("folder_name") + 3), "/")
+    return ~F.exists(F.slice(parts, 2, F.size(parts)), lambda part: F.rlike(part, F.lit("^[_.]")) & ~F.contains(part, F.lit("=")))
+
+
+def _walk(frontier: DataFrame, locations: list[str], deep: bool) -> DataFrame:
+    spark = frontier.sparkSession
+    before = qualified(spark, locations)
     tree = None
     while True:
         parts = spark.sparkContext.defaultParallelism

@@ -3,6 +3,7 @@
 import datetime as dt
 import glob
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -263,6 +264,39 @@ def test_sampled_restore_test(spark, folder):
     assert len(rows) == 3 and all(x.valid and x.tables == 1 and x.rows == 10 for x in rows)
 
 
+def test_sampled_restore_test_of_chains(spark, folder):
+    def jobs(group, catalog):
+        spark.sparkContext.setJobGroup(group, group)
+        found = {x.full_path: x for x in r.sampled_restore_test(spark, catalog, 100, "s").collect()}
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    made = []
+    for day in range(4):
+        spark.range(10 * day, 10 * day + 10).write.mode("append").parquet(f"{folder}/lake/t")
+        if not day:
+            spark.range(3).write.parquet(f"{folder}/lake/u")
+        mode = "incremental" if day else "full"
+        made.append(b.backup(spark, f"{folder}/lake", options(f"{folder}/b", retention_days=0, mode=mode, high_water_columns={"t": "id"}),
+                             at=T0 + dt.timedelta(days=day)).path)
+    plain = f"{folder}/b/{os.path.basename(made[0])[:-8]}ffffffff"
+    spark.range(5).write.mode("overwrite").parquet(f"{plain}/t")
+    catalog, _ = discover(spark, [f"{folder}/b"], "2024-02-01 00:00:00")
+    found, many = jobs("all", catalog)
+    assert [(found[p].valid, found[p].tables, found[p].rows) for p in made] == [(True, 2, 13 + 10 * day) for day in range(4)]
+    assert (found[plain].valid, found[plain].tables, found[plain].rows) == (True, 1, 5)
+    assert many <= jobs("one", catalog.where(F.col("full_path") == plain))[1] + 12
+
+    file = next(f for f in os.listdir(f"{made[1]}/t") if f.endswith(".parquet"))
+    with open(f"{made[1]}/t/{file}", "r+b") as out:
+        out.write(b"\0" * 40)
+    shutil.rmtree(f"{made[2]}/t")
+    found, _ = jobs("broken", discover(spark, [f"{folder}/b"], "2024-02-01 00:00:00")[0])
+    assert [found[p].valid for p in made] == [True, False, False, False] and file in found[made[1]].error
+    shutil.rmtree(made[1])
+    found, _ = jobs("missing", discover(spark, [f"{folder}/b"], "2024-02-01 00:00:00")[0])
+    assert found[made[0]].valid and found[plain].valid and "missing backup" in found[made[3]].error
+
+
 def test_tables_of_the_session_catalog(spark, folder):
     spark.range(7).createOrReplaceTempView("zz_registered")
     done = b.backup(spark, f"{folder}/Tables", options(f"{folder}/b", verify=True, table_filter="zz_*"), at=T0)
