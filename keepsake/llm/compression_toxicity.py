@@ -1,10 +1,11 @@
 """Toxicity by compression distance: how much shorter does a window get beside toxic text?
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text, each on samples written
-with the words that mark its class. A word's evidence is the number of different contexts it has in the
-labelled texts, so that a text copied many times counts once; the beginnings of words count like words. Each window of a few words is compressed
+Two zstandard dictionaries are trained on the labelled texts themselves, each different sample once: one on
+windows of ordinary texts, one on the runs of toxic texts around words that mark them. Most of a toxic text
+is ordinary prose, which both dictionaries would share; a word marks toxic text where it has far more
+contexts in toxic texts than its rate in ordinary ones explains. Each window of a few words is compressed
 beside the ordinary dictionary and beside both; the bytes saved by the toxic one are the window's gain.
-A logistic model, fitted on labelled texts that chose no words, turns the gains of a text into a
+A logistic model, fitted on labelled texts that trained no dictionary, turns the gains of a text into a
 probability, so that 0.5 is a calibrated threshold.
 """
 
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import byte_texts, logistic, training_rows, words
@@ -25,28 +26,26 @@ from keepsake.session import settle
 #: Most training rows of each label.
 MAX_PER_LABEL = 6_000
 WINDOW_WORDS = 8
-ORDINARY_BYTES, TOXIC_BYTES = 65_536, 4_096
-ORDINARY_WORDS, TOXIC_WORDS = 30_000, 400
+ORDINARY_BYTES, TOXIC_BYTES = 65_536, 2_048
+#: Most samples that train a dictionary, chosen by a hash of their text.
+MAX_SAMPLES = 60_000
+#: Lengths of the segments and of the strings counted in them that a dictionary is put together from.
+SEGMENT, COUNTED = 16, 6
 #: Evidence is counted for words and for their beginnings of this many characters.
 STEM = 5
-#: A toxic word is this many standard deviations and this log odds over its expected contexts.
+#: A marking word is this many standard deviations and this log odds over the contexts expected at its rate in ordinary text.
 LEAST_Z, LEAST_ODDS, LEAST_CONTEXTS = 6.0, 1.5, 4
 _STEPS = (1, 2, 3, 4, 6)
 
 
-def _dictionary(chosen: list[tuple[bytes, int]], size: int) -> bytes:
-    """A dictionary trained on runs of words, drawn by the square root of their counts."""
-    if not chosen:
-        return b""
-    names = [w for w, _ in chosen]
-    share = np.sqrt(np.array([n for _, n in chosen], float))
-    rng = np.random.default_rng(0)
-    drawn = rng.choice(len(names), (12_000, 16), p=share / share.sum())
-    samples = [b" " + b" ".join(names[i] for i in row) for row in drawn]
+def _dictionary(samples: DataFrame, size: int) -> bytes:
+    """A dictionary trained on the texts in column ``sample``, each different one once."""
+    chosen = samples.select("sample").distinct().orderBy(F.xxhash64("sample"), "sample").limit(MAX_SAMPLES)
+    texts = [r["sample"].encode() for r in chosen.collect()]
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:  # too few words to train on: the words themselves
-        return (b" " + b" ".join(names))[:size]
+        return zstandard.train_dictionary(size, texts, k=SEGMENT, d=COUNTED).as_bytes()
+    except zstandard.ZstdError:  # too little to train on: the samples themselves
+        return b"".join(texts)[:size]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -110,11 +109,29 @@ def _measure(model: Model):
 _MEASURED = "doc_id long, features array<double>, score double, worst_window long, worst_gain double"
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _joined(run: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(run, " "), F.lit(" "))
+
+
+def _marks(t: Column, o: Column, all_t: int, all_o: int) -> Column:
+    """Whether a word with t contexts in toxic and o in ordinary texts marks toxic ones.
+
+    The contexts expected come from the word's rate in ordinary texts, one context more granted, so that neither
+    more ordinary texts nor another share of toxic ones in the sample raises the evidence a word needs.
+    """
+    expected = (o + 1) * (all_t / (all_o + 1))
+    odds = F.log((t + 0.5) / float(all_t)) - F.log((o + 0.5) / float(all_o))
+    return ((t - expected) / F.sqrt(expected + 1) > LEAST_Z) & (odds > LEAST_ODDS) & (t >= LEAST_CONTEXTS)
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_PER_LABEL) -> Model:
     """Dictionaries and calibration from at most about ``most`` training texts of each label.
 
-    Three quarters of them choose the words, the last quarter calibrates. Without rows of both labels
-    in both parts the model gives every text the score 0.
+    Three quarters of them train the dictionaries, the last quarter calibrates. Without rows of both labels
+    in both parts, or without words in both, the model gives every text the score 0.
     """
     known = training_rows(labels, label, most)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
@@ -122,23 +139,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     counts = {(r["calibrate"], r["y"]): r["count"] for r in rows.groupBy("calibrate", "y").count().collect()}
     if len(counts) < 4:
         return Model(b"", b"")
-    w = words(F.lower("text"))
-    chosen = rows.where("NOT calibrate").select("y", w.alias("w"))
-    inside = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.xxhash64(F.get("w", i - 1), x, F.get("w", i + 1)).alias("context")))
-    contexts = chosen.select("y", F.explode(inside).alias("c")).groupBy("y", "c.word", "c.context").agg(F.lit(1).alias("n"))
+    chosen = rows.where("NOT calibrate").select("y", words(F.translate("text", _UPPER, _UPPER.lower())).alias("w"))
+    inside = F.transform("w", lambda x, i: F.struct(x.alias("word"), _joined(F.slice("w", F.greatest(i, F.lit(1)), F.least(i, F.lit(1)) + 2)).alias("sample")))
+    runs = chosen.select("y", F.explode(inside).alias("c")).select("y", "c.word", "c.sample").distinct()
     stems = F.array_distinct(F.array("word", F.substring("word", 1, STEM)))
-    seen = settle(contexts.select("y", F.explode(stems).alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o")), "words")
+    seen = settle(runs.select("y", F.explode(stems).alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o")), "words")
     all_t, all_o = seen.agg(F.sum("t"), F.sum("o")).first()
     if not all_t or not all_o:
         return Model(b"", b"")
-    part = (F.col("t") + F.col("o")) / float(all_t + all_o)
-    z = (F.col("t") - all_t * part) / F.sqrt(all_t * part * (1 - part) + 1)
-    odds = F.log(((F.col("t") + 0.5) / float(all_t)) / ((F.col("o") + 0.5) / float(all_o)))
-    marked = seen.select("word", "t", "o", z.alias("z"), odds.alias("odds"))
-    toxic = marked.where((F.col("z") > LEAST_Z) & (F.col("odds") > LEAST_ODDS) & (F.col("t") >= LEAST_CONTEXTS)).orderBy(F.desc("z"), "word").limit(TOXIC_WORDS)
-    ordinary = marked.where("odds < 0.5").orderBy(F.desc("o"), "word").limit(ORDINARY_WORDS)
-    model = Model(_dictionary([(r["word"].encode(), r["t"]) for r in reversed(toxic.collect())], TOXIC_BYTES),
-                  _dictionary([(r["word"].encode(), r["o"]) for r in ordinary.collect()], ORDINARY_BYTES))
+    marking = seen.where(_marks(F.col("t"), F.col("o"), all_t, all_o)).select("word")
+    toxic = runs.where("y = 1").select("sample", F.explode(stems).alias("word")).join(marking, "word", "left_semi")
+    starts = F.sequence(F.lit(1), F.size("w"), F.lit(WINDOW_WORDS))
+    ordinary = chosen.where("y = 0 AND size(w) > 0").select(F.explode(F.transform(starts, lambda i: _joined(F.slice("w", i, WINDOW_WORDS)))).alias("sample"))
+    model = Model(_dictionary(toxic, TOXIC_BYTES), _dictionary(ordinary, ORDINARY_BYTES))
     held = rows.where("calibrate")
     found = held.select("doc_id", "text").mapInArrow(_measure(model), _MEASURED).select("doc_id", "features").join(
         held.select("doc_id", "y", "weight"), "doc_id").orderBy("doc_id").collect()

@@ -1,10 +1,13 @@
 """The quality network and the toxicity model: held-out accuracy, and defined results for odd input."""
 
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from keepsake.llm import compression_toxicity, indexed_quality, queries
 from keepsake.llm.common import logistic
@@ -56,6 +59,69 @@ def test_toxic_texts_are_found(corpus):
     assert sum(r.predicted for r, y in test if y) >= 0.85 * sum(y for _, y in test)
 
 
+def test_gains_and_features_by_the_definition(corpus):
+    """Bytes that a window saves beside both dictionaries, compressed one by one, and the features and score from them."""
+    docs, labels, _ = corpus
+    model = compression_toxicity.fit(docs, labels)
+    rows = docs.where("doc_id < 60").select("doc_id", "text")
+    got = {r.doc_id: r for r in rows.mapInArrow(compression_toxicity._measure(model), compression_toxicity._MEASURED).collect()}
+
+    def length(window, beside):
+        settings = zstandard.ZstdCompressionParameters(
+            strategy=zstandard.STRATEGY_LAZY2, window_log=17, hash_log=17, chain_log=17, search_log=4, target_length=32, min_match=6,
+            write_content_size=0, write_checksum=0, write_dict_id=0)
+        raw = zstandard.ZstdCompressionDict(beside, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=raw, compression_params=settings).compress(window))
+
+    for r in rows.collect():
+        found, gains = r.text.split(), []
+        while found:
+            window, found = (" " + " ".join(found[:8]) + " ").encode(), found[8:]
+            gains.append(length(window, model.ordinary) - length(window, model.toxic + model.ordinary))
+        top = sorted(gains)[-3:]
+        want = [math.log(1 + len([g for g in gains if g >= least])) for least in (1, 2, 3, 4, 6)]
+        want += [top[-1], sum(top) / len(top), sum(max(g - 1, 0) for g in gains) / len(gains), len([g for g in gains if g >= 2]) / len(gains),
+                 len([g for g in gains if g >= 4]) / len(gains), math.log(len(gains)), sum(gains) / len(gains)]
+        assert got[r.doc_id].features == pytest.approx(want)
+        total = model.weights[-1] + sum(w * (f - m) / s for w, f, m, s in zip(model.weights, want, model.middle, model.spread))
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-total)))
+        assert got[r.doc_id].worst_gain == max(gains) and got[r.doc_id].worst_window == gains.index(max(gains))
+
+
+def test_dictionaries_hold_the_labelled_texts(corpus):
+    """Trained on the texts: what they hold is text of the training rows, and the toxic one the words that mark it."""
+    docs, labels, truth = corpus
+    model = compression_toxicity.fit(docs, labels)
+    toxic = {i for i, _, y in truth if y and not held(i)}
+    texts = [f" {r.text} " for r in docs.collect() if r.doc_id in toxic]
+    pieces = {t.encode()[i:i + 6] for t in texts for i in range(len(t.encode()) - 5)}
+    content = model.toxic[-1500:]
+    # Segments of 16 bytes lie side by side: at most 5 of 16 places cross from one to the next.
+    assert sum(content[i:i + 6] in pieces for i in range(len(content) - 5)) > 0.6 * (len(content) - 5)
+    assert all(r in model.toxic for r in (b"zorgwump", b"blixnarg", b"krudvoth", b"pfaxquin"))
+    assert not any(r in model.ordinary for r in (b"zorgwump", b"blixnarg", b"krudvoth", b"pfaxquin"))
+
+
+def test_copies_train_once(spark, corpus, monkeypatch):
+    """Repeated training texts change no dictionary."""
+    docs, labels, _ = corpus
+    copies = docs.where("doc_id % 7 = 1").withColumn("doc_id", F.expr("doc_id + 1000000"))
+    named = labels.where("doc_id % 7 = 1").withColumn("doc_id", F.expr("doc_id + 1000000"))
+    parts = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
+    same = named.join(labels.selectExpr("doc_id + 1000000 AS doc_id").where(~F.expr("pmod(xxhash64(doc_id - 1000000, 3), 4) = 0")), "doc_id").where(~parts)
+    monkeypatch.setattr(compression_toxicity, "training_rows", lambda rows, *_: rows.select("doc_id", F.col("toxic").alias("y"), F.lit(1.0).alias("weight")))
+    one, two = compression_toxicity.fit(docs, labels), compression_toxicity.fit(docs.union(copies), labels.union(same))
+    assert (one.toxic, one.ordinary) == (two.toxic, two.ordinary)
+
+
+@pytest.mark.parametrize("more", [1, 20])
+def test_evidence_does_not_follow_the_mix(spark, more):
+    """A word without ordinary contexts needs about as many toxic ones whether ordinary text is as much or twenty times more."""
+    t = spark.range(1, 60).withColumn("o", F.lit(0))
+    least = t.where(compression_toxicity._marks(F.col("id"), F.col("o"), 100_000, 100_000 * more)).agg(F.min("id")).first()[0]
+    assert 6 <= least <= 10
+
+
 def test_quality_is_learned(corpus):
     docs, labels, truth = corpus
     got = {r.doc_id: r.score for r in indexed_quality.judge(docs, labels).collect()}
