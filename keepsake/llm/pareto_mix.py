@@ -18,33 +18,49 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("bigint")
 
 
+def _in_turn(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """Sources with the weights in turn, in the order of their names, null last.
+
+    Names are cut into ranges, numbered within each, and the ranges' sizes added up: no task holds all sources.
+    """
+    name = F.col("source").asc_nulls_last()
+    ranged = settle(sizes.repartitionByRange(name).withColumn("range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("range").count()
+    starts = counts.select("range", (F.sum("count").over(W.orderBy("range")) - F.col("count")).alias("start"))
+    number = F.col("start") + F.row_number().over(W.partitionBy("range").orderBy(name)) - 1
+    taken = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (number % len(weights) + 1).cast("int"))
+    return ranged.join(starts, "range").select("source", "source_size", taken.alias("weight"))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = MOST_COPIES) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
     Sources in the order of their names, null last, take the weights in turn. A target above ``most``
-    times its source stops there; the excess is shared again by weight until none is above. The sources
-    that stop are those with the smallest source_size / weight, so one running sum in that order finds them.
+    times its source stops there; the excess is shared again by weight until none is above. Each sharing is
+    one aggregate: words per weight only rise, so a source that has stopped stays stopped, and the rounds end.
     """
-    turn = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("ratio", F.col("source_size") / F.col("weight"))
-    order = W.orderBy("ratio", F.col("source").asc_nulls_last())
-    earlier, later = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
-    budget = F.sum("source_size").over(W.partitionBy()) * share
-    left = budget - F.coalesce(F.sum("source_size").over(earlier), F.lit(0)) * most
-    level = left / F.sum("weight").over(later)
-    ranked = ranked.withColumn("level", level).withColumn("capped", F.col("weight") * F.col("level") > F.col("source_size") * most)
-    # The first source that is not capped sets the level for it and all after it.
-    first = F.min(F.when(~F.col("capped"), F.struct("ratio", "level"))).over(W.partitionBy())
-    ranked = ranked.withColumn("first", first)
-    capped = F.col("first").isNull() | (F.col("weight") * F.col("first.level") > F.col("source_size") * most)
-    target = F.when(capped, F.col("source_size") * float(most)).otherwise(F.col("weight") * F.col("first.level"))
-    return ranked.select("source", "source_size", target.cast("double").alias("target"))
+    weighted = settle(_in_turn(sizes, weights), "weighted")
+    budget = (weighted.agg(F.sum("source_size")).first()[0] or 0) * share
+    stopped, before = F.lit(False), 0
+    while True:
+        held, open_ = weighted.agg(F.sum(F.when(stopped, F.col("source_size"))), F.sum(F.when(~stopped, F.col("weight")))).first()
+        if not open_:
+            stopped, level = F.lit(True), 0.0
+            break
+        level = (budget - (held or 0) * most) / open_
+        stopped = F.col("weight") * F.lit(level) > F.col("source_size") * most
+        count = weighted.where(stopped).count()
+        if count <= before:
+            break
+        before = count
+    target = F.when(stopped, F.col("source_size") * float(most)).otherwise(F.col("weight") * F.lit(level))
+    return weighted.select("source", "source_size", target.cast("double").alias("target"))
 
 
 def _prepared(docs: DataFrame, doc_id: str, text: str, source: str, rank_weight: str | None) -> DataFrame:
     """``docs`` with what mixing needs, under names of its own."""
-    like = F.coalesce(F.greatest(F.col(rank_weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if rank_weight else F.lit(1.0)
+    own = F.col(rank_weight).cast("double") if rank_weight else F.length(F.bin(word_count(F.col(text)))).cast("double")
+    like = F.coalesce(F.greatest(own, F.lit(0.0)), F.lit(0.0))
     return docs.withColumns({"__llm_id": F.col(doc_id).cast("bigint"), "__llm_source": F.col(source), "__llm_size": word_count(F.col(text)),
                              "__llm_h": F.xxhash64(F.col(text)), "__llm_like": like})
 
@@ -68,7 +84,7 @@ def _key(seed: int) -> Column:
 def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_COPIES, seed: int = 42) -> DataFrame:
     """One row per source: s, source_size, liked, target, whole copies, rest and cut (rank below which one more is taken)."""
     by_source = settle(rows.groupBy(F.col("__llm_source").alias("source")).agg(
-        F.sum("__llm_size").alias("source_size"), F.sum(F.col("__llm_size") * F.col("__llm_like")).alias("liked")), "sources")
+        F.sum("__llm_size").alias("source_size"), F.sum((F.col("__llm_size") * F.col("__llm_like")).cast("decimal(38,6)")).cast("double").alias("liked")), "sources")
     goals = targets(by_source.select("source", "source_size"), weights, share, most)
     goals = goals.join(by_source.select(F.col("source").alias("s"), "liked"), F.col("source").eqNullSafe(F.col("s"))).drop("source")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -95,7 +111,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     A source asked for r times its words gives every document floor(r) whole copies. The rest is a sample
     of fixed size without repetition: documents are ranked by Pareto's order, odds of a random number over
     odds of inclusion, and taken in that order until the words come nearest to the target. ``rank_weight``
-    names a column of relative inclusion weights; without it all documents of a source are alike.
+    names a column of relative inclusion weights; without it a document's weight is the number of binary digits
+    of its size, one more for each doubling, so that longer documents are the likelier ones. Weights are
+    scaled so that the words expected are those still missing; a chance beyond 1 is a document taken first.
 
     Size counts words; null texts have 0. A null source is a source, the last. A source without words has
     target 0 and gives nothing. Repeated rows share their fate; reruns agree. Columns not named are not

@@ -140,6 +140,25 @@ def test_targets_of_random_sources(spark):
         assert {r.source: pytest.approx(r.target) for r in rows} == water_level(sizes)
 
 
+def test_targets_of_many_sources(spark):
+    """Names in several ranges, sizes over many magnitudes, so that stops follow one another."""
+    rng = random.Random(4)
+    sizes = {f"host-{rng.randrange(10**6)}.é": int(10 ** rng.uniform(0, 9)) for _ in range(600)} | {None: 17, "": 0}
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(9)
+    got = {r.source: r.target for r in pareto_mix.targets(table).collect()}
+    assert got == pytest.approx(water_level(sizes))
+
+
+def test_long_documents_are_likelier(spark):
+    """Of documents of 4 and of 4,000 words, the chances are as 3 to 12 by their binary digits, within a target of words."""
+    rows = [(i, "w " * (4 if i < 2000 else 4000), "a") for i in range(4000)] + [(4000, "w " * 10**6, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    mixed = pareto_mix.mix(docs, weights=(1, 1), share=0.5, most=3).where("doc_id < 4000").collect()
+    short, long = (sum(r.copies for r in mixed if (r.size > 4) == wanted) for wanted in (False, True))
+    rest = mixed[0].target / mixed[0].source_size
+    assert 0 < rest < 1 and abs(long / 2000 - rest) < 0.02 and 0.7 * long / 4 < short < 1.3 * long / 4
+
+
 def test_inclusion_follows_the_rank_weight(spark):
     rows = [(i, "w " * 5, "a", 3.0 if i % 2 else 1.0) for i in range(4000)] + [(i, "w " * 5, "b", 1.0) for i in range(4000, 4400)]
     mixed = pareto_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, like double"), weights=(1, 1), share=0.5, rank_weight="like")
