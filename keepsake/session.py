@@ -29,10 +29,16 @@ def workspace(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in a test, it is a folder
-    of the warehouse, which all executors share too; a folder of one machine is never made.
+    of the warehouse. Raises where that is a folder of one machine, but the executors run on others.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_keepsake"
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    shared = "://" in warehouse and not warehouse.startswith("file:")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{warehouse} may be a folder of one machine; name a shared one in spark.checkpoint.dir")
+    return f"{warehouse}/_keepsake"
 
 
 # Paths given out, so that release can remove what lies there.

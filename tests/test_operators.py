@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import statistics
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from keepsake.functions import measures, names, patterns, periods
 from keepsake.operators import alerts, cutoff, metrics, reconcile, retention, running, selection
 from keepsake.options import RETENTION_PRESETS, RetentionOptions
+from keepsake.session import workspace
 from keepsake.sources import config
 from keepsake.sources.storage import table_statistics
 
@@ -290,3 +292,17 @@ def test_forecast_interval(spark):
     half = 2.306 * (rest * (1 + 1 / n + (15 - mx) ** 2 / sxx)) ** 0.5
     assert row.forecast == pytest.approx(my + slope * (15 - mx)) and row.upper - row.forecast == pytest.approx(half, rel=1e-3)
     assert next(r for r in got if r.k == "t").upper is None
+
+
+@pytest.mark.parametrize("master, checkpoints, warehouse, expected", [
+    ("local[8]", None, "file:/w", "file:/w/_keepsake"), ("yarn", None, "s3a://b/w/", "s3a://b/w/_keepsake"),
+    ("yarn", "file:/c/", "file:/w", "file:/c"), ("yarn", None, "file:/w", None), ("spark://h:1", None, "/w", None)])
+def test_the_workspace_is_shared(master, checkpoints, warehouse, expected):
+    """Executors on other machines never get a folder of the driver's machine, unless the cluster names it."""
+    settings = {"spark.checkpoint.dir": checkpoints, "spark.sql.warehouse.dir": warehouse}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, *_: settings[key]), sparkContext=SimpleNamespace(master=master))
+    if expected:
+        assert workspace(session) == expected
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            workspace(session)
