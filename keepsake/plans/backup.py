@@ -24,7 +24,7 @@ from keepsake.schemas import LOG, TABLE_METADATA
 from keepsake.session import settle
 from keepsake.sources import manifests
 from keepsake.sources.storage import (
-    CATALOG_PREFIX, delete_paths, list_catalog_tables, list_tables, list_tree, load_named, table_sizes, top_folders, with_names, with_types)
+    CATALOG_PREFIX, delete_paths, list_catalog_tables, list_tables, list_tree, load_named, quoted, table_sizes, top_folders, with_names, with_types)
 
 LAYOUT = "%Y-%m-%d %H:%M:%S"
 
@@ -143,7 +143,7 @@ def backup(spark: SparkSession, source: str, options: BackupOptions, at: dt.date
     tables = tables or list_tables(spark, source)
     if not tables and source.rstrip("/").split("/")[-1] == "Tables":
         log.add("folder listing is empty, taking the tables of the session catalog")
-        tables = {name: f"{CATALOG_PREFIX}{name}" for name in list_catalog_tables(spark)}
+        tables = {name: f"{CATALOG_PREFIX}{quoted(name)}" for name in list_catalog_tables(spark)}
     tables = matching_tables(tables, options.table_filter)
     log.add(f"backing up {len(tables)} tables from {source} to {path}")
 

@@ -44,6 +44,8 @@ def table_parts(spark: SparkSession, backup_path: str, tables: list[str]) -> dic
     manifest = manifests.read_manifest(spark, path)
     chain = list(manifest.chain or []) if manifest is not None else []
     location, below = posixpath.dirname(path), {}
+    # A copy without manifest may lie in a folder or file named <table>.parquet.
+    found = list_tables(spark, path)
     if chain:
         below = {row.folder_name: row.manifest for row in manifests.read_manifests(spark, [location])
                  .where(F.col("folder_name").isin(chain)).collect()}
@@ -52,7 +54,7 @@ def table_parts(spark: SparkSession, backup_path: str, tables: list[str]) -> dic
         copy = manifests.copies_of(manifest).get(name)
         if copy is None and name in ((manifest.high_water_marks or {}) if chain else {}):
             raise ValueError(f"{path}: the manifest does not say how {name} was copied")
-        parts[name] = [f"{path}/{name}"]
+        parts[name] = [f"{path}/{name}" if copy is not None else found.get(name, f"{path}/{name}")]
         for folder in reversed(chain):
             if copy is None or copy.kind == "whole":
                 break

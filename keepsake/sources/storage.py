@@ -51,15 +51,16 @@ class DriverFiles:
 
 
 def list_tables(spark: SparkSession, source: str) -> dict[str, str]:
-    """Tables of a lakehouse folder: visible sub-folders, and single Parquet files by their stem."""
+    """Tables of a lakehouse folder: visible sub-folders and single Parquet files, both by their name without ``.parquet``.
+
+    Where ``x`` and ``x.parquet`` lie side by side, the second keeps its whole name, so that neither is lost.
+    """
     tables = {}
     for name, is_folder in DriverFiles(spark).entries(source):
-        if name.startswith(("_", ".")):
+        if name.startswith(("_", ".")) or not (is_folder or name.endswith(".parquet")):
             continue
-        if is_folder:
-            tables[name] = f"{source.rstrip('/')}/{name}"
-        elif name.endswith(".parquet"):
-            tables[name.removesuffix(".parquet")] = f"{source.rstrip('/')}/{name}"
+        stem = name.removesuffix(".parquet")
+        tables[name if stem in tables else stem] = f"{source.rstrip('/')}/{name}"
     return tables
 
 
@@ -113,9 +114,14 @@ def with_names(table: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:
     return table.select(*[F.col(f"`{_NAME}{c}`").alias(c) if c in kinds else F.col(f"`{c}`") for c in table.columns if not c.startswith(_NAME)])
 
 
+def quoted(name: str) -> str:
+    """A name as one part of an identifier, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def list_catalog_tables(spark: SparkSession, database: str | None = None) -> list[str]:
     """Names known to the session catalog."""
-    return sorted(row.tableName for row in spark.sql(f"SHOW TABLES IN `{database}`" if database else "SHOW TABLES").collect())
+    return sorted(row.tableName for row in spark.sql(f"SHOW TABLES IN {quoted(database)}" if database else "SHOW TABLES").collect())
 
 
 # File systems that tasks can open.

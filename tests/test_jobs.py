@@ -15,6 +15,7 @@ from keepsake.plans import restore as r
 from keepsake.plans.discover import discover
 from keepsake.sources import manifests, storage
 from keepsake.sources.storage import folder_sizes, list_tables, list_tree
+from workload import jobs
 
 T0 = dt.datetime(2024, 1, 15, 10, 30, 0)
 SMALL = ["region", "nation", "supplier", "embeddings"]
@@ -305,6 +306,28 @@ def test_tables_of_the_session_catalog(spark, folder):
     spark.catalog.dropTempView("zz_registered")
 
 
+def test_tables_in_folders_named_parquet(spark, folder):
+    """A table's folder may end in .parquet, and names may hold characters that an identifier may not."""
+    lake = {"a.parquet": 3, "b": 4, "b.parquet": 5, "c-d": 6, "Early.Late.parquet": 7}
+    for name, n in lake.items():
+        spark.range(n).write.parquet(f"{folder}/lake/{name}")
+    named = {"a": 3, "b": 4, "b.parquet": 5, "c-d": 6, "Early.Late": 7}
+    spark.range(9).createOrReplaceTempView("keepsake_of_another_folder")
+    for query in (jobs.table_inventory, jobs.catalog_inventory):
+        assert {x.table_name: x.rows for x in query(spark, f"{folder}/lake").collect()} == named, query
+    done = b.backup(spark, f"{folder}/lake", options(f"{folder}/b", verify=True, table_filter="a,c-d"), at=T0)
+    assert sorted(done.tables) == ["a", "c-d"] and done.verification_passed is True
+    # A copy without manifest is found where it lies.
+    back = r.restore(spark, RestoreOptions(f"{folder}/lake", f"{folder}/r"))
+    assert sorted(back.tables) == sorted(named)
+    assert {name: spark.read.parquet(f"{folder}/r/{name}").count() for name in named} == named
+    # The session catalog as a source.
+    again = b.backup(spark, f"{folder}/Tables", options(f"{folder}/c", verify=True, table_filter="keepsake_c-d"), at=T0)
+    assert again.tables == ["keepsake_c-d"] and again.verification_passed is True
+    for name in [*named, "of_another_folder"]:
+        spark.catalog.dropTempView(f"`keepsake_{name}`")
+
+
 def test_cleanup_of_nothing(spark, folder):
     result = c.cleanup(spark, [folder], CleanupOptions(dry_run=False), dt.datetime(2024, 1, 21))
     assert result.status == "warning" and result.results.count() == 0

@@ -15,7 +15,7 @@ from keepsake.plans.restore import compare_backups, list_backups, restore, sampl
 from keepsake.schemas import TABLE_METADATA
 from keepsake.session import fresh_path
 from keepsake.sources import manifests, storage
-from keepsake.sources.storage import DriverFiles, list_catalog_tables, list_tables
+from keepsake.sources.storage import DriverFiles, list_catalog_tables, list_tables, quoted
 
 AT = dt.datetime(2024, 1, 15, 10, 30, 0)
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -42,12 +42,15 @@ def table_inventory(spark, sf_dir):
 
 def catalog_inventory(spark, sf_dir):
     """The same through the session catalog."""
+    # The catalog may fold the case of names, and hold views of other folders.
+    views = {}
     for name, path in list_tables(spark, sf_dir).items():
-        spark.read.parquet(path).createOrReplaceTempView(f"keepsake_{name}")
-    names = [name for name in list_catalog_tables(spark) if name.startswith("keepsake_")]
+        view = f"keepsake_{name}"
+        spark.read.parquet(path).createOrReplaceTempView(quoted(view))
+        views[view.lower()] = name
     return _union([
-        spark.table(name).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name.removeprefix("keepsake_")).alias("table_name"), "rows")
-        for name in names])
+        spark.table(quoted(view)).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(views[view.lower()]).alias("table_name"), "rows")
+        for view in list_catalog_tables(spark) if view.lower() in views])
 
 
 def _backup(spark, sf_dir, destination, **options):
