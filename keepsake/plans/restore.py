@@ -187,8 +187,14 @@ def _parts_of(tested: DataFrame, known: DataFrame) -> DataFrame:
     return first.unionByName(steps.select("full_path", "table_name", "location", "part_folder", problem.alias("error")))
 
 
+# Bytes read ahead in each column, and bytes and rows decoded at once: a task's memory does not grow with files or row groups.
+READ_AHEAD = 1 << 18
+BATCH_BYTES = 1 << 23
+BATCH_ROWS = 8192
+
+
 def _read_files(before: dict[str, str]):
-    """Function for mapInPandas: reads every value of Parquet files, one batch of rows at a time."""
+    """Function for mapInPandas: reads every value of Parquet files, a bounded number of bytes at a time."""
 
     def read(batches):
         import pandas as pd
@@ -201,7 +207,11 @@ def _read_files(before: dict[str, str]):
                 try:
                     system, inner = open_path(path, before[location])
                     with system.open_input_file(inner) as file:
-                        for part in pq.ParquetFile(file).iter_batches(8192):
+                        # Without a buffer the reader holds whole columns of a row group.
+                        parquet = pq.ParquetFile(file, buffer_size=READ_AHEAD, pre_buffer=False)
+                        groups = [parquet.metadata.row_group(i) for i in range(parquet.num_row_groups)]
+                        widest = max((g.total_byte_size / max(g.num_rows, 1) for g in groups), default=0)
+                        for part in parquet.iter_batches(max(1, min(BATCH_ROWS, int(BATCH_BYTES / max(widest, 1)))), use_threads=False):
                             rows += len(part)
                 except Exception as exc:
                     error = f"{path}: {exc}"

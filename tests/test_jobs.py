@@ -4,7 +4,12 @@ import datetime as dt
 import glob
 import os
 import shutil
+import subprocess
+import sys
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,6 +311,24 @@ def test_tables_of_the_session_catalog(spark, folder):
     spark.catalog.dropTempView("zz_registered")
 
 
+def test_restore_test_reads_large_row_groups_in_little_memory(folder):
+    """One row group far larger than what may be held at once: the reader's memory does not grow with it."""
+    used = []
+    for n in (200_000, 2_000_000):
+        values = np.random.default_rng(n).random(n)
+        pq.write_table(pa.table({"a": values, "b": values[::-1]}), f"{folder}/{n}.parquet", row_group_size=n, use_dictionary=False)
+        read = f"""import pandas as pd
+import pyarrow as pa
+from keepsake.plans.restore import _read_files
+read = next(_read_files({{"x": "file:"}})(iter([pd.DataFrame({{"location": ["x"], "path": ["{folder}/{n}.parquet"]}})])))
+assert read["rows"].tolist() == [{n}] and read["error"].isna().all()
+print(pa.default_memory_pool().max_memory())"""
+        # A process of its own: the pool's peak is that of the whole process.
+        done = subprocess.run([sys.executable, "-c", read], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, check=True)
+        used.append(int(done.stdout))
+    assert used[1] < 1.5 * used[0] and used[1] < 8_000_000, used
+
+
 def test_tables_in_folders_named_parquet(spark, folder):
     """A table's folder may end in .parquet, and names may hold characters that an identifier may not."""
     lake = {"a.parquet": 3, "b": 4, "b.parquet": 5, "c-d": 6, "Early.Late.parquet": 7}
