@@ -39,13 +39,17 @@ ROWS = 4
 BLOCK = 1024
 #: Characters whose shingles are hashed at once.
 _CHARACTERS_AT_ONCE = 1 << 20
+#: Characters that are hashed in one pass: arrays of 8 bytes for each stay in a processor's cache.
+_CHARACTERS_IN_CACHE = 1 << 16
+_BLANKS = bytes.maketrans(b"\t\n\x0b\f\r", b"     ")
 _NONE = np.uint64(2**64 - 1)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def _normal(line: bytes) -> np.ndarray:
-    """Code points of the line in lower case, one blank for each gap."""
-    return np.frombuffer(b" ".join(line.split()).decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), np.uint32)
+def _normal(line: bytes) -> bytes:
+    """The line with one blank for each gap."""
+    bare = line.translate(_BLANKS).strip(b" ")
+    return b" ".join(bare.split()) if b"  " in bare else bare
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,17 +61,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _shingles(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all shingles of all lines, how many each line has)."""
-    lengths = np.array([len(x) for x in lines], np.int64)
-    counts = np.maximum(lengths - SHINGLE, 0) + 1
+def _shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all shingles of all normal lines in lower case, how many each line has)."""
     # Blank places after each line, so that a short line is a shingle too and no shingle reaches the next line.
-    flat = np.zeros(int(lengths.sum()) + SHINGLE * len(lines), np.uint64)
-    starts = np.cumsum(lengths + SHINGLE) - (lengths + SHINGLE)
-    for at, line in zip(starts.tolist(), lines):
-        flat[at:at + len(line)] = line
-    places = np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    gap = b"\n" * SHINGLE
+    codes = np.frombuffer((gap.join(lines) + gap).decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), np.uint32)
+    blank = codes == 10
+    ends = np.flatnonzero(blank)[::SHINGLE]
+    starts = np.concatenate([[0], ends[:-1] + SHINGLE])
+    counts = np.maximum(ends - starts - SHINGLE, 0) + 1
+    flat = codes.astype(np.uint64)
     flat += np.uint64(1)
+    flat[blank] = 1
+    places = np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
     sums = np.zeros(len(flat) - SHINGLE + 1, np.uint64)
     term = np.empty_like(sums)
     for j in range(SHINGLE):
@@ -75,42 +81,58 @@ def _shingles(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(sums[places]), counts
 
 
-def _signatures(lines: list[np.ndarray], bins: int) -> np.ndarray:
-    """One row per line: the least shingle hash in each of ``bins`` equal ranges of another part of the hash."""
-    hashes, counts = _shingles(lines)
-    owner = np.repeat(np.arange(len(lines)), counts)
-    place = ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    found = np.full(len(lines) * bins, _NONE)
-    # The other half of the hash decides within a range.
-    np.minimum.at(found, owner * bins + place, hashes << np.uint64(32) | hashes >> np.uint64(32))
-    found = found.reshape(len(lines), bins)
+def _pieces(lines: list[bytes], characters: int) -> Iterator[tuple[int, int]]:
+    """Ranges of lines that hold so many bytes; a longer line is a range of its own."""
+    start, held = 0, 0
+    for at, line in enumerate(lines):
+        held += len(line) + SHINGLE
+        if held >= characters:
+            yield start, at + 1
+            start, held = at + 1, 0
+    if start < len(lines):
+        yield start, len(lines)
+
+
+def _hashed(lines: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``_shingles`` of as many lines at once as fit a processor's cache, with the number of the first of them."""
+    for start, end in _pieces(lines, _CHARACTERS_IN_CACHE):
+        yield start, *_shingles(lines[start:end])
+
+
+def _signatures(lines: list[bytes], bins: int) -> np.ndarray:
+    """One column per line: the least shingle hash in each of ``bins`` equal ranges of another part of the hash."""
+    n = len(lines)
+    found = np.full(n * bins, _NONE)
+    for start, hashes, counts in _hashed(lines):
+        place = (hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)
+        place *= np.uint64(n)
+        place += np.repeat(np.arange(start, start + len(counts), dtype=np.uint64), counts)
+        # The other half of the hash decides within a range.
+        np.minimum.at(found, place.view(np.int64), hashes << np.uint64(32) | hashes >> np.uint64(32))
+    found = found.reshape(bins, n)
     for j in reversed(range(2 * bins)):
         at, after = j % bins, (j + 1) % bins
-        empty = found[:, at] == _NONE
-        found[empty, at] = np.where(found[empty, after] == _NONE, _NONE, found[empty, after] + np.uint64(0x9E3779B97F4A7C15))
+        empty = np.flatnonzero(found[at] == _NONE)
+        if len(empty):
+            next_one = found[after][empty]
+            found[at][empty] = np.where(next_one == _NONE, _NONE, next_one + np.uint64(0x9E3779B97F4A7C15))
     return found
 
 
 def _keys(signatures: np.ndarray, bands: int, per_band: int) -> np.ndarray:
     """One 64-bit bucket number per line and band."""
-    out = np.empty((len(signatures), bands), np.uint64)
+    out = np.empty((signatures.shape[1], bands), np.uint64)
     for b in range(bands):
-        key = np.full(len(signatures), b + 1, np.uint64)
+        key = np.full(signatures.shape[1], b + 1, np.uint64)
         for r in range(per_band):
-            key = _mixed(key * _FACTORS[1] + signatures[:, b * per_band + r])
+            key = _mixed(key * _FACTORS[1] + signatures[b * per_band + r])
         out[:, b] = key
     return out
 
 
-def _signed(lines: list[np.ndarray], bands: int, per_band: int) -> np.ndarray:
+def _signed(lines: list[bytes], bands: int, per_band: int) -> np.ndarray:
     """Buckets of many lines, a bounded number of characters at a time."""
-    parts, at = [], 0
-    while at < len(lines):
-        start, held = at, 0
-        while at < len(lines) and held < _CHARACTERS_AT_ONCE:
-            held += len(lines[at]) + SHINGLE
-            at += 1
-        parts.append(_keys(_signatures(lines[start:at], bands * per_band), bands, per_band))
+    parts = [_keys(_signatures(lines[start:end], bands * per_band), bands, per_band) for start, end in _pieces(lines, _CHARACTERS_AT_ONCE)]
     return np.concatenate(parts) if parts else np.zeros((0, bands), np.uint64)
 
 
@@ -203,12 +225,13 @@ def _links(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held = None, []
         # Whole places, compared when they hold enough characters; their lines are hashed together.
-        waiting: list[list[tuple[int, np.ndarray]]] = []
+        waiting: list[list[tuple[int, bytes]]] = []
         characters = 0
 
         def done() -> pa.RecordBatch:
-            hashes, counts = _shingles([line for rows in waiting for _, line in rows])
-            ends, at, links = np.cumsum(counts).tolist(), 0, []
+            parts = list(_hashed([line for rows in waiting for _, line in rows]))
+            hashes = np.concatenate([part for _, part, _ in parts])
+            ends, at, links = np.cumsum(np.concatenate([counts for _, _, counts in parts])).tolist(), 0, []
             for rows in waiting:
                 bounds = [0 if not at else ends[at - 1], *ends[at:at + len(rows)]]
                 at += len(rows)
@@ -247,11 +270,17 @@ def _texts(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
     return lines.join(ids, "id").groupBy("id").agg(F.first("line").alias("line"))
 
 
+def _members(lines: DataFrame) -> DataFrame:
+    """(bucket, id) of the different lines of each bucket that holds more than one; the buckets are shuffled once."""
+    keyed = lines.where("buckets IS NOT NULL").select("id", F.explode("buckets").alias("bucket"))
+    of = W.partitionBy("bucket")
+    shared = keyed.withColumns({"low": F.min("id").over(of), "high": F.max("id").over(of)}).where("low <> high")
+    return shared.select("bucket", "id").distinct()
+
+
 def line_groups(docs: DataFrame, text: str, lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) of the different lines that are linked; ``lines`` are those of ``_placed``."""
-    keyed = lines.where("buckets IS NOT NULL").select("id", F.explode("buckets").alias("bucket"))
-    shared = settle(keyed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket"), "shared")
-    members = settle(keyed.join(shared, "bucket").distinct(), "members")
+    members = settle(_members(lines), "members")
     # Buckets that bring the same lines together are one; lines are told by 128 bits.
     sums = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("id").alias("x"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
     sets = settle(sums.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "sets")

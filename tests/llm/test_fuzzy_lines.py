@@ -167,3 +167,23 @@ def test_threshold_reaches_the_links(spark):
     assert 0.8 < similar < 0.95
     docs = spark.createDataFrame([(1, word), (2, near)], "doc_id long, text string")
     assert [sum(r.n_removed for r in fuzzy_lines.drop_repeats(docs, threshold=t).collect()) for t in (0.8, 0.95)] == [1, 0]
+
+
+def test_buckets_do_not_depend_on_pieces(monkeypatch):
+    lines = [b"a", "ΟΔΟΣ".encode(), "İstanbul Σ".encode(), b"\xff cut \xc3", b"one two  three\t four " * 40, "終".encode() * 30]
+    lines = [fuzzy_lines._normal(x) for x in lines * 5]
+    assert lines[4] == b" ".join([b"one two three four"] * 40)
+    whole = fuzzy_lines._signed(lines, 12, 4)
+    monkeypatch.setattr(fuzzy_lines, "_CHARACTERS_IN_CACHE", 1)
+    assert (fuzzy_lines._signed(lines, 12, 4) == whole).all()
+    monkeypatch.setattr(fuzzy_lines, "_CHARACTERS_AT_ONCE", 50)
+    assert (fuzzy_lines._signed(lines, 12, 4) == whole).all() and len(set(whole[:, 0])) == 6
+
+
+def test_buckets_are_shuffled_once(spark):
+    rows = [(1, [7, 8]), (1, [7, 8]), (2, [7, 9]), (3, [10, 11]), (4, None), (5, [10, 8])]
+    members = fuzzy_lines._members(spark.createDataFrame(rows, "id long, buckets array<long>"))
+    assert sorted((r.bucket, r.id) for r in members.collect()) == [(7, 1), (7, 2), (8, 1), (8, 5), (10, 3), (10, 5)]
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
