@@ -187,3 +187,33 @@ def test_buckets_are_shuffled_once(spark):
     plan = members._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_only_dataframe_operations(spark, monkeypatch):
+    inputs = documents(40, seed=8)
+    docs = spark.createDataFrame([(*r, "l", "i", "d", "p") for r in inputs], SCHEMA)
+
+    def refused(*_):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, refused)
+    missed, gone = check(fuzzy_lines.drop_repeats(docs).collect(), inputs)
+    assert gone > 10 and missed <= 0.01 * gone
+
+
+def test_comparison_is_exact(spark):
+    """Sketches rule out no link, and the links are those of the sets of characters."""
+    rng = random.Random(4)
+    lines = ["a", "ab", "ä" * 7, "ä" * 300, "𠀀" * 9, "﻿bom and more of it"]
+    for _ in range(8):
+        words = ["".join(rng.choice("abcdé終𠀀") for _ in range(6)) for _ in range(rng.choice([4, 30, 300]))]
+        lines += [" ".join(words[:n] + ["x"] * rng.randint(0, 3)) for n in (len(words), len(words) * 9 // 10, len(words) * 8 // 10, len(words) // 2)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    sets = [sets_of(x) for x in lines]
+    linked = {(a, b) for a in range(len(lines)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    pairs = spark.createDataFrame([(a, b) for a in range(len(lines)) for b in range(a)], "a long, b long")
+    assert {tuple(r) for r in fuzzy_lines.similar(pairs, texts, 0.8).collect()} == linked and len(linked) > 10
+    sketch = fuzzy_lines.sketches(texts)
+    possible = {(r[0], r[1]) for r in sketch.alias("x").crossJoin(sketch.alias("y")).where(fuzzy_lines.may_link("x", "y", 0.8)).selectExpr("x.id", "y.id").collect()}
+    assert linked <= possible and len(possible) < len(lines) ** 2 / 2
